@@ -1 +1,130 @@
-"""placeholder"""
+"""Model, forest, scoring and source queries. Models are random (seeded) or iterative, so these have no SQL
+oracle (rows-only check); the tests check their properties instead.
+
+The prepared geo_events frame (J2) feeds the models; query hyper-parameters are smaller than the service
+defaults (which stay in `Params()`) so a query stays within seconds at the test scales.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskflow.operators import models as mo
+from riskflow.operators.iforest import IsolationForest
+from riskflow.params import Params
+from riskflow.plans import jobs
+from riskflow.plans.fixtures import frame, with_frames
+from riskflow.plans.registry import query
+from riskflow.session import configure, scratch_path
+from riskflow.sources.readers import read_geojson
+
+QP = Params(rf_trees=20, rf_depth=8, gbt_rounds=10, gbt_depth=4, lr_max_iter=100, if_trees=50, cv_folds=3)
+KEYS = ["event_id"]
+_CACHE: dict = {}
+
+
+def fitted(spark, sf_dir, p: Params = QP, cv: bool = True):
+    """(prep model, prepared frame, trained models) for geo_events, once per session and scale."""
+    configure(spark)
+    k = (id(spark.sparkContext), sf_dir, repr(p), cv)
+    if k not in _CACHE:
+        df = frame(spark, sf_dir, "geo_events")
+        _CACHE[k] = jobs.fit_all(df, "label", KEYS, p, cv=cv)
+    return _CACHE[k]
+
+
+def _test_predictions(spark, sf_dir, name):
+    prep_model, fr, models = fitted(spark, sf_dir, cv=False)
+    test = fr.where(F.col("split") == "test")
+    pred = mo.predict(models.models[name], test)
+    return pred.select("event_id", F.col("label").cast("int").alias("label"),
+                       F.col("prediction").cast("int").alias("prediction"), "risk_prob")
+
+
+@query("random_forest")
+def q_random_forest(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "random_forest")
+
+
+@query("gradient_boosting")
+def q_gradient_boosting(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "gradient_boosting")
+
+
+@query("logistic_regression")
+def q_logistic_regression(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "logistic_regression")
+
+
+@query("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    _, _, models = fitted(spark, sf_dir, cv=True)
+    rows = [(n, k, float(v)) for n in models.order for k, v in models.results[n].get("cross_val", {}).items()
+            if isinstance(v, (int, float))]
+    return spark.createDataFrame(rows, "model string, metric string, value double")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    _, _, models = fitted(spark, sf_dir, cv=False)
+    name = models.best
+    return mo.importance_frame(spark, models.results[name]["feature_importance"]) \
+             .withColumn("model", F.lit(name))
+
+
+def _forest(spark, sf_dir):
+    configure(spark)
+    k = (id(spark.sparkContext), sf_dir, "forest")
+    if k not in _CACHE:
+        prep_model, fr, _ = fitted(spark, sf_dir, cv=False)
+        train = fr.where(F.col("split") == "train")
+        forest = IsolationForest(QP).fit(train, prep_model.feature_names, KEYS)
+        forest.fit_offset(train, QP.if_contamination, QP.quantiles)
+        _CACHE[k] = (prep_model, fr, forest)
+    return _CACHE[k]
+
+
+@query("isolation_forest_score")
+def q_isolation_forest_score(spark, sf_dir):
+    _, fr, forest = _forest(spark, sf_dir)
+    return forest.score(fr.select("event_id", *forest.features)).select("event_id", "anomaly_score")
+
+
+@query("isolation_forest_flag")
+def q_isolation_forest_flag(spark, sf_dir):
+    _, fr, forest = _forest(spark, sf_dir)
+    return forest.flag(fr.select("event_id", *forest.features)).select("event_id", "anomaly_score", "anomaly_flag")
+
+
+@query("score_new")
+def q_score_new(spark, sf_dir):
+    """The whole geo_events table scored as new rows by the fitted chain and the best model."""
+    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    df = frame(spark, sf_dir, "geo_events")
+    out = jobs.score_new(df, prep_model, models, KEYS, "latitude", "longitude", None, p=QP)
+    return out.select("event_id", "model_prob", "risk_score", "risk_level", "anomaly_flag")
+
+
+@query("score_test")
+def q_score_test(spark, sf_dir):
+    """Predictions on the held-out test split with the model-probability summary attached."""
+    _, fr, models = fitted(spark, sf_dir, cv=False)
+    pred, summary = jobs.score_test(models, fr, p=QP)
+    return pred.select("event_id", F.col("prediction").cast("int").alias("prediction"), "risk_prob",
+                       "anomaly_flag").crossJoin(F.broadcast(summary.select("n_samples", "mean_risk")))
+
+
+@query("geojson_source", with_frames(["geo_events"], """
+select event_id, category, label, temperature, longitude, latitude from geo_events"""))
+def q_geojson_source(spark, sf_dir):
+    """S3: geo_events written as GeoJSON Point features (one per line, GeoJSON text sequence) into the
+    shared scratch folder, then read back; properties become columns, coordinates longitude / latitude."""
+    configure(spark)
+    df = frame(spark, sf_dir, "geo_events")
+    feature = F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"),
+        F.struct("event_id", "category", "label", "temperature").alias("properties")))
+    path = scratch_path(spark, "geojson") + ".geojsonl"
+    df.select(feature.alias("value")).write.mode("overwrite").text(path)
+    return read_geojson(spark, path, lines=True)
