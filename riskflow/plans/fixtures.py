@@ -97,3 +97,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     return spark.sql(spark_sql(sf_dir, name))
+
+
+def frame_over(spark: SparkSession, name: str, views: dict[str, str]) -> DataFrame:
+    """A derived frame over given temp views (e.g. a streaming `events`), same SQL text."""
+    text, deps = FRAMES[name]
+    if deps:
+        raise ValueError(f"{name} depends on other frames; derive those first")
+    names = {t: views.get(t, t) for t in TABLES}
+    return spark.sql(text.format(**names, **_SPARK_FUNCS))

@@ -11,6 +11,7 @@ from riskflow.operators.models import RiskModels, train
 from riskflow.operators.prep import Prep, PrepModel
 from riskflow.operators.risk import composite_risk, risk_summary
 from riskflow.params import Params
+from riskflow.session import cut_lineage
 from riskflow.sources.readers import read_table
 
 
@@ -36,9 +37,10 @@ def ingest(spark: SparkSession, path: str, fmt: str | None = None) -> Ingested:
 
 
 def prepare(df: DataFrame, target: str | None, keys: list[str], p: Params = Params()) -> tuple[PrepModel, DataFrame]:
-    """Fit the chain, return the model and the split training frame."""
+    """Fit the chain, return the model and the split training frame (checkpointed once: training,
+    validation, cross-validation and the forest all read it)."""
     model = Prep(p).fit(df, target=target, keys=keys)
-    return model, model.fitted_frame(df)
+    return model, cut_lineage(model.fitted_frame(df))
 
 
 def fit_all(df: DataFrame, target: str, keys: list[str], p: Params = Params(), only=None, cv: bool = True):

@@ -128,3 +128,21 @@ def q_geojson_source(spark, sf_dir):
     path = scratch_path(spark, "geojson") + ".geojsonl"
     df.select(feature.alias("value")).write.mode("overwrite").text(path)
     return read_geojson(spark, path, lines=True)
+
+
+@query("score_stream")
+def q_score_stream(spark, sf_dir):
+    """`events` read as a file stream, derived to geo_events by the same SQL, scored per micro-batch by
+    the fitted chain and model into a Parquet sink in the shared scratch folder; returns the sink."""
+    from riskflow.plans.fixtures import frame_over, table
+    from riskflow.streaming.score_stream import file_stream, score_stream
+    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    schema = table(spark, sf_dir, "events").schema
+    stream = file_stream(spark, sf_dir, schema, pattern="events.parquet")
+    view = f"events_stream_{abs(hash(sf_dir)) % 10**8}"
+    stream.createOrReplaceTempView(view)
+    geo = frame_over(spark, "geo_events", {"events": view})
+    out = scratch_path(spark, "score-stream-sink")
+    q = score_stream(geo, prep_model, models, KEYS, out, "latitude", "longitude", None, p=QP)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "model_prob", "risk_score", "risk_level", "anomaly_flag")
