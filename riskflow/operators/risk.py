@@ -67,7 +67,8 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
     geo = bool(lat and lon)
     if geo:
         dens, n_points = log_density_points(df, lat, lon, p, density_mode)
-        dens = dens.withColumnRenamed("log_density", "__ld")
+        # the pair sums feed both the rows and their min/max: compute them once
+        dens = cut_lineage(dens.withColumnRenamed("log_density", "__ld"))
         dstats = dens.agg(F.min("__ld").alias("__d_lo"), F.max("__ld").alias("__d_hi"))
         if n_points <= p.broadcast_max_rows:
             dens = F.broadcast(dens)
@@ -124,6 +125,7 @@ def fitted_bounds(df: DataFrame, anomaly: str | None = None, lat: str | None = N
     out = df.agg(*aggs).first().asDict() if aggs else {}
     if lat and lon:
         dens, _ = log_density_points(df, lat, lon, p)
+        dens = cut_lineage(dens)
         r = dens.agg(F.min("log_density").alias("__d_lo"), F.max("log_density").alias("__d_hi")).first()
         out.update(r.asDict())
     return out

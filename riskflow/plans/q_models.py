@@ -28,8 +28,18 @@ def fitted(spark, sf_dir, p: Params = QP, cv: bool = True):
     configure(spark)
     k = (id(spark.sparkContext), sf_dir, repr(p), cv)
     if k not in _CACHE:
-        df = frame(spark, sf_dir, "geo_events")
-        _CACHE[k] = jobs.fit_all(df, "label", KEYS, p, cv=cv)
+        prep_model, fr = prepared(spark, sf_dir, p)
+        models = mo.train(fr, prep_model.feature_names, KEYS, p, cv=cv)
+        _CACHE[k] = (prep_model, fr, models)
+    return _CACHE[k]
+
+
+def prepared(spark, sf_dir, p: Params = QP):
+    """(prep model, prepared frame) for geo_events, once per session and scale."""
+    configure(spark)
+    k = (id(spark.sparkContext), sf_dir, repr(p), "prep")
+    if k not in _CACHE:
+        _CACHE[k] = jobs.prepare(frame(spark, sf_dir, "geo_events"), "label", KEYS, p)
     return _CACHE[k]
 
 
@@ -76,7 +86,7 @@ def _forest(spark, sf_dir):
     configure(spark)
     k = (id(spark.sparkContext), sf_dir, "forest")
     if k not in _CACHE:
-        prep_model, fr, _ = fitted(spark, sf_dir, cv=False)
+        prep_model, fr = prepared(spark, sf_dir)
         train = fr.where(F.col("split") == "train")
         forest = IsolationForest(QP).fit(train, prep_model.feature_names, KEYS)
         forest.fit_offset(train, QP.if_contamination, QP.quantiles)
