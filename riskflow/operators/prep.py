@@ -125,20 +125,39 @@ def add_temporal_features(df: DataFrame, plan: dict[str, str | None]) -> DataFra
     return df.withColumns(cols).drop(*[c for c in plan if c in df.columns])
 
 
+def _distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    items = [F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols]
+    return (df.select(F.explode(F.array(*items)).alias("cv")).select("cv.column", "cv.value")
+              .where(F.col("value").isNotNull()).distinct())
+
+
+def _ranked_codes(distinct: DataFrame, n_values: int) -> DataFrame:
+    """Codes 0..K-1 per column in value order without holding a column in one task: range-partition the
+    distinct values on (column, value), fix the partition ids once (reliable checkpoint), add the counts of
+    the lower ranges (one row per range) to a row number inside each range."""
+    from pyspark.sql import Window
+    spark = distinct.sparkSession
+    n_parts = max(spark.sparkContext.defaultParallelism, n_values // 1_000_000)
+    d = cut_lineage(distinct.repartitionByRange(n_parts, "column", "value")
+                            .withColumn("pid", F.spark_partition_id()))
+    counts = d.groupBy("column", "pid").agg(F.count("*").alias("m"))
+    below = Window.partitionBy("column").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("column", "pid", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("off"))
+    inside = Window.partitionBy("column", "pid").orderBy("value")
+    return (d.join(F.broadcast(offsets), ["column", "pid"])
+             .select("column", "value", (F.col("off") + F.row_number().over(inside) - 1).cast("int").alias("code")))
+
+
 def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 1_000_000) -> DataFrame:
     """(column, value, code): distinct non-null values as text, sorted, coded 0..K-1.
 
-    The distinct table is bounded by the category count (partial aggregation before the shuffle);
-    codes come from a window per column over that table, never over the rows.
+    The distinct table is bounded by the category count (partial aggregation before the shuffle); codes
+    come from ranges of it (`_ranked_codes`), never from a window over the rows.
     """
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, code int")
-    items = [F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols]
-    distinct = (df.select(F.explode(F.array(*items)).alias("cv")).select("cv.column", "cv.value")
-                  .where(F.col("value").isNotNull()).distinct())
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    distinct = cut_lineage(_distinct_values(df, cols))
+    return _ranked_codes(distinct, distinct.count())
 
 
 class CategoryEncoder:
@@ -153,14 +172,17 @@ class CategoryEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str], p: Params = Params()) -> "CategoryEncoder":
-        table = fit_categories(df, cols, p.max_categories)
-        n = table.count()
+        if not cols:
+            return cls(mapping={})
+        distinct = cut_lineage(_distinct_values(df, cols))
+        n = distinct.count()
         if n <= LITERAL_MAP_MAX:
-            mapping: dict[str, dict[str, int]] = {c: {} for c in cols}
-            for r in table.collect():
-                mapping[r["column"]][r["value"]] = r["code"]
-            return cls(mapping=mapping)
-        return cls(table=cut_lineage(table), broadcast_max_rows=p.broadcast_max_rows)
+            # small: codes on the driver (text sorts by code point, as Spark's UTF-8 byte order does)
+            mapping: dict[str, list] = {c: [] for c in cols}
+            for r in distinct.collect():
+                mapping[r["column"]].append(r["value"])
+            return cls(mapping={c: {v: i for i, v in enumerate(sorted(vs))} for c, vs in mapping.items()})
+        return cls(table=cut_lineage(_ranked_codes(distinct, n)), broadcast_max_rows=p.broadcast_max_rows)
 
     @property
     def columns(self) -> list[str]:
@@ -326,17 +348,21 @@ def scale(df: DataFrame, cols: list[str], method: str = "standard", p: Params =
 
 
 def assign_split(df: DataFrame, key_cols: list[str], p: Params = Params(), stratify: str | None = None,
-                 out: str = "split") -> DataFrame:
+                 out: str = "split", exact: bool = False) -> DataFrame:
     """Train / val / test from a hash of the key and the seed.
 
     Plain: bucket = hash % 1000; < 1000*test_size -> test, then the next validation_size share -> val
     (val is validation_size / (1 - test_size) of the rest, as in the original). Stable under
     repartitioning and needs no sort.
     Stratified (`stratify` = label column): per class the cut is an exact order statistic of the hash, so
-    each class holds exactly ceil(test_size*n_c) test rows and ceil(val_ratio*rest) val rows.
+    each class holds exactly ceil(test_size*n_c) test rows and ceil(val_ratio*rest) val rows. `exact`
+    does the same over the whole table (sizes ceil(test_size*n), ceil(val_ratio*rest) as the original).
     """
     test_cut = int(round(1000 * p.test_size))
     val_ratio = p.validation_size / (1 - p.test_size)
+    if exact and stratify is None:
+        x = df.withColumn("__one", F.lit(1))
+        return assign_split(x, key_cols, p, stratify="__one", out=out).drop("__one")
     if stratify is None:
         b = bucket(key_cols, p.seed)
         val_cut = test_cut + int(round(1000 * (1 - p.test_size) * val_ratio))
@@ -382,7 +408,7 @@ class PrepModel:
     def stats(self) -> dict:
         return dict(self.state["stats"])
 
-    def _features_frame(self, df: DataFrame, outliers: bool) -> DataFrame:
+    def _features_frame(self, df: DataFrame, outliers: bool, extra=()) -> DataFrame:
         s = self.state
         x = apply_coercion(df, s["coerce"])
         if s["geo"]:
@@ -402,8 +428,15 @@ class PrepModel:
                 v = F.coalesce(v, F.lit(float(s["fill"][c])))
             v = scale_expr(v, *s["scale"][c])
             cols[c] = v
-        keep = [k for k in s["keys"] if k in x.columns]
-        label = [F.col(s["label_out"])] if s["target"] and s["label_out"] in x.columns else []
+        keep = [k for k in s["keys"] if k in x.columns] + [e for e in extra if e in x.columns]
+        label = []
+        if s["target"] and s["label_out"] in x.columns:
+            lab = F.col(s["label_out"])
+            if s.get("label_map"):
+                # Text labels -> sorted codes (unknown -> NULL)
+                lm = F.create_map(*[z for k, v in sorted(s["label_map"].items()) for z in (F.lit(k), F.lit(v))])
+                lab = F.try_element_at(lm, lab.cast("string"))
+            label = [lab.alias(s["label_out"])]
         return x.select(*[_q(k) for k in keep], *label, *[v.alias(c) for c, v in cols.items()])
 
     def transform(self, df: DataFrame, outliers: bool | None = None) -> DataFrame:
@@ -414,16 +447,25 @@ class PrepModel:
             x = x.withColumnRenamed(self.state["target"], self.state["label_out"])
         return self._features_frame(x, self.p.clip_on_transform if outliers is None else outliers)
 
-    def fitted_frame(self, df: DataFrame, with_split: bool = True) -> DataFrame:
-        """The training frame of the fit: de-duplicated, clipped, imputed, scaled, with the split column."""
-        x = drop_duplicates(df)
+    def fitted_frame(self, df: DataFrame | None = None, with_split: bool = True, stratify: bool = False,
+                     exact: bool = False) -> DataFrame:
+        """The training frame of the fit: de-duplicated, clipped, imputed, scaled, with the split column.
+
+        Without `df` the de-duplicated rows checkpointed by `fit` are reused (no second dedup shuffle).
+        """
+        base = getattr(self, "_base", None)
+        x = base if (df is None and base is not None) else drop_duplicates(df)
         if self.state["target"] and self.state["target"] in x.columns:
             x = x.withColumnRenamed(self.state["target"], self.state["label_out"])
-        out = self._features_frame(x, outliers=True)
+        keys = [k for k in self.state["keys"] if k in x.columns]
+        if with_split and not keys:
+            # no id: rows are distinct after the dedup, so their content is a key
+            x = x.withColumn("__row_key", F.md5(F.to_json(F.struct(*[_q(c) for c in x.columns]))))
+        out = self._features_frame(x, outliers=True, extra=[] if keys else ["__row_key"])
         if with_split:
-            keys = [k for k in self.state["keys"] if k in out.columns] or out.columns
-            out = assign_split(out, keys, self.p)
-        return out
+            label = self.state["label_out"] if (stratify and self.state["target"]) else None
+            out = assign_split(out, keys or ["__row_key"], self.p, stratify=label, exact=exact)
+        return out.drop("__row_key") if "__row_key" in out.columns else out
 
     # S6 / S7
     def save(self, path: str) -> None:
@@ -490,6 +532,10 @@ class Prep:
         n_rows = base.count()
         # C2 target
         target = target if (target and target in base.columns) else None
+        label_map = None
+        if target and isinstance(base.schema[target].dataType, T.StringType):
+            values = sorted(r[0] for r in base.select(target).where(F.col(target).isNotNull()).distinct().collect())
+            label_map = {v: i for i, v in enumerate(values)}        # bounded by the class count
         x = base.drop(target) if target else base
         cand = [c for c in x.columns if c not in keys]
         # pass 1: constants + numeric coercion + time formats, one aggregate
@@ -578,9 +624,11 @@ class Prep:
             "keys": keys, "target": target, "label_out": label_out, "constant": constant, "coerce": coerce,
             "geo": geo, "temporal": temporal, "categorical": categorical, "features": features,
             "clip": clip if p.outlier_method == "iqr" else {}, "zscore": zs, "fill": fill, "scale": sc,
-            "stats": stats,
+            "stats": stats, "label_map": label_map,
         }
-        return PrepModel(state, encoder, p)
+        model = PrepModel(state, encoder, p)
+        model._base = base            # the checkpointed de-duplicated rows, for fitted_frame()
+        return model
 
 
 def prep_stats_frame(spark: SparkSession, model: PrepModel) -> DataFrame:

@@ -40,7 +40,7 @@ def prepare(df: DataFrame, target: str | None, keys: list[str], p: Params = Para
     """Fit the chain, return the model and the split training frame (checkpointed once: training,
     validation, cross-validation and the forest all read it)."""
     model = Prep(p).fit(df, target=target, keys=keys)
-    return model, cut_lineage(model.fitted_frame(df))
+    return model, cut_lineage(model.fitted_frame())
 
 
 def fit_all(df: DataFrame, target: str, keys: list[str], p: Params = Params(), only=None, cv: bool = True):

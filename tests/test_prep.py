@@ -164,3 +164,33 @@ def test_unknown_options_raise():
         pp.Prep(Params(outlier_method="isolation_forest"))
     with pytest.raises(ValueError):
         pp.Prep(Params(scaling="unknown"))
+
+
+def test_c2_text_labels_and_no_key_split(spark):
+    rows = [(float(i), "yes" if i % 3 == 0 else "no") for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, target string")
+    model = pp.Prep(Params()).fit(df, "target")
+    assert model.state["label_map"] == {"no": 0, "yes": 1}
+    fr = model.fitted_frame()
+    labels = {r["label"] for r in fr.select("label").collect()}
+    assert labels == {0, 1} and fr.count() == 60
+    assert {r["split"] for r in fr.select("split").collect()} <= {"train", "val", "test"}
+
+
+def test_exact_plain_split_sizes(spark):
+    df = spark.range(777).withColumnRenamed("id", "k")
+    out = pp.assign_split(df, ["k"], Params(), exact=True)
+    c = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    n_test = math.ceil(0.2 * 777)
+    assert c["test"] == n_test and c["val"] == math.ceil(0.125 * (777 - n_test))
+
+
+def test_ranked_codes_many_ranges(spark):
+    vals = [f"v{i:05d}" for i in range(3000)] + ["a", "b"]
+    df = spark.createDataFrame([(v, str(i % 7)) for i, v in enumerate(vals)], "c string, d string")
+    distinct = pp._distinct_values(df, ["c", "d"])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    codes = {(r["column"], r["value"]): r["code"] for r in pp._ranked_codes(distinct, 3009).collect()}
+    for i, v in enumerate(sorted(vals)):
+        assert codes[("c", v)] == i
+    assert [codes[("d", str(k))] for k in range(7)] == list(range(7))
