@@ -156,3 +156,58 @@ def q_score_stream(spark, sf_dir):
     q = score_stream(geo, prep_model, models, KEYS, out, "latitude", "longitude", None, p=QP)
     q.awaitTermination()
     return spark.read.parquet(out).select("event_id", "model_prob", "risk_score", "risk_level", "anomaly_flag")
+
+
+@query("csv_source", with_frames(["geo_events"], """
+select event_id, latitude, longitude, temperature, category, label, cast(k_text as bigint) as k_text
+from geo_events"""))
+def q_csv_source(spark, sf_dir):
+    """S1 + S4: geo_events written as CSV (in parallel, NULL as empty field) into the shared scratch
+    folder and read back: NA tokens -> NULL, number columns typed by the coercion pass."""
+    from riskflow.sources.readers import read_table
+    configure(spark)
+    df = frame(spark, sf_dir, "geo_events").select("event_id", "latitude", "longitude", "temperature",
+                                                   "category", "label", "k_text")
+    path = scratch_path(spark, "csv") + ".csv"
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return read_table(spark, path)
+
+
+@query("json_source", with_frames(["geo_events"], """
+select event_id, latitude, longitude, temperature, category, label from geo_events"""))
+def q_json_source(spark, sf_dir):
+    """geo_events written as JSON Lines and read back (splittable form)."""
+    from riskflow.sources.readers import read_table
+    configure(spark)
+    df = frame(spark, sf_dir, "geo_events").select("event_id", "latitude", "longitude", "temperature",
+                                                   "category", "label")
+    path = scratch_path(spark, "json") + ".jsonl"
+    df.write.mode("overwrite").json(path)
+    return read_table(spark, path).select("event_id", "latitude", "longitude", "temperature", "category", "label")
+
+
+@query("map_scores")
+def q_map_scores(spark, sf_dir):
+    """The whole table scored by the fitted chain and best model, as map points (V5)."""
+    from riskflow.operators import chartdata as cd
+    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    scored = jobs.score_new(frame(spark, sf_dir, "geo_events"), prep_model, models, KEYS, "latitude", "longitude",
+                            None, p=QP)
+    return cd.chart_map_points(scored, "latitude", "longitude", "risk_score", KEYS, QP)
+
+
+@query("chart_importance")
+def q_chart_importance(spark, sf_dir):
+    """V3: top 15 features of the best model."""
+    from riskflow.operators import chartdata as cd
+    _, _, models = fitted(spark, sf_dir, cv=False)
+    imp = mo.importance_frame(spark, models.results[models.best]["feature_importance"])
+    return cd.chart_importance(imp, 15)
+
+
+@query("chart_cv")
+def q_chart_cv(spark, sf_dir):
+    """V7: cross-validation F1 mean and std per model."""
+    from riskflow.operators import chartdata as cd
+    _, _, models = fitted(spark, sf_dir, cv=True)
+    return cd.chart_cv(models.cv_frame(spark))

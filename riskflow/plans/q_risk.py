@@ -126,3 +126,13 @@ def q_risk_summary(spark, sf_dir):
     s = risk_summary(_composite(spark, sf_dir), "risk_score", P)
     return s.select(*[r9(F.col(c)).alias(c) if c in ("mean_risk", "median_risk", "max_risk", "min_risk",
                                                       "std_risk", "high_risk_pct") else F.col(c) for c in s.columns])
+
+
+@query("scored_preview", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
+select event_id, round(risk, 9) as risk_score, {_LEVEL.format(s='risk')} as risk_level
+from z order by event_id limit 500""").replace("\nwith ", ",\n", 1))
+def q_scored_preview(spark, sf_dir):
+    """The first 500 scored records by key (the original's response cap - the limit is the feature)."""
+    from riskflow.sources.readers import preview_records
+    out = _composite(spark, sf_dir).select("event_id", r9(F.col("risk_score")).alias("risk_score"), "risk_level")
+    return preview_records(out, 500, ["event_id"])
