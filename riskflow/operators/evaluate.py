@@ -30,7 +30,8 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     counts = confusion_counts(df, label, prediction)
     labels = (counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c")))
                     .where(F.col("c").isNotNull()).distinct())
-    grid = labels.select(F.col("c").alias("actual")).crossJoin(labels.select(F.col("c").alias("predicted")))
+    # labels are the classes (a handful of rows): the grid is a broadcast nested loop, K x K rows
+    grid = labels.select(F.col("c").alias("actual")).crossJoin(F.broadcast(labels.select(F.col("c").alias("predicted"))))
     return (grid.join(counts, ["actual", "predicted"], "left")
                 .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -81,7 +82,8 @@ def score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg")))
     n_d = d.count()
-    n_ranges = max(1, math.ceil(n_d / _RANGE_ROWS))
+    # at least one range per core (never one task for all distinct scores), more when they are many
+    n_ranges = min(max(d.sparkSession.sparkContext.defaultParallelism, math.ceil(n_d / _RANGE_ROWS)), max(n_d, 1))
     if n_ranges > 1:
         probs = [i / n_ranges for i in range(1, n_ranges)]
         cuts = d.agg(F.percentile_approx("s", probs, 10 * n_ranges).alias("q")).first()["q"]

@@ -71,7 +71,7 @@ class Params:
     kde_bandwidth: float = 0.5
     # spatial density: "exact" (grid join, cut at kde_cutoff bandwidths), "binned", or "auto"
     density_mode: str = "auto"
-    density_exact_max_rows: int = 50_000
+    density_exact_max_rows: int = 20_000
     kde_cutoff: float = 8.0
     binned_cutoff: float = 6.5
     bin_fraction: float = 0.25          # binned source cell side = bandwidth * bin_fraction
