@@ -104,7 +104,7 @@ def q_chart_map_grid(spark, sf_dir):
 @query("chart_timeline", with_frames(["scored_events"], """
 select date_trunc('hour', ts) as bucket, count(*) as n, round(min(anomaly_score), 9) as min_score,
   round(avg(anomaly_score), 9) as mean_score,
-  count_if(anomaly_score < (select quantile_cont(anomaly_score, 0.1) from scored_events)) as n_flagged
+  count_if(anomaly_score < (select quantile_cont(anomaly_score, 0.1) from scored_events))::bigint as n_flagged
 from scored_events group by 1"""))
 def q_chart_timeline(spark, sf_dir):
     configure(spark)

@@ -62,12 +62,12 @@ def q_weighted_metrics(spark, sf_dir):
 
 @query("classification_report", with_frames(["scored_events"], "with " + _per_class_sql("scored_events").strip() + """
 select cast(c as varchar) as class, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1,
-  support from pc
+  support::bigint as support from pc
 union all
-select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) from pc
+select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support)::bigint from pc
 union all
 select 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
-  round(sum(f1 * support) / sum(support), 9), sum(support) from pc""").replace("\nwith ", ",\n", 1))
+  round(sum(f1 * support) / sum(support), 9), sum(support)::bigint from pc""").replace("\nwith ", ",\n", 1))
 def q_classification_report(spark, sf_dir):
     r = ev.classification_report(_scored(spark, sf_dir), "label", "prediction")
     return r.select("class", *[r9(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")

@@ -125,7 +125,7 @@ def q_score_test(spark, sf_dir):
 
 
 @query("geojson_source", with_frames(["geo_events"], """
-select event_id, category, label, temperature, longitude, latitude from geo_events"""))
+select event_id, category, label::bigint as label, temperature, longitude, latitude from geo_events"""))
 def q_geojson_source(spark, sf_dir):
     """S3: geo_events written as GeoJSON Point features (one per line, GeoJSON text sequence) into the
     shared scratch folder, then read back; properties become columns, coordinates longitude / latitude."""
@@ -159,7 +159,7 @@ def q_score_stream(spark, sf_dir):
 
 
 @query("csv_source", with_frames(["geo_events"], """
-select event_id, latitude, longitude, temperature, category, label, cast(k_text as bigint) as k_text
+select event_id, latitude, longitude, temperature, category, label::bigint as label, cast(k_text as bigint) as k_text
 from geo_events"""))
 def q_csv_source(spark, sf_dir):
     """S1 + S4: geo_events written as CSV (in parallel, NULL as empty field) into the shared scratch
@@ -174,7 +174,7 @@ def q_csv_source(spark, sf_dir):
 
 
 @query("json_source", with_frames(["geo_events"], """
-select event_id, latitude, longitude, temperature, category, label from geo_events"""))
+select event_id, latitude, longitude, temperature, category, label::bigint as label from geo_events"""))
 def q_json_source(spark, sf_dir):
     """geo_events written as JSON Lines and read back (splittable form)."""
     from riskflow.sources.readers import read_table

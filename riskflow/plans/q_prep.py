@@ -48,9 +48,9 @@ def q_geo_features(spark, sf_dir):
 
 
 @query("temporal_features", """
-select o_orderkey, year(o_orderdate) as o_orderdate_year, month(o_orderdate) as o_orderdate_month,
-  isodow(o_orderdate) - 1 as o_orderdate_dayofweek, hour(o_orderdate) as o_orderdate_hour,
-  quarter(o_orderdate) as o_orderdate_quarter
+select o_orderkey, year(o_orderdate)::int as o_orderdate_year, month(o_orderdate)::int as o_orderdate_month,
+  (isodow(o_orderdate) - 1)::int as o_orderdate_dayofweek, hour(o_orderdate)::int as o_orderdate_hour,
+  quarter(o_orderdate)::int as o_orderdate_quarter
 from orders""")
 def q_temporal_features(spark, sf_dir):
     configure(spark)
@@ -61,8 +61,8 @@ def q_temporal_features(spark, sf_dir):
 
 @query("encode_categories", """
 select o_orderkey,
-  dense_rank() over (order by o_orderstatus) - 1 as o_orderstatus,
-  dense_rank() over (order by o_orderpriority) - 1 as o_orderpriority
+  (dense_rank() over (order by o_orderstatus) - 1)::int as o_orderstatus,
+  (dense_rank() over (order by o_orderpriority) - 1)::int as o_orderpriority
 from orders""")
 def q_encode_categories(spark, sf_dir):
     configure(spark)
@@ -76,7 +76,7 @@ with fit as (select * from part where p_size <= 5),
 m_name as (select p_name as v, dense_rank() over (order by p_name) - 1 as code from (select distinct p_name from fit)),
 m_brand as (select p_brand as v, dense_rank() over (order by p_brand) - 1 as code
             from (select distinct p_brand from fit))
-select p_partkey, coalesce(a.code, -1) as p_name, coalesce(b.code, -1) as p_brand
+select p_partkey, coalesce(a.code, -1)::int as p_name, coalesce(b.code, -1)::int as p_brand
 from part left join m_name a on part.p_name = a.v left join m_brand b on part.p_brand = b.v""")
 def q_encode_unseen(spark, sf_dir):
     configure(spark)

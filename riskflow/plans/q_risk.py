@@ -110,14 +110,14 @@ _SUMMARY_SQL = "with " + _COMPOSITE.strip() + f""",
 lv as (select risk, {_LEVEL.format(s='risk')} as level from z)
 select count(risk) as n_samples, round(avg(risk), 9) as mean_risk, round(median(risk), 9) as median_risk,
   round(max(risk), 9) as max_risk, round(min(risk), 9) as min_risk, round(stddev_pop(risk), 9) as std_risk,
-  nullif(count_if(level = 'low'), 0) as n_low,
+  nullif(count_if(level = 'low'), 0)::bigint as n_low,
   case when count_if(level = 'low') > 0 then round(count_if(level = 'low') / count(risk) * 100e0, 1) end as pct_low,
-  nullif(count_if(level = 'medium'), 0) as n_medium,
+  nullif(count_if(level = 'medium'), 0)::bigint as n_medium,
   case when count_if(level = 'medium') > 0 then round(count_if(level = 'medium') / count(risk) * 100e0, 1) end
     as pct_medium,
-  nullif(count_if(level = 'high'), 0) as n_high,
+  nullif(count_if(level = 'high'), 0)::bigint as n_high,
   case when count_if(level = 'high') > 0 then round(count_if(level = 'high') / count(risk) * 100e0, 1) end as pct_high,
-  count_if(risk >= 0.66) as high_risk_count, round(count_if(risk >= 0.66) / count(risk) * 100e0, 9) as high_risk_pct
+  count_if(risk >= 0.66)::bigint as high_risk_count, round(count_if(risk >= 0.66) / count(risk) * 100e0, 9) as high_risk_pct
 from lv"""
 
 

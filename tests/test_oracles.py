@@ -29,3 +29,8 @@ def test_entry_contract(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
+
+
+def test_oracle_types_match(spark):
+    from tests.type_check import run
+    assert run(spark, SF_SMALL) == {}
