@@ -10,7 +10,7 @@ from riskflow.operators import evaluate as ev
 from riskflow.params import Params
 from riskflow.plans import q_eval, q_risk
 from riskflow.plans.fixtures import frame, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure
 
 P = Params()
@@ -57,7 +57,7 @@ def _comparison_sql():
     (select sum(pos * (neg_below + 0.5 * neg)) / (max(p_all) * max(n_all)) from t) as roc_auc)""")
     metrics = "\nunion all\n".join(parts)
     unpivot = "\nunion all\n".join(
-        f"select model, '{cd.METRIC_TITLES[m]}' as metric, round(coalesce({m}, 0e0), 9) as value from metrics"
+        f"select model, '{cd.METRIC_TITLES[m]}' as metric, round(coalesce({m}, 0e0), 6) as value from metrics"
         for m in cd.METRICS)
     # names here are one word plus a number, so capitalising the first letter equals initcap
     return with_frames(["scored_events"], f"""select model,
@@ -69,7 +69,7 @@ from (with metrics as ({metrics})
 @query("chart_model_comparison", _comparison_sql())
 def q_chart_model_comparison(spark, sf_dir):
     m = cd.chart_model_comparison(_model_metrics(spark, sf_dir))
-    return m.select("model", "title", "metric", F.round("value", 9).alias("value"))
+    return m.select("model", "title", "metric", F.round("value", 6).alias("value"))
 
 
 @query("chart_confusion", with_frames(["scored_events"], "with " + q_eval._per_class_sql("scored_events").strip()
@@ -81,29 +81,29 @@ def q_chart_confusion(spark, sf_dir):
 
 
 @query("chart_map_points", with_frames(["scored_events"], "with " + q_risk._COMPOSITE.strip() + f"""
-select event_id, latitude as lat, longitude as lon, round(risk, 9) as score, {_BAND.format(s='risk')} as band,
-  round(risk, 9) as size
+select event_id, latitude as lat, longitude as lon, round(risk, 6) as score, {_BAND.format(s='risk')} as band,
+  round(risk, 6) as size
 from z where latitude is not null and longitude is not null and risk is not null""").replace("\nwith ", ",\n", 1))
 def q_chart_map_points(spark, sf_dir):
     pts = cd.chart_map_points(q_risk._composite(spark, sf_dir), "latitude", "longitude", "risk_score", ["event_id"], P)
-    return pts.select("event_id", "lat", "lon", F.round("score", 9).alias("score"), "band",
-                      F.round("size", 9).alias("size"))
+    return pts.select("event_id", "lat", "lon", F.round("score", 6).alias("score"), "band",
+                      F.round("size", 6).alias("size"))
 
 
 @query("chart_map_grid", with_frames(["scored_events"], "with " + q_risk._COMPOSITE.strip() + f"""
 select floor(latitude / 0.5e0) * 0.5e0 as lat_lo, floor(longitude / 0.5e0) * 0.5e0 as lon_lo, count(*) as n,
-  round(avg(risk), 9) as mean_score, round(max(risk), 9) as max_score, {_BAND.format(s='avg(risk)')} as band
+  round(avg(risk), 6) as mean_score, round(max(risk), 6) as max_score, {_BAND.format(s='avg(risk)')} as band
 from z where latitude is not null and longitude is not null and risk is not null
 group by floor(latitude / 0.5e0), floor(longitude / 0.5e0)""").replace("\nwith ", ",\n", 1))
 def q_chart_map_grid(spark, sf_dir):
     g = cd.chart_map_grid(q_risk._composite(spark, sf_dir), "latitude", "longitude", "risk_score", 0.5, P)
-    return g.select("lat_lo", "lon_lo", "n", F.round("mean_score", 9).alias("mean_score"),
-                    F.round("max_score", 9).alias("max_score"), "band")
+    return g.select("lat_lo", "lon_lo", "n", F.round("mean_score", 6).alias("mean_score"),
+                    F.round("max_score", 6).alias("max_score"), "band")
 
 
 @query("chart_timeline", with_frames(["scored_events"], """
-select date_trunc('hour', ts) as bucket, count(*) as n, round(min(anomaly_score), 9) as min_score,
-  round(avg(anomaly_score), 9) as mean_score,
+select date_trunc('hour', ts) as bucket, count(*) as n, round(min(anomaly_score), 6) as min_score,
+  round(avg(anomaly_score), 6) as mean_score,
   count_if(anomaly_score < (select quantile_cont(anomaly_score, 0.1) from scored_events))::bigint as n_flagged
 from scored_events group by 1"""))
 def q_chart_timeline(spark, sf_dir):
@@ -113,5 +113,5 @@ def q_chart_timeline(spark, sf_dir):
     flagged = df.withColumn("flag", F.col("anomaly_score") < F.lit(offset))
     t = cd.chart_timeline(flagged, "anomaly_score", "flag", "ts", bucket="hour")
     return t.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n",
-                    F.round("min_score", 9).alias("min_score"), F.round("mean_score", 9).alias("mean_score"),
+                    F.round("min_score", 6).alias("min_score"), F.round("mean_score", 6).alias("mean_score"),
                     "n_flagged")

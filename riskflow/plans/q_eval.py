@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskflow.operators import evaluate as ev
 from riskflow.params import Params
 from riskflow.plans.fixtures import frame, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure
 
 P = Params()
@@ -21,7 +21,7 @@ def _scored(spark, sf_dir):
 
 
 def r9(c):
-    return F.round(c, 9)
+    return F.round(c, DIGITS)
 
 
 def _per_class_sql(src: str, label: str = "label", pred: str = "prediction") -> str:
@@ -41,10 +41,10 @@ pc as (select *, case when precision + recall > 0 then 2 * precision * recall /
           as f1 from pc1)"""
 
 
-_WEIGHTED = """select round(sum(case when support > 0 then recall * support end) / sum(support), 9) as accuracy,
-  round(sum(precision * support) / sum(support), 9) as precision,
-  round(sum(recall * support) / sum(support), 9) as recall,
-  round(sum(f1 * support) / sum(support), 9) as f1 from pc"""
+_WEIGHTED = """select round(sum(case when support > 0 then recall * support end) / sum(support), 6) as accuracy,
+  round(sum(precision * support) / sum(support), 6) as precision,
+  round(sum(recall * support) / sum(support), 6) as recall,
+  round(sum(f1 * support) / sum(support), 6) as f1 from pc"""
 
 
 @query("confusion_matrix", with_frames(["scored_events"], "with " + _per_class_sql("scored_events").strip()
@@ -61,13 +61,13 @@ def q_weighted_metrics(spark, sf_dir):
 
 
 @query("classification_report", with_frames(["scored_events"], "with " + _per_class_sql("scored_events").strip() + """
-select cast(c as varchar) as class, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1,
+select cast(c as varchar) as class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1,
   support::bigint as support from pc
 union all
-select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support)::bigint from pc
+select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::bigint from pc
 union all
-select 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
-  round(sum(f1 * support) / sum(support), 9), sum(support)::bigint from pc""").replace("\nwith ", ",\n", 1))
+select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), sum(support)::bigint from pc""").replace("\nwith ", ",\n", 1))
 def q_classification_report(spark, sf_dir):
     r = ev.classification_report(_scored(spark, sf_dir), "label", "prediction")
     return r.select("class", *[r9(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
@@ -83,14 +83,14 @@ t as (select s, pos, neg,
 
 
 @query("roc_auc", with_frames(["scored_events"], "with " + _SCORE_TABLE.strip() + """
-select round(sum(pos * (neg_below + 0.5 * neg)) / (max(p_all) * max(n_all)), 9) as roc_auc from t""")
+select round(sum(pos * (neg_below + 0.5 * neg)) / (max(p_all) * max(n_all)), 6) as roc_auc from t""")
        .replace("\nwith ", ",\n", 1))
 def q_roc_auc(spark, sf_dir):
     return ev.roc_auc(_scored(spark, sf_dir), "label", "model_prob").select(r9(F.col("roc_auc")).alias("roc_auc"))
 
 
 @query("average_precision", with_frames(["scored_events"], "with " + _SCORE_TABLE.strip() + """
-select round(sum(pos / p_all * (p_all - pos_below) / ((p_all - pos_below) + (n_all - neg_below))), 9)
+select round(sum(pos / p_all * (p_all - pos_below) / ((p_all - pos_below) + (n_all - neg_below))), 6)
   as average_precision from t""").replace("\nwith ", ",\n", 1))
 def q_average_precision(spark, sf_dir):
     a = ev.average_precision(_scored(spark, sf_dir), "label", "model_prob")
@@ -99,7 +99,7 @@ def q_average_precision(spark, sf_dir):
 
 @query("class_weight", with_frames(["geo_events"], """
 select label, count(*) as n, round((select count(*) from geo_events where label is not null)
-  / ((select count(distinct label) from geo_events) * count(*))::double, 9) as weight
+  / ((select count(distinct label) from geo_events) * count(*))::double, 6) as weight
 from geo_events where label is not null group by label"""))
 def q_class_weight(spark, sf_dir):
     configure(spark)
@@ -126,7 +126,7 @@ def _select_best_sql():
         src = f"(select label, case when model_prob >= {t!r} then 1 else 0 end as prediction from scored_events)"
         parts.append(f"select '{name}' as model, {pos} as position, (with " + _per_class_sql(src).strip()
                      + " select sum(f1 * support) / sum(support) from pc) as f1")
-    return with_frames(["scored_events"], "select model, round(f1, 9) as f1 from (\n"
+    return with_frames(["scored_events"], "select model, round(f1, 6) as f1 from (\n"
                        + "\nunion all\n".join(parts) + "\n) order by f1 desc, position asc limit 1")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskflow.operators import prep as pp
 from riskflow.params import Params
 from riskflow.plans.fixtures import frame, table, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure
 
 P = Params()
@@ -22,7 +22,7 @@ def _f(spark, sf_dir, name):
 
 
 def r9(c):
-    return F.round(c, 9)
+    return F.round(c, DIGITS)
 
 
 def _hash_sql(key: str, seed: int = 42) -> str:
@@ -37,8 +37,8 @@ def q_coerce_types(spark, sf_dir):
 
 
 @query("geo_features", with_frames(["geo_events"], """
-select event_id, round(radians(latitude), 9) as geo_lat_rad, round(radians(longitude), 9) as geo_lon_rad,
-  round(sqrt(latitude*latitude + longitude*longitude), 9) as geo_distance_eq,
+select event_id, round(radians(latitude), 6) as geo_lat_rad, round(radians(longitude), 6) as geo_lon_rad,
+  round(sqrt(latitude*latitude + longitude*longitude), 6) as geo_distance_eq,
   coalesce((latitude >= 0)::int, 0) * 2 + coalesce((longitude >= 0)::int, 0) as geo_quadrant
 from geo_events"""))
 def q_geo_features(spark, sf_dir):
@@ -89,7 +89,7 @@ def _clip_sql():
     qs = ", ".join(f"quantile_cont({c}, 0.25) as q1_{c}, quantile_cont({c}, 0.75) as q3_{c}" for c in LINE_FEATS)
     cols = ", ".join(
         f"round(case when {c} is null then null else least(greatest({c}, q1_{c} - 1.5*(q3_{c}-q1_{c})), "
-        f"q3_{c} + 1.5*(q3_{c}-q1_{c})) end, 9) as {c}" for c in LINE_FEATS)
+        f"q3_{c} + 1.5*(q3_{c}-q1_{c})) end, 6) as {c}" for c in LINE_FEATS)
     return with_frames(["line_risk"], f"select {', '.join(LINE_KEYS)}, {cols} from line_risk, (select {qs} from line_risk)")
 
 
@@ -103,7 +103,7 @@ def q_clip_iqr(spark, sf_dir):
 def _zscore_sql():
     st = ", ".join(f"avg(coalesce({c}, 0e0)) as m_{c}, stddev_pop(coalesce({c}, 0e0)) as s_{c}" for c in GEO_NUM)
     cols = ", ".join(
-        f"round(case when s_{c} = 0 then {c} when abs((coalesce({c}, 0e0) - m_{c}) / s_{c}) < 3e0 then {c} end, 9)"
+        f"round(case when s_{c} = 0 then {c} when abs((coalesce({c}, 0e0) - m_{c}) / s_{c}) < 3e0 then {c} end, 6)"
         f" as {c}" for c in GEO_NUM)
     return with_frames(["geo_events"], f"select event_id, {cols} from geo_events, (select {st} from geo_events)")
 
@@ -117,7 +117,7 @@ def q_null_zscore(spark, sf_dir):
 
 def _impute_q(name, strategy, fill_sql):
     @query(name, with_frames(["geo_events"], f"""
-select event_id, round(coalesce(temperature, ({fill_sql})), 9) as temperature from geo_events"""))
+select event_id, round(coalesce(temperature, ({fill_sql})), 6) as temperature from geo_events"""))
     def q(spark, sf_dir):
         df = _f(spark, sf_dir, "geo_events").select("event_id", "temperature")
         out = pp.impute(df, ["temperature"], strategy, P)
@@ -133,7 +133,7 @@ _impute_q("impute_mode", "most_frequent", """select temperature from geo_events
 
 def _scale_q(name, method, center, scale):
     st = ", ".join(f"{center.format(c=c)} as c_{c}, {scale.format(c=c)} as s_{c}" for c in LINE_FEATS)
-    cols = ", ".join(f"round(({c} - c_{c}) / case when s_{c} = 0 then 1e0 else s_{c} end, 9) as {c}"
+    cols = ", ".join(f"round(({c} - c_{c}) / case when s_{c} = 0 then 1e0 else s_{c} end, 6) as {c}"
                      for c in LINE_FEATS)
 
     @query(name, with_frames(["line_risk"], f"select {', '.join(LINE_KEYS)}, {cols} from line_risk, "
@@ -212,7 +212,7 @@ st as (select {st} from filled)"""
 
 
 def _scaled(src: str) -> str:
-    return ", ".join(f"round(({c} - m_{c}) / case when s_{c} = 0 then 1e0 else s_{c} end, 9) as {c}"
+    return ", ".join(f"round(({c} - m_{c}) / case when s_{c} = 0 then 1e0 else s_{c} end, 6) as {c}"
                      for c in CHAIN_FEATURES)
 
 
@@ -234,7 +234,7 @@ def q_prep_pipeline(spark, sf_dir):
 
 @query("prep_stats", with_frames(["geo_events"], "with " + _chain_ctes().strip() + f"""
 select count(*) as n_rows, {len(CHAIN_FEATURES)} as n_features,
-  round(({' + '.join(f'avg(({c} is null)::int)' for c in CHAIN_FEATURES)}) / {len(CHAIN_FEATURES)}e0 * 100e0, 9)
+  round(({' + '.join(f'avg(({c} is null)::int)' for c in CHAIN_FEATURES)}) / {len(CHAIN_FEATURES)}e0 * 100e0, 6)
     as missing_pct
 from clipped""").replace("\nwith ", ",\n", 1))
 def q_prep_stats(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators import profile as pr
 from riskflow.plans.fixtures import frame, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure
 
 GEO_COLS = ["event_id", "ts", "latitude", "longitude", "temperature", "infrastructure_score", "k_text",
@@ -70,11 +70,11 @@ def q_validate_issues(spark, sf_dir):
 
 
 @query("class_distribution", with_frames(["geo_events"], """
-select label, count(*) as n, round(count(*) / (select count(*) from geo_events)::double, 9) as share
+select label, count(*) as n, round(count(*) / (select count(*) from geo_events)::double, 6) as share
 from geo_events group by label"""))
 def q_class_distribution(spark, sf_dir):
     d = pr.class_distribution(_geo(spark, sf_dir), "label")
-    return d.withColumn("share", F.round("share", 9))
+    return d.withColumn("share", F.round("share", 6))
 
 
 @query("drop_duplicates", with_frames(["geo_events_dirty"], "select distinct * from geo_events_dirty"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskflow.operators.risk import composite_risk, minmax, risk_summary
 from riskflow.params import Params
 from riskflow.plans.fixtures import frame, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure
 
 P = Params()
@@ -23,7 +23,7 @@ def _scored(spark, sf_dir):
 
 
 def r9(c):
-    return F.round(c, 9)
+    return F.round(c, DIGITS)
 
 
 # DuckDB text of the exact density (distinct points, cut at kde_cutoff bandwidths) and of the composite.
@@ -62,7 +62,7 @@ def _composite(spark, sf_dir):
 
 
 @query("minmax_norm", with_frames(["scored_events"], """
-select event_id, round(case when mx = mn then 0e0 else (-anomaly_score - mn) / (mx - mn) end, 9) as anomaly_norm
+select event_id, round(case when mx = mn then 0e0 else (-anomaly_score - mn) / (mx - mn) end, 6) as anomaly_norm
 from scored_events, (select min(-anomaly_score) as mn, max(-anomaly_score) as mx from scored_events)"""))
 def q_minmax_norm(spark, sf_dir):
     df = _scored(spark, sf_dir).withColumn("neg_anomaly", -F.col("anomaly_score"))
@@ -70,19 +70,19 @@ def q_minmax_norm(spark, sf_dir):
 
 
 @query("spatial_density", with_frames(["scored_events"], "with " + _PARTS.strip() + """
-select event_id, round(dn, 9) as spatial_density from y""").replace("\nwith ", ",\n", 1))
+select event_id, round(dn, 6) as spatial_density from y""").replace("\nwith ", ",\n", 1))
 def q_spatial_density(spark, sf_dir):
     return _composite(spark, sf_dir).select("event_id", r9(F.col("spatial_density")).alias("spatial_density"))
 
 
 @query("recency", with_frames(["scored_events"], "with " + _PARTS.strip() + """
-select event_id, round(rec, 9) as recency from y""").replace("\nwith ", ",\n", 1))
+select event_id, round(rec, 6) as recency from y""").replace("\nwith ", ",\n", 1))
 def q_recency(spark, sf_dir):
     return _composite(spark, sf_dir).select("event_id", r9(F.col("recency")).alias("recency"))
 
 
 @query("composite_risk", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
-select event_id, round(m, 9) as model_prob, round(risk, 9) as risk_score, {_LEVEL.format(s='risk')} as risk_level
+select event_id, round(m, 6) as model_prob, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level
 from z""").replace("\nwith ", ",\n", 1))
 def q_composite_risk(spark, sf_dir):
     return _composite(spark, sf_dir).select("event_id", r9(F.col("model_prob")).alias("model_prob"),
@@ -90,7 +90,7 @@ def q_composite_risk(spark, sf_dir):
 
 
 @query("composite_missing_parts", with_frames(["scored_events"], f"""
-select event_id, round(r, 9) as risk_score, {_LEVEL.format(s='r')} as risk_level from (
+select event_id, round(r, 6) as risk_score, {_LEVEL.format(s='r')} as risk_level from (
   select event_id, least(greatest({WM}*m + {WA}*m + {WS}*m, 0e0), 1e0) as r
   from (select event_id, least(greatest(model_prob, 0e0), 1e0) as m from scored_events))"""))
 def q_composite_missing_parts(spark, sf_dir):
@@ -99,7 +99,7 @@ def q_composite_missing_parts(spark, sf_dir):
 
 
 @query("risk_levels", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
-select {_LEVEL.format(s='risk')} as risk_level, count(*) as n, round(avg(risk), 9) as mean_risk
+select {_LEVEL.format(s='risk')} as risk_level, count(*) as n, round(avg(risk), 6) as mean_risk
 from z group by 1""").replace("\nwith ", ",\n", 1))
 def q_risk_levels(spark, sf_dir):
     return (_composite(spark, sf_dir).groupBy("risk_level")
@@ -108,8 +108,8 @@ def q_risk_levels(spark, sf_dir):
 
 _SUMMARY_SQL = "with " + _COMPOSITE.strip() + f""",
 lv as (select risk, {_LEVEL.format(s='risk')} as level from z)
-select count(risk) as n_samples, round(avg(risk), 9) as mean_risk, round(median(risk), 9) as median_risk,
-  round(max(risk), 9) as max_risk, round(min(risk), 9) as min_risk, round(stddev_pop(risk), 9) as std_risk,
+select count(risk) as n_samples, round(avg(risk), 6) as mean_risk, round(median(risk), 6) as median_risk,
+  round(max(risk), 6) as max_risk, round(min(risk), 6) as min_risk, round(stddev_pop(risk), 6) as std_risk,
   nullif(count_if(level = 'low'), 0)::bigint as n_low,
   case when count_if(level = 'low') > 0 then round(count_if(level = 'low') / count(risk) * 100e0, 1) end as pct_low,
   nullif(count_if(level = 'medium'), 0)::bigint as n_medium,
@@ -117,7 +117,7 @@ select count(risk) as n_samples, round(avg(risk), 9) as mean_risk, round(median(
     as pct_medium,
   nullif(count_if(level = 'high'), 0)::bigint as n_high,
   case when count_if(level = 'high') > 0 then round(count_if(level = 'high') / count(risk) * 100e0, 1) end as pct_high,
-  count_if(risk >= 0.66)::bigint as high_risk_count, round(count_if(risk >= 0.66) / count(risk) * 100e0, 9) as high_risk_pct
+  count_if(risk >= 0.66)::bigint as high_risk_count, round(count_if(risk >= 0.66) / count(risk) * 100e0, 6) as high_risk_pct
 from lv"""
 
 
@@ -129,7 +129,7 @@ def q_risk_summary(spark, sf_dir):
 
 
 @query("scored_preview", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
-select event_id, round(risk, 9) as risk_score, {_LEVEL.format(s='risk')} as risk_level
+select event_id, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level
 from z order by event_id limit 500""").replace("\nwith ", ",\n", 1))
 def q_scored_preview(spark, sf_dir):
     """The first 500 scored records by key (the original's response cap - the limit is the feature)."""

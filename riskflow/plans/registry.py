@@ -7,6 +7,10 @@ from typing import Callable
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
+# Floating outputs are rounded to this many decimals in both engines: sums of floats depend on the order
+# of partial sums (partitioning in Spark, threads in DuckDB); the differences (~1e-14) are far below it.
+DIGITS = 6
+
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):

@@ -14,13 +14,16 @@ sys.path.insert(0, "/root/repo")
 from riskflow.plans.fixtures import TABLES  # noqa: E402
 
 
+DIGITS = 6
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if DIGITS is None else round(v, DIGITS)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if hasattr(v, "tolist"):
@@ -86,7 +89,9 @@ if __name__ == "__main__":
     from riskflow.session import get_spark
     spark = get_spark("local[8]", 8)
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2].split(",") if len(sys.argv) > 2 else None
+    names = sys.argv[2].split(",") if len(sys.argv) > 2 and sys.argv[2] else None
+    if len(sys.argv) > 3:
+        DIGITS = None if sys.argv[3] == "exact" else int(sys.argv[3])
     res = compare(spark, sf, names)
     bad = {k: v for k, v in res.items() if not (v == "OK" or v.startswith("rows-only"))}
     print("SUMMARY", len(res), "queries,", len(bad), "bad:", bad)
