@@ -121,6 +121,22 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     return t.agg(F.when(F.first("P") > 0, F.sum(F.col("pos") / F.col("P") * tp / (tp + fp))).alias("average_precision"))
 
 
+def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction",
+             score: str | None = None, positive=1) -> DataFrame:
+    """E1-E4 (+ E7, E8 with a score column) as a long (metric, value) table."""
+    m = weighted_metrics(df, label, prediction)
+    cols = ["accuracy", "precision", "recall", "f1"]
+    if score is not None:
+        m = m.crossJoin(roc_auc(df, label, score, positive)).crossJoin(average_precision(df, label, score, positive))
+        cols += ["roc_auc", "average_precision"]
+    stack = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
+    return m.selectExpr(f"stack({len(cols)}, {stack}) as (metric, value)")
+
+
+confusion = confusion_matrix
+class_report = classification_report
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """M4: (label, n, weight) with weight = n_total / (K * n_class)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))

@@ -50,6 +50,31 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def with_label(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, dict | None]:
+    """The target renamed to `out`; text labels become codes of their sorted values (the map is
+    returned, bounded by the class count). NULL labels stay NULL."""
+    if target not in df.columns:
+        return df, None
+    x = df.withColumnRenamed(target, out) if target != out else df
+    if not isinstance(df.schema[target].dataType, T.StringType):
+        return x, None
+    values = sorted(r[0] for r in x.select(out).where(F.col(out).isNotNull()).distinct().collect())
+    mapping = {v: i for i, v in enumerate(values)}
+    lm = F.create_map(*[z for k, v in mapping.items() for z in (F.lit(k), F.lit(v))])
+    return x.withColumn(out, F.try_element_at(lm, F.col(out))), mapping
+
+
+def drop_constant(df: DataFrame, keep: list[str] | tuple = ()) -> tuple[DataFrame, list[str]]:
+    """Drop columns with at most one distinct non-null value (one min <=> max pass)."""
+    fields = [f for f in df.schema.fields if f.name not in keep
+              and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    if not fields:
+        return df, []
+    r = df.agg(*[F.min(_q(f.name)).eqNullSafe(F.max(_q(f.name))).alias(f"k{i}") for i, f in enumerate(fields)]).first()
+    const = [f.name for i, f in enumerate(fields) if r[f"k{i}"]]
+    return df.drop(*const), const
+
+
 def coerce_plan(df: DataFrame, cols: list[str] | None = None) -> dict[str, str]:
     """C4 decision: string columns whose every non-null value is a number -> 'bigint' (all integers) or
     'double'. One aggregate pass."""
@@ -222,6 +247,11 @@ class CategoryEncoder:
         return None
 
 
+def encode(df: DataFrame, encoder: "CategoryEncoder") -> DataFrame:
+    """C11: apply a fitted category encoder (unseen and NULL -> -1)."""
+    return encoder.apply(df)
+
+
 def iqr_bounds(df: DataFrame, cols: list[str], p: Params = Params()) -> dict[str, tuple]:
     """C13 fit: Q1, median, Q3 (linear) and the clip bounds Q1 - 1.5 IQR, Q3 + 1.5 IQR per column."""
     qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], p.quantiles, p.approx_accuracy)

@@ -111,14 +111,18 @@ def validate(df: DataFrame, min_rows: int = 10) -> DataFrame:
                 .where("r.hit").select("r.issue", F.col("r.n").cast("long").alias("n"), "r.columns"))
 
 
-def infer_target(columns: list[str]) -> str | None:
-    """First column, in table order, whose lower-cased name is a target name."""
-    return next((c for c in columns if c.lower() in TARGET_NAMES), None)
+def _names(columns) -> list[str]:
+    return list(columns.columns) if isinstance(columns, DataFrame) else list(columns)
 
 
-def infer_coords(columns: list[str], target: str | None = None) -> tuple[str | None, str | None]:
+def infer_target(columns) -> str | None:
+    """First column, in table order, whose lower-cased name is a target name (a DataFrame or names)."""
+    return next((c for c in _names(columns) if c.lower() in TARGET_NAMES), None)
+
+
+def infer_coords(columns, target: str | None = None) -> tuple[str | None, str | None]:
     """First latitude-like and longitude-like columns in table order; the target is taken off first."""
-    cols = [c for c in columns if c != target]
+    cols = [c for c in _names(columns) if c != target]
     lat = next((c for c in cols if c.lower() in LAT_NAMES), None)
     lon = next((c for c in cols if c.lower() in LON_NAMES), None)
     return lat, lon
@@ -130,3 +134,8 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     total = df.agg(F.count("*").alias("__total"))
     return (counts.crossJoin(F.broadcast(total))
                   .select("label", "n", (F.col("n") / F.col("__total")).alias("share")))
+
+
+def profile(df: DataFrame, n_sample: int = 5, order_by: list[str] | None = None) -> dict[str, DataFrame]:
+    """P1-P3 together: schema with shape, missing share per column, and the head sample."""
+    return {"schema": profile_schema(df), "missing": profile_missing(df), "sample": preview(df, n_sample, order_by)}

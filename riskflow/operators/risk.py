@@ -41,6 +41,37 @@ def time_ns(c: str, dtype: str) -> Column:
     return (F.unix_micros(x) * F.lit(1000)).cast("double")
 
 
+def spatial_density(df: DataFrame, lat: str, lon: str, p: Params = Params(), mode: str | None = None,
+                    out: str = "spatial_density") -> DataFrame:
+    """`df` plus the min-max normalised log kernel density at each row's coordinates."""
+    dens, n_points = log_density_points(df, lat, lon, p, mode)
+    dens = cut_lineage(dens)
+    st = dens.agg(F.min("log_density").alias("__lo"), F.max("log_density").alias("__hi"))
+    dens = dens.crossJoin(F.broadcast(st)).select(
+        F.col(lat).alias("__jlat"), F.col(lon).alias("__jlon"),
+        _norm(F.col("log_density"), F.col("__lo"), F.col("__hi")).alias(out))
+    if n_points <= p.broadcast_max_rows:
+        dens = F.broadcast(dens)
+    x = df.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
+    return x.join(dens, ["__jlat", "__jlon"], "left").drop("__jlat", "__jlon")
+
+
+def recency(df: DataFrame, ts: str, out: str = "recency") -> DataFrame:
+    """Linear recency (t - t_min) / (t_max - t_min + 1e-9) in nanoseconds; text that does not parse
+    gives 0.5 for every row; a row without a time gives 0."""
+    dtype = dict(df.dtypes)[ts]
+    t = time_ns(ts, dtype)
+    aggs = [F.min(t).alias("__lo"), F.max(t).alias("__hi")]
+    text = dtype not in ("timestamp", "timestamp_ntz", "date")
+    if text:
+        aggs.append(F.count_if(F.col(ts).isNotNull() & t.isNull()).alias("__bad"))
+    x = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    rec = F.coalesce((t - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + F.lit(1e-9)), F.lit(0.0))
+    if text:
+        rec = F.when(F.col("__bad") > 0, F.lit(0.5)).otherwise(rec)
+    return x.withColumn(out, rec).drop(*[c for c in ("__lo", "__hi", "__bad") if c in x.columns])
+
+
 def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: str | None = None,
                    lon: str | None = None, ts: str | None = None, p: Params = Params(),
                    keep_parts: bool = False, density_mode: str | None = None, bounds: dict | None = None) -> DataFrame:

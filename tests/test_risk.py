@@ -115,3 +115,29 @@ def test_risk_summary_levels_present_only(spark):
     assert r["n_samples"] == 3 and r["n_high"] is None and r["pct_low"] == pytest.approx(66.7)
     assert r["median_risk"] == pytest.approx(0.2) and r["std_risk"] == pytest.approx(np.std([0.1, 0.2, 0.5]))
     assert r["high_risk_count"] == 0
+
+
+def test_standalone_density_and_recency(spark):
+    from riskflow.operators.risk import recency, spatial_density
+    df = spark.createDataFrame([(1, 0.0, 0.0, "2024-01-01 00:00:00"), (2, 0.1, 0.1, "2024-01-02 00:00:00"),
+                                (3, 3.0, 3.0, "2024-01-03 00:00:00")], "k int, la double, lo double, t string")
+    d = {r["k"]: r["spatial_density"] for r in spatial_density(df, "la", "lo").collect()}
+    assert d[3] == 0.0 and max(d.values()) == 1.0
+    r = {x["k"]: x["recency"] for x in recency(df.withColumn("t", F.to_timestamp("t")), "t").collect()}
+    assert r[1] == 0.0 and r[2] == pytest.approx(0.5) and r[3] == pytest.approx(1.0)
+
+
+def test_evaluate_long_form(spark):
+    from riskflow.operators.evaluate import evaluate
+    df = spark.createDataFrame([(1, 1, 0.9), (0, 0, 0.1), (1, 0, 0.4), (0, 1, 0.6)], "label int, prediction int, s double")
+    m = {r["metric"]: r["value"] for r in evaluate(df, score="s").collect()}
+    assert m["accuracy"] == 0.5 and m["roc_auc"] == pytest.approx(0.75)
+
+
+def test_with_label_and_drop_constant(spark):
+    from riskflow.operators.prep import drop_constant, with_label
+    df = spark.createDataFrame([("b", 1, 5), ("a", 2, 5), (None, 3, 5)], "t string, x int, c int")
+    out, m = with_label(df, "t")
+    assert m == {"a": 0, "b": 1} and [r["label"] for r in out.collect()] == [1, 0, None]
+    kept, const = drop_constant(df)
+    assert const == ["c"] and kept.columns == ["t", "x"]
