@@ -52,17 +52,26 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
     group_cols = list(group_cols)
     long = _long_form(df, cols, group_cols)
     spark = df.sparkSession
-    base = long.groupBy(*group_cols, "c").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                              F.max("v").alias("hi")).collect()
+    # first pass: count, min, max per column in one wide aggregate (no explode)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`").cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    base = df.groupBy(*group_cols).agg(*aggs).collect()
     counts, targets = {}, []
     for r in base:
         g = _gkey(r, group_cols)
-        counts[(g, cols[r["c"]])] = r["n"]
-        for k in sorted(set(ranks_fn(r["n"]))):
-            t = _Target(g, r["c"], k, r["lo"], r["hi"], 0)
-            if r["lo"] == r["hi"]:
-                t.value = r["lo"]
-            targets.append(t)
+        for i, c in enumerate(cols):
+            n, lo, hi = r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]
+            if n == 0:
+                continue
+            counts[(g, c)] = n
+            for k in sorted(set(ranks_fn(n))):
+                t = _Target(g, i, k, lo, hi, 0)
+                if lo == hi:
+                    t.value = lo
+                targets.append(t)
     small = [t for t in targets if t.value is None and counts[(t.gkey, cols[t.cidx])] <= _FETCH_LIMIT]
     if small:
         _fetch_exact_targets(long, group_cols, df, small)
@@ -70,9 +79,17 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
     while any(t.value is None for t in targets):
         open_t = [t for t in targets if t.value is None]
         passes += 1
-        joined = _bracketed(long, group_cols, df, open_t)
+        # targets with the same bracket share one histogram (at the first pass all ranks of a column do)
+        shared: dict[tuple, list] = {}
+        for t in open_t:
+            shared.setdefault((t.gkey, t.cidx, t.lo, t.hi), []).append(t)
+        reps = [ts[0] for ts in shared.values()]
+        joined = _bracketed(long, group_cols, df, reps)
         if passes > _MAX_PASSES:            # safety net; brackets shrink ~`buckets`-fold per pass
-            _fetch_exact(joined, open_t)
+            _fetch_exact(joined, reps)
+            for ts in shared.values():
+                for t in ts[1:]:
+                    _fetch_exact_targets(long, group_cols, df, [t])
             break
         width = F.col("hi") - F.col("lo")
         bucket = F.least(F.lit(buckets - 1),
@@ -84,17 +101,19 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
         for r in hist:
             by_t.setdefault(r["t"], []).append((r["b"], r["m"], r["vmin"], r["vmax"]))
         small = []
-        for i, t in enumerate(open_t):
-            cum = t.below
-            for b, m, vmin, vmax in sorted(by_t.get(i, [])):
-                if cum + m > t.rank:
-                    t.lo, t.hi, t.below = vmin, vmax, cum
-                    if vmin == vmax:
-                        t.value = vmin
-                    elif m <= _FETCH_LIMIT:
-                        small.append(t)
-                    break
-                cum += m
+        for i, ts in enumerate(shared.values()):
+            bins = sorted(by_t.get(i, []))
+            for t in ts:
+                cum = t.below
+                for b, m, vmin, vmax in bins:
+                    if cum + m > t.rank:
+                        t.lo, t.hi, t.below = vmin, vmax, cum
+                        if vmin == vmax:
+                            t.value = vmin
+                        elif m <= _FETCH_LIMIT:
+                            small.append(t)
+                        break
+                    cum += m
         if small:
             _fetch_exact_targets(long, group_cols, df, small)
     return counts, {(t.gkey, cols[t.cidx], t.rank): t.value for t in targets}
@@ -115,7 +134,18 @@ def _bracketed(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target
 
 
 def _fetch_exact_targets(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target]) -> None:
-    _fetch_exact(_bracketed(long, group_cols, df, targets), targets)
+    """Fetch the values of each distinct bracket once (<= _FETCH_LIMIT values each) and rank exactly."""
+    shared: dict[tuple, list] = {}
+    for t in targets:
+        shared.setdefault((t.gkey, t.cidx, t.lo, t.hi), []).append(t)
+    reps = [ts[0] for ts in shared.values()]
+    vals: dict[int, list] = {}
+    for r in _bracketed(long, group_cols, df, reps).select("t", "v").collect():
+        vals.setdefault(r["t"], []).append(r["v"])
+    for i, ts in enumerate(shared.values()):
+        vs = sorted(vals.get(i, []))
+        for t in ts:
+            t.value = vs[t.rank - t.below]
 
 
 def _fetch_exact(joined: DataFrame, targets: list[_Target]) -> None:
@@ -140,17 +170,19 @@ def _interp_ranks(probs):
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols=(), mode: str = "exact",
-              accuracy: int = 10000) -> dict:
-    """{(gkey, col): [q(p) for p in probs]} over non-null values; None for a column with no values."""
+              accuracy: int = 10000, with_counts: bool = False):
+    """{(gkey, col): [q(p) for p in probs]} over non-null values; None for a column with no values.
+    With `with_counts` also {(gkey, col): non-null count}."""
     group_cols = list(group_cols)
     if not cols:
-        return {}
+        return ({}, {}) if with_counts else {}
     if mode == "approx":
         long = _long_form(df, cols, group_cols)
         rows = long.groupBy(*group_cols, "c").agg(
-            F.percentile_approx("v", list(probs), accuracy).alias("q")).collect()
+            F.percentile_approx("v", list(probs), accuracy).alias("q"), F.count("*").alias("n")).collect()
         out = {(_gkey(r, group_cols), cols[r["c"]]): list(r["q"]) for r in rows}
-        return out
+        cnt = {(_gkey(r, group_cols), cols[r["c"]]): r["n"] for r in rows}
+        return (out, cnt) if with_counts else out
     if mode != "exact":
         raise ValueError(f"unknown quantile mode {mode!r}; use 'exact' or 'approx'")
     counts, stats = order_statistics(df, cols, _interp_ranks(probs), group_cols)
@@ -163,14 +195,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols=(),
             lo, hi = stats[(g, c, k)], stats[(g, c, min(k + 1, n - 1))]
             qs.append(lo + (hi - lo) * (pos - k))
         out[(g, c)] = qs
-    return out
+    return (out, counts) if with_counts else out
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], mode: str = "exact",
-                     accuracy: int = 10000) -> dict:
-    """{col: [q(p)...]} without groups; columns with no values map to [None...]."""
-    res = quantiles(df, cols, probs, (), mode, accuracy)
-    return {c: res.get(((), c), [None] * len(probs)) for c in cols}
+                     accuracy: int = 10000, with_counts: bool = False):
+    """{col: [q(p)...]} without groups; columns with no values map to [None...] (and count 0)."""
+    res, cnt = quantiles(df, cols, probs, (), mode, accuracy, with_counts=True)
+    out = {c: res.get(((), c), [None] * len(probs)) for c in cols}
+    return (out, {c: cnt.get(((), c), 0) for c in cols}) if with_counts else out
 
 
 def kth_cut(df: DataFrame, col: str, fractions: list[float], group_cols=()) -> dict:

@@ -137,6 +137,18 @@ confusion = confusion_matrix
 class_report = classification_report
 
 
+def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
+    """E7 and E8 from one score table in one aggregate."""
+    t = score_table(df, label, score, positive)
+    tp = F.col("P") - F.col("pos_below")
+    fp = F.col("N") - F.col("neg_below")
+    return t.agg(
+        F.when((F.first("P") > 0) & (F.first("N") > 0),
+               F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))) / (F.first("P") * F.first("N")))
+        .alias("roc_auc"),
+        F.when(F.first("P") > 0, F.sum(F.col("pos") / F.col("P") * tp / (tp + fp))).alias("average_precision"))
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """M4: (label, n, weight) with weight = n_total / (K * n_class)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))

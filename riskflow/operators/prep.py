@@ -199,15 +199,17 @@ class CategoryEncoder:
     def fit(cls, df: DataFrame, cols: list[str], p: Params = Params()) -> "CategoryEncoder":
         if not cols:
             return cls(mapping={})
-        distinct = cut_lineage(_distinct_values(df, cols))
-        n = distinct.count()
-        if n <= LITERAL_MAP_MAX:
+        # one job decides: at most LITERAL_MAP_MAX + 1 distinct rows ever reach the driver
+        head = _distinct_values(df, cols).limit(LITERAL_MAP_MAX + 1).collect()
+        if len(head) <= LITERAL_MAP_MAX:
             # small: codes on the driver (text sorts by code point, as Spark's UTF-8 byte order does)
             mapping: dict[str, list] = {c: [] for c in cols}
-            for r in distinct.collect():
+            for r in head:
                 mapping[r["column"]].append(r["value"])
             return cls(mapping={c: {v: i for i, v in enumerate(sorted(vs))} for c, vs in mapping.items()})
-        return cls(table=cut_lineage(_ranked_codes(distinct, n)), broadcast_max_rows=p.broadcast_max_rows)
+        distinct = cut_lineage(_distinct_values(df, cols))
+        return cls(table=cut_lineage(_ranked_codes(distinct, distinct.count())),
+                   broadcast_max_rows=p.broadcast_max_rows)
 
     @property
     def columns(self) -> list[str]:
@@ -252,9 +254,10 @@ def encode(df: DataFrame, encoder: "CategoryEncoder") -> DataFrame:
     return encoder.apply(df)
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], p: Params = Params()) -> dict[str, tuple]:
-    """C13 fit: Q1, median, Q3 (linear) and the clip bounds Q1 - 1.5 IQR, Q3 + 1.5 IQR per column."""
-    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], p.quantiles, p.approx_accuracy)
+def iqr_bounds(df: DataFrame, cols: list[str], p: Params = Params(), with_counts: bool = False):
+    """C13 fit: Q1, median, Q3 (linear) and the clip bounds Q1 - 1.5 IQR, Q3 + 1.5 IQR per column
+    (and, with `with_counts`, the non-null count per column from the same pass)."""
+    qs, counts = column_quantiles(df, cols, [0.25, 0.5, 0.75], p.quantiles, p.approx_accuracy, with_counts=True)
     out = {}
     for c in cols:
         q1, q2, q3 = qs[c]
@@ -263,7 +266,7 @@ def iqr_bounds(df: DataFrame, cols: list[str], p: Params = Params()) -> dict[str
             continue
         iqr = q3 - q1
         out[c] = (q1 - 1.5 * iqr, q3 + 1.5 * iqr, q1, q2, q3)
-    return out
+    return (out, counts) if with_counts else out
 
 
 def clip_expr(c: Column, lo, hi) -> Column:
@@ -559,7 +562,6 @@ class Prep:
             raise ValueError("column names that differ only in case are not supported")
         # C1 dedup, checkpointed: every later pass reads it
         base = cut_lineage(drop_duplicates(df))
-        n_rows = base.count()
         # C2 target
         target = target if (target and target in base.columns) else None
         label_map = None
@@ -572,7 +574,8 @@ class Prep:
         fields = {f.name: f.dataType for f in x.schema.fields}
         strings = [c for c in cand if isinstance(fields[c], T.StringType)]
         orderable = [c for c in cand if not isinstance(fields[c], (T.ArrayType, T.MapType, T.StructType))]
-        aggs = [F.min(_q(c)).eqNullSafe(F.max(_q(c))).alias(f"k{i}") for i, c in enumerate(orderable)]
+        aggs = [F.count("*").alias("__rows")]
+        aggs += [F.min(_q(c)).eqNullSafe(F.max(_q(c))).alias(f"k{i}") for i, c in enumerate(orderable)]
         for i, c in enumerate(strings):
             aggs += [F.count_if(_q(c).isNotNull() & ~_q(c).rlike(NUMBER_RE)).alias(f"bad{i}"),
                      F.count_if(_q(c).isNotNull() & ~_q(c).rlike(INTEGER_RE)).alias(f"nonint{i}"),
@@ -580,7 +583,8 @@ class Prep:
             for j, fmt in enumerate(TIME_FORMATS):
                 aggs.append(F.count_if(_q(c).isNotNull() & F.try_to_timestamp(_q(c), F.lit(fmt)).isNull())
                             .alias(f"t{i}_{j}"))
-        r = x.agg(*aggs).first() if aggs else None
+        r = x.agg(*aggs).first()
+        n_rows = r["__rows"]
         constant = [c for i, c in enumerate(orderable) if r[f"k{i}"]]
         cand = [c for c in cand if c not in constant]
         coerce = {}
@@ -622,8 +626,9 @@ class Prep:
         clip: dict[str, tuple] = {}
         zs: dict[str, tuple] = {}
         medians = None
+        nonnull = None
         if p.outlier_method == "iqr":
-            b = iqr_bounds(x, num_fields, p)
+            b, nonnull = iqr_bounds(x, num_fields, p, with_counts=True)
             clip = {c: v[:2] for c, v in b.items() if v[0] is not None}
             medians = {c: v[3] for c, v in b.items()}
             handled = x.withColumns({c: clip_expr(_q(c), *clip[c]) for c in clip})
@@ -633,9 +638,10 @@ class Prep:
         else:
             handled = x
         # P11 (before imputation) and D10: all-NULL columns leave the feature list
-        miss = handled.agg(*[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(num_fields)]).first() \
-            if num_fields else None
-        nonnull = {c: miss[f"c{i}"] for i, c in enumerate(num_fields)} if miss else {}
+        if nonnull is None:       # clipping keeps NULLs as they are; the z-score rule makes new ones
+            miss = handled.agg(*[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(num_fields)]).first() \
+                if num_fields else None
+            nonnull = {c: miss[f"c{i}"] for i, c in enumerate(num_fields)} if miss else {}
         features = [c for c in num_fields if nonnull.get(c, 0) > 0]
         missing_pct = (sum(1.0 - nonnull[c] / n_rows for c in num_fields) / len(num_fields) * 100.0
                        if num_fields and n_rows else 0.0)

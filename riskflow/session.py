@@ -65,9 +65,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` once as a Parquet table in the shared checkpoint folder and read it back.
+
+    Reliable (survives executor loss, unlike localCheckpoint), computed once (`Dataset.checkpoint` runs the
+    plan twice unless it is persisted first), and later scans prune columns and push filters. Types Parquet
+    cannot hold fall back to a reliable `checkpoint()` of the persisted frame.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - e.g. a NullType or interval column
+        ensure_checkpoint_dir(spark)
+        kept = df.persist()
+        out = kept.checkpoint(eager=True)
+        kept.unpersist()
+        return out
 
 
 def _count():
