@@ -58,10 +58,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{os.getpid()}-{next(_counter)}"
+    path = f"{base}/tables/{name}-{os.getpid()}-{next(_counter)}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote (through the Hadoop FileSystem of the path, so it
+    works on any shared store). Only call it when no DataFrame built on them is used any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            fs.delete(path, True)
+            n += 1
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
