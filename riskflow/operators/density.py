@@ -6,8 +6,9 @@ Plan shape (no cartesian product, no all-pairs within a group):
   1. equal coordinates are grouped first (partial aggregation; a hot spot of identical points becomes one
      row with a weight);
   2. sources: `exact` keeps the distinct points; `binned` groups them into cells of side h*bin_fraction,
-     kept as (mean lat, mean lon, weight) - at most one row per cell whatever the row count, so the
-     pairs per evaluated point are bounded by the cells within the cut-off radius;
+     kept as (mean, weight, covariance) - at most one row per cell whatever the row count, so the
+     pairs per evaluated point are bounded by the cells within the cut-off radius; the kernel sum of a
+     cell is its weight times the kernel at the mean with the second-order (covariance) term;
   3. every distinct point is evaluated at its own position: equi-join on a grid cell (side = radius / 2)
      against the sources replicated to the neighbour cells that can hold a point within the radius, then
      the distance filter;
@@ -63,18 +64,31 @@ def log_density_points(df: DataFrame, lat: str, lon: str, p: Params = Params(),
     mode = mode or choose_mode(n_points, p)
     if mode == "exact":
         radius = p.kde_cutoff * h
-        src = pts.select(F.col("plat").alias("slat"), F.col("plon").alias("slon"), F.col("w").cast("double").alias("sw"))
+        src = pts.select(F.col("plat").alias("slat"), F.col("plon").alias("slon"), F.col("w").cast("double").alias("sw"),
+                         *[F.lit(0.0).alias(c) for c in ("vxx", "vyy", "vxy")])
     else:
         radius = p.binned_cutoff * h
         side = h * p.bin_fraction
-        src = (pts.groupBy(F.floor(F.col("plat") / side).alias("bx"), F.floor(F.col("plon") / side).alias("by"))
-                  .agg((F.sum(F.col("plat") * F.col("w")) / F.sum("w")).alias("slat"),
-                       (F.sum(F.col("plon") * F.col("w")) / F.sum("w")).alias("slon"),
-                       F.sum("w").cast("double").alias("sw"))
-                  .drop("bx", "by"))
+        # per cell: weight, mean and the central second moments (in cell-local coordinates, no cancellation)
+        bx, by = F.floor(F.col("plat") / side), F.floor(F.col("plon") / side)
+        cells = (pts.withColumn("bx", bx).withColumn("by", by)
+                    .withColumn("lx", F.col("plat") - F.col("bx") * side)
+                    .withColumn("ly", F.col("plon") - F.col("by") * side)
+                    .groupBy("bx", "by")
+                    .agg(F.sum("w").cast("double").alias("sw"),
+                         F.sum(F.col("w") * F.col("lx")).alias("s_x"), F.sum(F.col("w") * F.col("ly")).alias("s_y"),
+                         F.sum(F.col("w") * F.col("lx") * F.col("lx")).alias("s_xx"),
+                         F.sum(F.col("w") * F.col("ly") * F.col("ly")).alias("s_yy"),
+                         F.sum(F.col("w") * F.col("lx") * F.col("ly")).alias("s_xy")))
+        mx, my = F.col("s_x") / F.col("sw"), F.col("s_y") / F.col("sw")
+        src = cells.select(
+            (F.col("bx") * side + mx).alias("slat"), (F.col("by") * side + my).alias("slon"), "sw",
+            F.greatest(F.col("s_xx") / F.col("sw") - mx * mx, F.lit(0.0)).alias("vxx"),
+            F.greatest(F.col("s_yy") / F.col("sw") - my * my, F.lit(0.0)).alias("vyy"),
+            (F.col("s_xy") / F.col("sw") - mx * my).alias("vxy"))
     cell = radius / _SPLIT
     src_cells = (src.withColumn("cx", F.floor(F.col("slat") / cell)).withColumn("cy", F.floor(F.col("slon") / cell))
-                    .select("slat", "slon", "sw", _neighbour_keys("cx", "cy").alias("g")))
+                    .select("slat", "slon", "sw", "vxx", "vyy", "vxy", _neighbour_keys("cx", "cy").alias("g")))
     n_src = (src.count() if mode == "binned" else n_points) * len(_OFFSETS)
     if n_src <= p.broadcast_max_rows:
         src_cells = F.broadcast(src_cells)
@@ -85,10 +99,17 @@ def log_density_points(df: DataFrame, lat: str, lon: str, p: Params = Params(),
                                                    F.floor(F.col("plon") / cell)).alias("g")).repartition(n_parts)
     dlat, dlon = F.col("plat") - F.col("slat"), F.col("plon") - F.col("slon")
     d2 = dlat * dlat + dlon * dlon
+    h2 = h * h
+    kernel = F.col("sw") * F.exp(-d2 / F.lit(2.0 * h2))
+    if mode == "binned":
+        # second-order term of the kernel around the cell mean: 1 + tr(H S) / 2, H the kernel's Hessian
+        # over K (d d^T / h^4 - I / h^2) and S the cell's covariance - the binning error drops to 4th order
+        quad = F.col("vxx") * dlat * dlat + 2.0 * F.col("vxy") * dlat * dlon + F.col("vyy") * dlon * dlon
+        kernel = kernel * (F.lit(1.0) + F.lit(0.5) * (quad / F.lit(h2 * h2) - (F.col("vxx") + F.col("vyy")) / F.lit(h2)))
     return (targets.join(src_cells, on="g")
                    .where(d2 <= F.lit(radius * radius))
                    .groupBy("plat", "plon")
-                   .agg(F.log(F.sum(F.col("sw") * F.exp(-d2 / F.lit(2.0 * h * h)))).alias("log_density"))
+                   .agg(F.log(F.sum(kernel)).alias("log_density"))
                    .withColumnRenamed("plat", lat).withColumnRenamed("plon", lon)), n_points
 
 

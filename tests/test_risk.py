@@ -70,7 +70,7 @@ def _fixture_points(n=400, seed=7):
     return pts
 
 
-@pytest.mark.parametrize("mode,tol", [("exact", 1e-9), ("binned", 0.01)])
+@pytest.mark.parametrize("mode,tol", [("exact", 1e-9), ("binned", 1e-4)])
 def test_density_against_brute_force(spark, mode, tol):
     pts = _fixture_points()
     df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "lat double, lon double")
