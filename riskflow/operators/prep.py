@@ -472,13 +472,18 @@ class PrepModel:
             label = [lab.alias(s["label_out"])]
         return x.select(*[_q(k) for k in keep], *label, *[v.alias(c) for c, v in cols.items()])
 
-    def transform(self, df: DataFrame, outliers: bool | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, outliers: bool | None = None, passthrough=(),
+                  prefix: str = "__src_") -> DataFrame:
         """New rows -> key columns, label (when present), features in fitted order. No dedup; outlier
-        handling only when `clip_on_transform` (the original applies it at fit only)."""
-        x = df
-        if self.state["target"] and self.state["target"] in x.columns:
+        handling only when `clip_on_transform` (the original applies it at fit only).
+
+        `passthrough` source columns come along unchanged as `<prefix><name>`, so scoring can attach its
+        results to the source rows in the same narrow pipeline (no join back on a key)."""
+        extra = [f"{prefix}{c}" for c in passthrough]
+        x = df.select("*", *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in passthrough]) if passthrough else df
+        if self.state["target"] and self.state["target"] in df.columns:
             x = x.withColumnRenamed(self.state["target"], self.state["label_out"])
-        return self._features_frame(x, self.p.clip_on_transform if outliers is None else outliers)
+        return self._features_frame(x, self.p.clip_on_transform if outliers is None else outliers, extra)
 
     def fitted_frame(self, df: DataFrame | None = None, with_split: bool = True, stratify: bool = False,
                      exact: bool = False) -> DataFrame:

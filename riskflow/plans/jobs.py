@@ -63,15 +63,17 @@ def score_new(df: DataFrame, prep_model: PrepModel, models: RiskModels, keys: li
               lat: str | None = None, lon: str | None = None, ts: str | None = None,
               model_name: str | None = None, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
     """New rows -> prepared features -> model probability + anomaly score/flag -> composite
-    risk and level, attached to the source columns (joined on the key, no positional zip)."""
-    feats = prep_model.transform(df)
+    risk and level, attached to the source columns (carried through the pipeline: no join, no positional
+    zip). `keys` identify rows for the caller; the scoring itself needs no join on them."""
+    # the source columns ride along through the features and the model: one narrow pipeline, no join
+    feats = prep_model.transform(df, passthrough=df.columns)
     pred = models.predict(feats, model_name)
-    cols = [*keys, F.col("risk_prob").alias("__prob")]
+    cols = [F.col(f"`__src_{c}`").alias(c) for c in df.columns] + [F.col("risk_prob").alias("__prob")]
     if "anomaly_score" in pred.columns:
         cols += [F.col("anomaly_score").alias("__anom"), F.col("anomaly_flag")]
-    joined = df.join(pred.select(*cols), on=keys, how="inner")
+    rows = pred.select(*cols)
     anomaly = "__anom" if "anomaly_score" in pred.columns else None
-    out = composite_risk(joined, "__prob", anomaly, lat, lon, ts, p, bounds=bounds)
+    out = composite_risk(rows, "__prob", anomaly, lat, lon, ts, p, bounds=bounds)
     if "anomaly_flag" not in out.columns:
         out = out.withColumn("anomaly_flag", F.lit(False))
     return out.drop("__prob", "__anom")
