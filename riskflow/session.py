@@ -37,9 +37,54 @@ def configure(spark: SparkSession) -> SparkSession:
     """Session settings every query needs (idempotent)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> str | None:
+    """Make `riskflow` importable in the Python workers (pandas UDFs reference its functions by module).
+
+    Without this a worker only finds the package when it happens to start in the repository folder. The
+    package is zipped in memory, written once into the shared checkpoint folder and added with
+    `addPyFile`, the same mechanism as `--py-files`. Skipped when the job was submitted with the package.
+    """
+    sc = spark.sparkContext
+    shipped = getattr(sc, "_riskflow_pyfile", None)
+    if shipped:
+        return shipped
+    if "riskflow" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        sc._riskflow_pyfile = "submitted"
+        return sc._riskflow_pyfile
+    import hashlib
+    import io
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    info = zipfile.ZipInfo(os.path.relpath(full, os.path.dirname(root)), (1980, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        z.writestr(info, fh.read())
+    data = buf.getvalue()
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    target = f"{base}/pyfiles/riskflow-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(target)
+    sc._riskflow_pyfile = target
+    return target
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder: the cluster's `spark.checkpoint.dir` when set.
 
