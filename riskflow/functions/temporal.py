@@ -22,12 +22,22 @@ TIME_FORMATS = (
 
 PARTS = ("year", "month", "dayofweek", "hour", "quarter")
 
+# Every format above starts with a numeric field of at least two digits (only a year may carry a sign), so
+# text that does not start like this cannot parse with any of them: the cheap check skips the parse (a
+# failing parse costs far more than the pattern test).
+_TIME_PREFIX = r"^[+-]?[0-9][0-9]"
+
+
+def parse_text_time(c: Column, fmt: str) -> Column:
+    """`try_to_timestamp(c, fmt)` for one of TIME_FORMATS; NULL without a parse for text that cannot match."""
+    return F.when(c.rlike(_TIME_PREFIX), F.try_to_timestamp(c, F.lit(fmt)))
+
 
 def parse_time(c: str, fmt: str | None) -> Column:
     """A column as a timestamp: native time columns as they are, text with the fitted format."""
     if fmt is None:
         return F.col(c)
-    return F.try_to_timestamp(F.col(c), F.lit(fmt))
+    return parse_text_time(F.col(c), fmt)
 
 
 def calendar_parts(ts: Column, prefix: str) -> dict[str, Column]:

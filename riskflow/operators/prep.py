@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from riskflow.functions.geo import geo_feature_columns
 from riskflow.functions.hashing import bucket, row_hash
 from riskflow.functions.quantiles import column_quantiles, order_statistics
-from riskflow.functions.temporal import TIME_FORMATS, calendar_parts, parse_time
+from riskflow.functions.temporal import TIME_FORMATS, calendar_parts, parse_text_time, parse_time
 from riskflow.operators.profile import infer_coords
 from riskflow.params import Params
 from riskflow.session import cut_lineage
@@ -125,7 +125,7 @@ def detect_temporal(df: DataFrame, cols: list[str] | None = None, formats=TIME_F
         elif isinstance(f.dataType, T.StringType):
             strings.append(f.name)
     if strings:
-        aggs = [F.count_if(_q(c).isNotNull() & F.try_to_timestamp(_q(c), F.lit(fmt)).isNull()).alias(f"f{i}_{j}")
+        aggs = [F.count_if(_q(c).isNotNull() & parse_text_time(_q(c), fmt).isNull()).alias(f"f{i}_{j}")
                 for i, c in enumerate(strings) for j, fmt in enumerate(formats)]
         aggs += [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(strings)]
         r = df.agg(*aggs).first()
@@ -586,7 +586,7 @@ class Prep:
                      F.count_if(_q(c).isNotNull() & ~_q(c).rlike(INTEGER_RE)).alias(f"nonint{i}"),
                      F.count(_q(c)).alias(f"nn{i}")]
             for j, fmt in enumerate(TIME_FORMATS):
-                aggs.append(F.count_if(_q(c).isNotNull() & F.try_to_timestamp(_q(c), F.lit(fmt)).isNull())
+                aggs.append(F.count_if(_q(c).isNotNull() & parse_text_time(_q(c), fmt).isNull())
                             .alias(f"t{i}_{j}"))
         r = x.agg(*aggs).first()
         n_rows = r["__rows"]

@@ -73,6 +73,10 @@ def score_new(df: DataFrame, prep_model: PrepModel, models: RiskModels, keys: li
         cols += [F.col("anomaly_score").alias("__anom"), F.col("anomaly_flag")]
     rows = pred.select(*cols)
     anomaly = "__anom" if "anomaly_score" in pred.columns else None
+    if (lat and lon) or (bounds is None and (anomaly or ts)):
+        # the rows feed the density points, the min/max and the result, and a Python scan (the forest)
+        # stops column pruning: materialise them once so the models run once per row, not per consumer
+        rows = cut_lineage(rows)
     out = composite_risk(rows, "__prob", anomaly, lat, lon, ts, p, bounds=bounds)
     if "anomaly_flag" not in out.columns:
         out = out.withColumn("anomaly_flag", F.lit(False))
