@@ -34,6 +34,12 @@ _OFFSETS = [(dx, dy) for dx in range(-_SPLIT - 1, _SPLIT + 2) for dy in range(-_
             if max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2 < _SPLIT ** 2]
 
 
+# Evaluated points per join task: about 20,000 points x ~2,000 source cells per task. The task count is
+# capped so a very large point table gets longer tasks rather than millions of them.
+_POINTS_PER_TASK = 20_000
+_MAX_TASKS = 100_000
+
+
 def _cell_key(gx: Column, gy: Column) -> Column:
     """One long per grid cell (a single-long join key takes Spark's fast hashed-relation path)."""
     return gx * F.lit(1 << 32) + gy
@@ -94,7 +100,7 @@ def log_density_points(df: DataFrame, lat: str, lon: str, p: Params = Params(),
         src_cells = F.broadcast(src_cells)
     # the pair work is far larger than the bytes of the point table, so AQE would coalesce it into a
     # few tasks: spread the points over a partition count that follows the point count instead
-    n_parts = max(df.sparkSession.sparkContext.defaultParallelism, n_points // 20_000)
+    n_parts = max(df.sparkSession.sparkContext.defaultParallelism, min(n_points // _POINTS_PER_TASK, _MAX_TASKS))
     targets = pts.select("plat", "plon", _cell_key(F.floor(F.col("plat") / cell),
                                                    F.floor(F.col("plon") / cell)).alias("g")).repartition(n_parts)
     dlat, dlon = F.col("plat") - F.col("slat"), F.col("plon") - F.col("slon")

@@ -50,6 +50,19 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+# A text target with more distinct values than this is not a class label: fitting stops with an error
+# instead of collecting an unbounded value list.
+MAX_CLASSES = 10_000
+
+
+def _class_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-NULL values of a text target (at most MAX_CLASSES reach the driver)."""
+    got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(got) > MAX_CLASSES:
+        raise ValueError(f"target {col!r} has more than {MAX_CLASSES} distinct values; it is not a class label")
+    return sorted(got)
+
+
 def with_label(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, dict | None]:
     """The target renamed to `out`; text labels become codes of their sorted values (the map is
     returned, bounded by the class count). NULL labels stay NULL."""
@@ -58,7 +71,7 @@ def with_label(df: DataFrame, target: str, out: str = "label") -> tuple[DataFram
     x = df.withColumnRenamed(target, out) if target != out else df
     if not isinstance(df.schema[target].dataType, T.StringType):
         return x, None
-    values = sorted(r[0] for r in x.select(out).where(F.col(out).isNotNull()).distinct().collect())
+    values = _class_values(x, out)
     mapping = {v: i for i, v in enumerate(values)}
     lm = F.create_map(*[z for k, v in mapping.items() for z in (F.lit(k), F.lit(v))])
     return x.withColumn(out, F.try_element_at(lm, F.col(out))), mapping
@@ -571,7 +584,7 @@ class Prep:
         target = target if (target and target in base.columns) else None
         label_map = None
         if target and isinstance(base.schema[target].dataType, T.StringType):
-            values = sorted(r[0] for r in base.select(target).where(F.col(target).isNotNull()).distinct().collect())
+            values = _class_values(base, target)
             label_map = {v: i for i, v in enumerate(values)}        # bounded by the class count
         x = base.drop(target) if target else base
         cand = [c for c in x.columns if c not in keys]

@@ -194,3 +194,15 @@ def test_ranked_codes_many_ranges(spark):
     for i, v in enumerate(sorted(vals)):
         assert codes[("c", v)] == i
     assert [codes[("d", str(k))] for k in range(7)] == list(range(7))
+
+
+def test_text_target_class_bound(spark, monkeypatch):
+    from riskflow.operators import prep as pp
+    df = spark.createDataFrame([(i, f"c{i % 5}") for i in range(50)], "id long, y string")
+    x, mapping = pp.with_label(df, "y")
+    assert mapping == {f"c{i}": i for i in range(5)}
+    assert sorted(r["label"] for r in x.select("label").distinct().collect()) == list(range(5))
+    monkeypatch.setattr(pp, "MAX_CLASSES", 4)
+    import pytest
+    with pytest.raises(ValueError, match="not a class label"):
+        pp.with_label(df, "y")
