@@ -96,7 +96,8 @@ def log_density_points(df: DataFrame, lat: str, lon: str, p: Params = Params(),
     src_cells = (src.withColumn("cx", F.floor(F.col("slat") / cell)).withColumn("cy", F.floor(F.col("slon") / cell))
                     .select("slat", "slon", "sw", "vxx", "vyy", "vxy", _neighbour_keys("cx", "cy").alias("g")))
     n_src = (src.count() if mode == "binned" else n_points) * len(_OFFSETS)
-    if n_src <= p.broadcast_max_rows:
+    # fixed-width rows (six doubles and a long): the counted rows bound the bytes
+    if n_src <= p.broadcast_max_rows and n_src * 56 <= p.broadcast_max_bytes:
         src_cells = F.broadcast(src_cells)
     # the pair work is far larger than the bytes of the point table, so AQE would coalesce it into a
     # few tasks: spread the points over a partition count that follows the point count instead
@@ -124,7 +125,7 @@ def with_log_density(df: DataFrame, lat: str, lon: str, p: Params = Params(), ou
     """`df` plus the log density at each row's coordinates (NULL where a coordinate is NULL)."""
     dens, n_points = log_density_points(df, lat, lon, p, mode)
     dens = cut_lineage(dens.withColumnRenamed("log_density", out))
-    if n_points <= p.broadcast_max_rows:
+    if n_points <= p.broadcast_max_rows and n_points * 24 <= p.broadcast_max_bytes:
         dens = F.broadcast(dens)
     keyed = df.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
     dens = dens.withColumnRenamed(lat, "__jlat").withColumnRenamed(lon, "__jlon")

@@ -203,10 +203,11 @@ class CategoryEncoder:
     projection); large ones a join on (value) - broadcast when its counted size allows."""
 
     def __init__(self, mapping: dict[str, dict[str, int]] | None = None, table: DataFrame | None = None,
-                 broadcast_max_rows: int = 2_000_000):
+                 broadcast_max_rows: int = 2_000_000, broadcast_max_bytes: int = 128 << 20):
         self.mapping = mapping
         self.table = table
         self.broadcast_max_rows = broadcast_max_rows
+        self.broadcast_max_bytes = broadcast_max_bytes
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str], p: Params = Params()) -> "CategoryEncoder":
@@ -222,7 +223,7 @@ class CategoryEncoder:
             return cls(mapping={c: {v: i for i, v in enumerate(sorted(vs))} for c, vs in mapping.items()})
         distinct = cut_lineage(_distinct_values(df, cols))
         return cls(table=cut_lineage(_ranked_codes(distinct, distinct.count())),
-                   broadcast_max_rows=p.broadcast_max_rows)
+                   broadcast_max_rows=p.broadcast_max_rows, broadcast_max_bytes=p.broadcast_max_bytes)
 
     @property
     def columns(self) -> list[str]:
@@ -243,13 +244,16 @@ class CategoryEncoder:
                     exprs[c] = F.lit(-1)
             return df.withColumns(exprs) if exprs else df
         out = df
-        n = self.table.count()
-        for c in self.columns:
+        # rows and value bytes per column in one aggregate (one row per column): a map side is broadcast
+        # only when both are under the limits (text values have no fixed width, so rows alone bound nothing)
+        sizes = {r["column"]: (r["n"], r["b"] or 0) for r in self.table.groupBy("column").agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("b")).collect()}
+        for c, (n, nbytes) in sizes.items():
             if c not in out.columns:
                 continue
             t = self.table.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"),
                                                                F.col("code").alias(f"__code_{c}"))
-            if n <= self.broadcast_max_rows:
+            if n <= self.broadcast_max_rows and nbytes + 16 * n <= self.broadcast_max_bytes:
                 t = F.broadcast(t)
             out = (out.join(t, _q(c).cast("string") == F.col(f"__v_{c}"), "left")
                       .withColumn(c, F.coalesce(F.col(f"__code_{c}"), F.lit(-1)))
@@ -549,7 +553,8 @@ class PrepModel:
                 mapping.setdefault(r["column"], {})[r["value"]] = r["code"]
             enc = CategoryEncoder(mapping=mapping)
         else:
-            enc = CategoryEncoder(table=table, broadcast_max_rows=p.broadcast_max_rows)
+            enc = CategoryEncoder(table=table, broadcast_max_rows=p.broadcast_max_rows,
+                                  broadcast_max_bytes=p.broadcast_max_bytes)
         return cls(state, enc, p)
 
 

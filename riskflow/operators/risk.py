@@ -50,7 +50,7 @@ def spatial_density(df: DataFrame, lat: str, lon: str, p: Params = Params(), mod
     dens = dens.crossJoin(F.broadcast(st)).select(
         F.col(lat).alias("__jlat"), F.col(lon).alias("__jlon"),
         _norm(F.col("log_density"), F.col("__lo"), F.col("__hi")).alias(out))
-    if n_points <= p.broadcast_max_rows:
+    if n_points <= p.broadcast_max_rows and n_points * 24 <= p.broadcast_max_bytes:
         dens = F.broadcast(dens)
     x = df.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
     return x.join(dens, ["__jlat", "__jlon"], "left").drop("__jlat", "__jlon")
@@ -101,7 +101,7 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
         # the pair sums feed both the rows and their min/max: compute them once
         dens = cut_lineage(dens.withColumnRenamed("log_density", "__ld"))
         dstats = dens.agg(F.min("__ld").alias("__d_lo"), F.max("__ld").alias("__d_hi"))
-        if n_points <= p.broadcast_max_rows:
+        if n_points <= p.broadcast_max_rows and n_points * 24 <= p.broadcast_max_bytes:
             dens = F.broadcast(dens)
         x = (x.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
               .join(dens.withColumnRenamed(lat, "__jlat").withColumnRenamed(lon, "__jlon"),

@@ -76,6 +76,7 @@ class Params:
     binned_cutoff: float = 6.5
     bin_fraction: float = 0.25          # binned source cell side = bandwidth * bin_fraction
     broadcast_max_rows: int = 2_000_000
+    broadcast_max_bytes: int = 128 << 20     # with the row limit: a side is broadcast only under both
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

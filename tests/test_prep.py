@@ -206,3 +206,18 @@ def test_text_target_class_bound(spark, monkeypatch):
     import pytest
     with pytest.raises(ValueError, match="not a class label"):
         pp.with_label(df, "y")
+
+
+def test_large_map_broadcast_needs_byte_bound(spark, monkeypatch):
+    monkeypatch.setattr(pp, "LITERAL_MAP_MAX", 2)
+    fit = spark.createDataFrame([(v,) for v in "dcba"], "c string")
+    new = spark.createDataFrame([("a",), ("d",), ("q",)], "c string")
+    small = pp.CategoryEncoder.fit(fit, ["c"])
+    tight = pp.CategoryEncoder.fit(fit, ["c"], Params(broadcast_max_bytes=1))
+    plans = {}
+    for name, enc in (("small", small), ("tight", tight)):
+        out = enc.apply(new)
+        assert sorted(r["c"] for r in out.collect()) == [-1, 0, 3]
+        plans[name] = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plans["small"].lower()
+    assert "broadcast" not in plans["tight"].lower()
