@@ -1,29 +1,45 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
-quality rules -> n-gram Jaccard join (one document of each group stays) -> secret scan (spans are masked) -> mixing to
-target weights (documents taken several times, once or not at all) -> packing into sequences.
+quality rules: rejected documents go -> n-gram Jaccard join: one document of each group stays -> secret scan: found spans
+are masked -> mixing to target weights: documents are taken several times, once or not at all -> packing: token pieces of
+the mixed documents in sequences. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskflow.llm import jaccard_join, mixing, packing, quality, secrets
 from riskflow.llm.common import cut, prepare
-from riskflow.llm.mixing import take
-from riskflow.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return keep_good(docs)
+    return quality.keep_good(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return take(docs)
+    return jaccard_join.keep_one(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources to target weights", mixing)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.mask(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.take(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan),
+          ("mixing sources to target weights", source_mix), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-ORACLE_SQL = None  # hashes, tokens and sequences cannot be expressed in SQL; tests compare with brute force
+ORACLE_SQL = None  # hashes, tokens and sequences cannot be expressed in SQL; the tests compare with brute force

@@ -14,12 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.session import configure, cut_lineage
+from riskflow.session import configure, scratch_path
 
 SPACE_CLASS = r"[ \t-\r]"          # Java / Python regex for one space character
 WORD_CLASS = r"[^ \t-\r]"
 CHUNK_BYTES = 1 << 21               # text bytes hashed at once in a task
-BATCH_ROWS = "512"
+BATCH_ROWS, BATCH_BYTES = "512", "8m"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 U = np.uint64
 
@@ -28,6 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: shared folder, package for workers, small Arrow batches (texts are long)."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -38,7 +40,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise once as Parquet in the shared folder (survives lost executors) and read it back."""
-    return cut_lineage(df)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "llm")
+    kept = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the plan runs once; its shuffle files go as soon as the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a table from `cut` once nothing reads it any more (other frames are left alone)."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def null_safe_eq(a, b):

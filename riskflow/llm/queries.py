@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from riskflow.llm.fingerprints import op3_fingerprints
+from riskflow.llm.jaccard_join import op9_jaccard_join
+from riskflow.llm.lm_score import op2_lm_score
 from riskflow.llm.mixing import op1_mix_sources
+from riskflow.llm.packing import op10_pack_harmonic
 from riskflow.llm.quality import op7_quality_rules
+from riskflow.llm.secrets import op6_secret_scan
+from riskflow.llm.suffix_dedup import op4_suffix_dedup
+from riskflow.llm.toxicity import op8_toxicity
 from riskflow.llm.url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {
-    "op1_mix_sources": op1_mix_sources,
-    "op5_url_filter": op5_url_filter,
-    "op7_quality_rules": op7_quality_rules,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_lm_score, op3_fingerprints, op4_suffix_dedup, op5_url_filter, op6_secret_scan, op7_quality_rules,
+    op8_toxicity, op9_jaccard_join, op10_pack_harmonic)}
 
-ORACLES = {
-    "op5_url_filter": OP5_SQL,
-}
+# The other results need 64-bit hashes, sketches, tokenizers or learned scores; tests compare them with brute force.
+ORACLES = {"op5_url_filter": OP5_SQL}
