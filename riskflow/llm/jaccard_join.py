@@ -261,9 +261,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("m"))
     chosen = chosen.select("m.id", "m.node").distinct()
     empty = found.where("n_shingles = 0").select("id", "node").distinct()
-    id_text = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null"))
-    keys = chosen.unionByName(empty).select(id_text.alias("__id"), F.col("node").alias("__key"))
-    rows = node_of(docs, text_col).withColumnRenamed(id_col, "id").withColumn("__id", id_text).withColumnRenamed("id", id_col)
+    def as_text(c):
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    keys = chosen.unionByName(empty).select(as_text(F.col("id")).alias("__id"), F.col("node").alias("__key"))
+    rows = node_of(docs, text_col).withColumn("__id", as_text(F.col(f"`{id_col}`")))
     rows = rows.join(keys, ["__id", "__key"], "left_semi")
     # equal rows of the chosen id meet in the same partition; empty documents keep their repeats
     copy = F.when(F.col("__key") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))

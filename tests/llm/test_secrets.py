@@ -6,7 +6,8 @@ import string
 from riskflow.llm import secrets as s
 from tests.llm.helpers import SCHEMA, frame, rows
 
-KEY = "".join(random.Random(3).choice(string.ascii_letters + string.digits) for _ in range(40))
+RNG = random.Random(3)
+KEY = "".join(RNG.choice(string.ascii_letters + string.digits) for _ in range(40))
 CASES = ['x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "PassWord: hunter22 and secret=short", "AKIA1234567890ABCD AKIA12", "deadbeef" * 4 + " " + "deadbeef",
          "api_key=api_key=abcdefgh", "toKen = abcdefghij", "ünïcode 🙂 passwd='abc.def-ghi'", "token = token = abcdefgh1", "password=" + "a" * 70000,
          f"authorization header bearer {KEY} end", f"just a name {KEY} end", "credential thonernatandlyounhthetionor and more prose"]
