@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 
 _BUCKETS = 4096
 _FETCH_LIMIT = 5_000
-_MAX_PASSES = 12
 
 
 @dataclass
@@ -37,7 +36,7 @@ def _long_form(df: DataFrame, cols: list[str], group_cols: list[str]) -> DataFra
     items = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
     return (df.select(*[F.col(g) for g in group_cols], F.explode(F.array(*items)).alias("cv"))
               .select(*group_cols, F.col("cv.c").alias("c"), F.col("cv.v").alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v")))
+              .where(F.abs("v") < F.lit(math.inf)))
 
 
 def _gkey(row, group_cols) -> tuple:
@@ -57,7 +56,9 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`").cast("double")
         v = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        inside = F.when(F.abs(v) < F.lit(math.inf), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}"),
+                 F.count_if(v == F.lit(-math.inf)).alias(f"low{i}"), F.count_if(v == F.lit(math.inf)).alias(f"top{i}")]
     base = df.groupBy(*group_cols).agg(*aggs).collect()
     counts, targets = {}, []
     for r in base:
@@ -68,32 +69,29 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
                 continue
             counts[(g, c)] = n
             for k in sorted(set(ranks_fn(n))):
-                t = _Target(g, i, k, lo, hi, 0)
-                if lo == hi:
+                # infinities lie below and above all brackets: ranks among them need no search
+                low, top = r[f"low{i}"], r[f"top{i}"]
+                t = _Target(g, i, k, lo, hi, low)
+                if k < low or k >= n - top:
+                    t.value = -math.inf if k < low else math.inf
+                elif lo == hi:
                     t.value = lo
                 targets.append(t)
     small = [t for t in targets if t.value is None and counts[(t.gkey, cols[t.cidx])] <= _FETCH_LIMIT]
     if small:
         _fetch_exact_targets(long, group_cols, df, small)
-    passes = 0
     while any(t.value is None for t in targets):
         open_t = [t for t in targets if t.value is None]
-        passes += 1
         # targets with the same bracket share one histogram (at the first pass all ranks of a column do)
         shared: dict[tuple, list] = {}
         for t in open_t:
             shared.setdefault((t.gkey, t.cidx, t.lo, t.hi), []).append(t)
         reps = [ts[0] for ts in shared.values()]
         joined = _bracketed(long, group_cols, df, reps)
-        if passes > _MAX_PASSES:            # safety net; brackets shrink ~`buckets`-fold per pass
-            _fetch_exact(joined, reps)
-            for ts in shared.values():
-                for t in ts[1:]:
-                    _fetch_exact_targets(long, group_cols, df, [t])
-            break
-        width = F.col("hi") - F.col("lo")
+        # halves keep the width finite for the largest doubles
+        width = F.col("hi") / 2 - F.col("lo") / 2
         bucket = F.least(F.lit(buckets - 1),
-                         F.floor((F.col("v") - F.col("lo")) / width * F.lit(float(buckets))).cast("int"))
+                         F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * F.lit(float(buckets))).cast("int"))
         hist = (joined.groupBy("t", bucket.alias("b"))
                       .agg(F.count("*").alias("m"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
                       .collect())
@@ -128,9 +126,14 @@ def _bracketed(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target
     types = dict(df.dtypes)
     schema = ", ".join([f"`{g}` {types[g]}" for g in group_cols] + ["c int", "t int", "lo double", "hi double"])
     rows = [(*t.gkey, t.cidx, i, float(t.lo), float(t.hi)) for i, t in enumerate(targets)]
-    brackets = spark.createDataFrame(rows, schema)
-    return long.join(F.broadcast(brackets), on=[*group_cols, "c"]).where(
-        (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    names = [f"__g{i}" for i in range(len(group_cols))]
+    brackets = spark.createDataFrame(rows, schema).toDF(*names, "__c", "t", "lo", "hi")
+    # null-safe on the groups: rows without a group value are a group as well
+    same = F.col("c") == F.col("__c")
+    for g, n in zip(group_cols, names):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(n))
+    return long.join(F.broadcast(brackets), same).where(
+        (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop(*names, "__c")
 
 
 def _fetch_exact_targets(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target]) -> None:
@@ -148,16 +151,6 @@ def _fetch_exact_targets(long: DataFrame, group_cols, df: DataFrame, targets: li
             t.value = vs[t.rank - t.below]
 
 
-def _fetch_exact(joined: DataFrame, targets: list[_Target]) -> None:
-    # each bracket holds at most _FETCH_LIMIT values here (or the pass limit was hit)
-    vals: dict[int, list] = {}
-    for r in joined.select("t", "v").collect():
-        vals.setdefault(r["t"], []).append(r["v"])
-    for i, t in enumerate(targets):
-        vs = sorted(vals.get(i, []))
-        t.value = vs[t.rank - t.below]
-
-
 def _interp_ranks(probs):
     def fn(n):
         out = []
@@ -193,7 +186,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols=(),
             pos = (n - 1) * p
             k = int(math.floor(pos))
             lo, hi = stats[(g, c, k)], stats[(g, c, min(k + 1, n - 1))]
-            qs.append(lo + (hi - lo) * (pos - k))
+            qs.append(lo if lo == hi or pos == k else lo + (hi - lo) * (pos - k))
         out[(g, c)] = qs
     return (out, counts) if with_counts else out
 
@@ -204,18 +197,3 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], mode: s
     res, cnt = quantiles(df, cols, probs, (), mode, accuracy, with_counts=True)
     out = {c: res.get(((), c), [None] * len(probs)) for c in cols}
     return (out, {c: cnt.get(((), c), 0) for c in cols}) if with_counts else out
-
-
-def kth_cut(df: DataFrame, col: str, fractions: list[float], group_cols=()) -> dict:
-    """Per group, the value of rank ceil(f*n)-1 of `col` for each fraction f (exact order statistics).
-
-    Rows with value <= cut(f) are then exactly the first ceil(f*n) rows when values are distinct.
-    """
-    def fn(n):
-        return [max(0, min(n - 1, math.ceil(f * n) - 1)) for f in fractions]
-    counts, stats = order_statistics(df, [col], fn, group_cols)
-    out = {}
-    for (g, c), n in counts.items():
-        out[g] = [stats[(g, c, max(0, min(n - 1, math.ceil(f * n) - 1)))] for f in fractions]
-    return out
-

@@ -24,7 +24,7 @@ from riskflow.functions.geo import geo_feature_columns
 from riskflow.functions.hashing import bucket, row_hash
 from riskflow.functions.quantiles import column_quantiles, order_statistics
 from riskflow.functions.temporal import TIME_FORMATS, calendar_parts, parse_text_time, parse_time
-from riskflow.operators.profile import infer_coords
+from riskflow.operators.profile import infer_coords, nan_to_null
 from riskflow.params import Params
 from riskflow.session import cut_lineage
 
@@ -42,6 +42,11 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def _num(c: str) -> Column:
+    """A column as double; NaN is missing, as NULL is."""
+    return F.nanvl(_q(c).cast("double"), F.lit(None).cast("double"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # single operators (each usable alone; the chain below composes them)
 
@@ -88,6 +93,11 @@ def drop_constant(df: DataFrame, keep: list[str] | tuple = ()) -> tuple[DataFram
     return df.drop(*const), const
 
 
+def _is_long(x: Column) -> Column:
+    """Integer text that fits 64 bits (longer digits stay numbers, as double)."""
+    return x.rlike(INTEGER_RE) & F.trim(x).try_cast("bigint").isNotNull()
+
+
 def coerce_plan(df: DataFrame, cols: list[str] | None = None) -> dict[str, str]:
     """C4 decision: string columns whose every non-null value is a number -> 'bigint' (all integers) or
     'double'. One aggregate pass."""
@@ -98,7 +108,7 @@ def coerce_plan(df: DataFrame, cols: list[str] | None = None) -> dict[str, str]:
     for i, c in enumerate(cols):
         x = _q(c)
         aggs += [F.count_if(x.isNotNull() & ~x.rlike(NUMBER_RE)).alias(f"bad{i}"),
-                 F.count_if(x.isNotNull() & ~x.rlike(INTEGER_RE)).alias(f"nonint{i}")]
+                 F.count_if(x.isNotNull() & ~_is_long(x)).alias(f"nonint{i}")]
     r = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
@@ -295,14 +305,14 @@ def clip_expr(c: Column, lo, hi) -> Column:
 
 def clip_iqr(df: DataFrame, cols: list[str], p: Params = Params()) -> DataFrame:
     b = iqr_bounds(df, cols, p)
-    return df.withColumns({c: clip_expr(_q(c).cast("double"), b[c][0], b[c][1]) for c in cols})
+    return df.withColumns({c: clip_expr(_num(c), b[c][0], b[c][1]) for c in cols})
 
 
 def zscore_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """C14 fit: mean and population std of the values with NULL read as 0."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.coalesce(_q(c).cast("double"), F.lit(0.0))
+        x = F.coalesce(_num(c), F.lit(0.0))
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     r = df.agg(*aggs).first()
     return {c: (r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}
@@ -318,7 +328,7 @@ def zscore_expr(c: Column, mean, std, thr: float) -> Column:
 
 def null_zscore(df: DataFrame, cols: list[str], thr: float = 3.0) -> DataFrame:
     st = zscore_stats(df, cols)
-    return df.withColumns({c: zscore_expr(_q(c).cast("double"), *st[c], thr) for c in cols})
+    return df.withColumns({c: zscore_expr(_num(c), *st[c], thr) for c in cols})
 
 
 def impute_values(df: DataFrame, cols: list[str], strategy: str, p: Params = Params(),
@@ -336,10 +346,10 @@ def impute_values(df: DataFrame, cols: list[str], strategy: str, p: Params = Par
         qs = column_quantiles(df, cols, [0.5], p.quantiles, p.approx_accuracy)
         return {c: qs[c][0] for c in cols}
     if strategy == "mean":
-        r = df.agg(*[F.avg(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        r = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         return {c: r[f"m{i}"] for i, c in enumerate(cols)}
     if strategy == "most_frequent":
-        items = [F.struct(F.lit(i).alias("c"), _q(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+        items = [F.struct(F.lit(i).alias("c"), _num(c).alias("v")) for i, c in enumerate(cols)]
         long = df.select(F.explode(F.array(*items)).alias("cv")).select("cv.c", "cv.v").where(F.col("v").isNotNull())
         counts = long.groupBy("c", "v").count()
         best = counts.groupBy("c").agg(F.max(F.struct(F.col("count"), (-F.col("v")).alias("nv"))).alias("b"))
@@ -350,7 +360,7 @@ def impute_values(df: DataFrame, cols: list[str], strategy: str, p: Params = Par
 
 def impute(df: DataFrame, cols: list[str], strategy: str = "median", p: Params = Params()) -> DataFrame:
     fill = impute_values(df, cols, strategy, p)
-    return df.withColumns({c: F.coalesce(_q(c).cast("double"), F.lit(fill[c])) for c in cols if fill[c] is not None})
+    return df.withColumns({c: F.coalesce(_num(c), F.lit(fill[c])) for c in cols if fill[c] is not None})
 
 
 def scaler_stats(df: DataFrame, cols: list[str], method: str, p: Params = Params()) -> dict[str, tuple]:
@@ -361,13 +371,13 @@ def scaler_stats(df: DataFrame, cols: list[str], method: str, p: Params = Params
     if method == "standard":
         aggs = []
         for i, c in enumerate(cols):
-            aggs += [F.avg(_q(c)).alias(f"m{i}"), F.stddev_pop(_q(c)).alias(f"s{i}")]
+            aggs += [F.avg(_num(c)).alias(f"m{i}"), F.stddev_pop(_num(c)).alias(f"s{i}")]
         r = df.agg(*aggs).first()
         return {c: (r[f"m{i}"], r[f"s{i}"] if r[f"s{i}"] else 1.0) for i, c in enumerate(cols)}
     if method == "minmax":
         aggs = []
         for i, c in enumerate(cols):
-            aggs += [F.min(_q(c)).cast("double").alias(f"lo{i}"), F.max(_q(c)).cast("double").alias(f"hi{i}")]
+            aggs += [F.min(_num(c)).alias(f"lo{i}"), F.max(_num(c)).alias(f"hi{i}")]
         r = df.agg(*aggs).first()
         out = {}
         for i, c in enumerate(cols):
@@ -394,7 +404,7 @@ def scale_expr(c: Column, center, scale) -> Column:
 
 def scale(df: DataFrame, cols: list[str], method: str = "standard", p: Params = Params()) -> DataFrame:
     st = scaler_stats(df, cols, method, p)
-    return df.withColumns({c: scale_expr(_q(c).cast("double"), *st[c]) for c in cols})
+    return df.withColumns({c: scale_expr(_num(c), *st[c]) for c in cols})
 
 
 def assign_split(df: DataFrame, key_cols: list[str], p: Params = Params(), stratify: str | None = None,
@@ -469,7 +479,7 @@ class PrepModel:
         x = self.encoder.apply(x)
         cols = {}
         for c in s["features"]:
-            v = _q(c).cast("double") if c in x.columns else F.lit(None).cast("double")   # C24: absent -> NULL
+            v = _num(c) if c in x.columns else F.lit(None).cast("double")   # C24: absent -> NULL
             if outliers and c in s["clip"]:
                 v = clip_expr(v, *s["clip"][c][:2])
             if outliers and c in s["zscore"]:
@@ -509,7 +519,7 @@ class PrepModel:
         Without `df` the de-duplicated rows checkpointed by `fit` are reused (no second dedup shuffle).
         """
         base = getattr(self, "_base", None)
-        x = base if (df is None and base is not None) else drop_duplicates(df)
+        x = base if (df is None and base is not None) else drop_duplicates(nan_to_null(df))
         if self.state["target"] and self.state["target"] in x.columns:
             x = x.withColumnRenamed(self.state["target"], self.state["label_out"])
         keys = [k for k in self.state["keys"] if k in x.columns]
@@ -584,7 +594,7 @@ class Prep:
         if len(set(lowered)) != len(lowered):
             raise ValueError("column names that differ only in case are not supported")
         # C1 dedup, checkpointed: every later pass reads it
-        base = cut_lineage(drop_duplicates(df))
+        base = cut_lineage(drop_duplicates(nan_to_null(df)))
         # C2 target
         target = target if (target and target in base.columns) else None
         label_map = None
@@ -601,7 +611,7 @@ class Prep:
         aggs += [F.min(_q(c)).eqNullSafe(F.max(_q(c))).alias(f"k{i}") for i, c in enumerate(orderable)]
         for i, c in enumerate(strings):
             aggs += [F.count_if(_q(c).isNotNull() & ~_q(c).rlike(NUMBER_RE)).alias(f"bad{i}"),
-                     F.count_if(_q(c).isNotNull() & ~_q(c).rlike(INTEGER_RE)).alias(f"nonint{i}"),
+                     F.count_if(_q(c).isNotNull() & ~_is_long(_q(c))).alias(f"nonint{i}"),
                      F.count(_q(c)).alias(f"nn{i}")]
             for j, fmt in enumerate(TIME_FORMATS):
                 aggs.append(F.count_if(_q(c).isNotNull() & parse_text_time(_q(c), fmt).isNull())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow.functions.levels import clip01, risk_level
 from riskflow.functions.quantiles import column_quantiles
-from riskflow.operators.density import log_density_points
+from riskflow.operators.density import DensityField, attach_log_density, distinct_points, log_density_points
 from riskflow.params import Params
 from riskflow.session import cut_lineage
 
@@ -41,19 +41,13 @@ def time_ns(c: str, dtype: str) -> Column:
     return (F.unix_micros(x) * F.lit(1000)).cast("double")
 
 
-def spatial_density(df: DataFrame, lat: str, lon: str, p: Params = Params(), mode: str | None = None,
-                    out: str = "spatial_density") -> DataFrame:
+def spatial_density(df: DataFrame, lat: str, lon: str, p: Params = Params(), out: str = "spatial_density") -> DataFrame:
     """`df` plus the min-max normalised log kernel density at each row's coordinates."""
-    dens, n_points = log_density_points(df, lat, lon, p, mode)
+    dens, n_points = log_density_points(df, lat, lon, p)
     dens = cut_lineage(dens)
     st = dens.agg(F.min("log_density").alias("__lo"), F.max("log_density").alias("__hi"))
-    dens = dens.crossJoin(F.broadcast(st)).select(
-        F.col(lat).alias("__jlat"), F.col(lon).alias("__jlon"),
-        _norm(F.col("log_density"), F.col("__lo"), F.col("__hi")).alias(out))
-    if n_points <= p.broadcast_max_rows and n_points * 24 <= p.broadcast_max_bytes:
-        dens = F.broadcast(dens)
-    x = df.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
-    return x.join(dens, ["__jlat", "__jlon"], "left").drop("__jlat", "__jlon")
+    x = attach_log_density(df, dens, n_points, lat, lon, p, "__ld").crossJoin(F.broadcast(st))
+    return x.withColumn(out, _norm(F.col("__ld"), F.col("__lo"), F.col("__hi"))).drop("__ld", "__lo", "__hi")
 
 
 def recency(df: DataFrame, ts: str, out: str = "recency") -> DataFrame:
@@ -74,14 +68,18 @@ def recency(df: DataFrame, ts: str, out: str = "recency") -> DataFrame:
 
 def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: str | None = None,
                    lon: str | None = None, ts: str | None = None, p: Params = Params(),
-                   keep_parts: bool = False, density_mode: str | None = None, bounds: dict | None = None) -> DataFrame:
+                   keep_parts: bool = False, bounds: dict | None = None, field: DensityField | None = None) -> DataFrame:
     """`df` plus model_prob, risk_score, risk_level (and the parts when `keep_parts`).
 
     s = w_m*clip(p) + w_a*A + w_s*D, where A = minmax(-anomaly) or clip(p) without scores and
     D = minmax(log density) or clip(p) without coordinates; with times s *= 1 + w_t*T with
     T = (t - t_min) / (t_max - t_min + 1e-9) in nanoseconds; finally clip to [0, 1].
-    `bounds` freezes the min/max (for scoring new rows or a stream against the fitted table).
+    `bounds` freezes the min/max and `field` the density's sources (both from `fitted_bounds`), for scoring new rows or a
+    stream against the fitted table: such parts are clipped to [0, 1]. A row without coordinates, or without an anomaly
+    score, moves that part's weight to the model, as a table without them does.
     """
+    if bounds and lat and lon and field is None:
+        raise ValueError("frozen bounds need the fitted density field as well")
     w = p.norm_weights()
     types = dict(df.dtypes)
     x = df.withColumn("model_prob", clip01(F.col(prob).cast("double")))
@@ -97,18 +95,16 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
             row_aggs.append(F.count_if(F.col(ts).isNotNull() & F.col("__t").isNull()).alias("__t_bad"))
     geo = bool(lat and lon)
     if geo:
-        dens, n_points = log_density_points(df, lat, lon, p, density_mode)
-        # the pair sums feed both the rows and their min/max: compute them once
-        dens = cut_lineage(dens.withColumnRenamed("log_density", "__ld"))
-        dstats = dens.agg(F.min("__ld").alias("__d_lo"), F.max("__ld").alias("__d_hi"))
-        if n_points <= p.broadcast_max_rows and n_points * 24 <= p.broadcast_max_bytes:
-            dens = F.broadcast(dens)
-        x = (x.withColumn("__jlat", F.col(lat).cast("double")).withColumn("__jlon", F.col(lon).cast("double"))
-              .join(dens.withColumnRenamed(lat, "__jlat").withColumnRenamed(lon, "__jlon"),
-                    on=["__jlat", "__jlon"], how="left")
-              .drop("__jlat", "__jlon"))
+        dens, n_points = log_density_points(df, lat, lon, p, field)
+        # the sums feed both the rows and their min/max: compute them once
+        dens = cut_lineage(dens)
+        dstats = dens.agg(F.min("log_density").alias("__d_lo"), F.max("log_density").alias("__d_hi"))
+        x = attach_log_density(x, dens, n_points, lat, lon, p, "__ld")
     if bounds:
         stats = x.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in bounds.items()])
+        if "__t" in x.columns and types[ts] not in ("timestamp", "timestamp_ntz", "date"):
+            bad = df.agg(F.count_if(F.col(ts).isNotNull() & time_ns(ts, types[ts]).isNull()).alias("__t_bad"))
+            stats = stats.crossJoin(bad)
     else:
         stats = None
         if row_aggs:
@@ -123,8 +119,10 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
             stats = dstats if stats is None else stats.crossJoin(dstats)
     if stats is not None:
         x = x.crossJoin(F.broadcast(stats))
-    a = _norm(F.col("__a"), F.col("__a_lo"), F.col("__a_hi")) if anomaly else m
-    d = _norm(F.col("__ld"), F.col("__d_lo"), F.col("__d_hi")) if geo else m
+    def part(c):
+        return F.when(c.isNull(), m).otherwise(clip01(c) if bounds else c)
+    a = part(_norm(F.col("__a"), F.col("__a_lo"), F.col("__a_hi"))) if anomaly else m
+    d = part(_norm(F.col("__ld"), F.col("__d_lo"), F.col("__d_hi"))) if geo else m
     x = x.withColumn("anomaly_part", a).withColumn("spatial_density", d)
     s = (F.lit(w["model_score"]) * m + F.lit(w["anomaly_score"]) * F.col("anomaly_part")
          + F.lit(w["spatial_density"]) * F.col("spatial_density"))
@@ -144,8 +142,8 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
 
 
 def fitted_bounds(df: DataFrame, anomaly: str | None = None, lat: str | None = None, lon: str | None = None,
-                  ts: str | None = None, p: Params = Params()) -> dict:
-    """The min/max a composite uses, as literals (to score new rows against a fitted table)."""
+                  ts: str | None = None, p: Params = Params()) -> tuple[dict, DensityField | None]:
+    """The min/max a composite uses, as literals, and the density's sources (to score new rows against a fitted table)."""
     types = dict(df.dtypes)
     aggs = []
     if anomaly:
@@ -154,12 +152,13 @@ def fitted_bounds(df: DataFrame, anomaly: str | None = None, lat: str | None = N
         t = time_ns(ts, types[ts])
         aggs += [F.min(t).alias("__t_lo"), F.max(t).alias("__t_hi")]
     out = df.agg(*aggs).first().asDict() if aggs else {}
+    field = None
     if lat and lon:
-        dens, _ = log_density_points(df, lat, lon, p)
-        dens = cut_lineage(dens)
-        r = dens.agg(F.min("log_density").alias("__d_lo"), F.max("log_density").alias("__d_hi")).first()
-        out.update(r.asDict())
-    return out
+        pts = distinct_points(df, lat, lon)
+        field = DensityField.fit(pts, p)
+        dens = cut_lineage(field.log_density(pts))
+        out.update(dens.agg(F.min("log_density").alias("__d_lo"), F.max("log_density").alias("__d_hi")).first().asDict())
+    return out, field
 
 
 def risk_summary(df: DataFrame, score: str = "risk_score", p: Params = Params()) -> DataFrame:

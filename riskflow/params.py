@@ -69,12 +69,9 @@ class Params:
     level_low_max: float = LEVEL_LOW_MAX
     level_medium_max: float = LEVEL_MEDIUM_MAX
     kde_bandwidth: float = 0.5
-    # spatial density: "exact" (grid join, cut at kde_cutoff bandwidths), "binned", or "auto"
-    density_mode: str = "auto"
-    density_exact_max_rows: int = 20_000
-    kde_cutoff: float = 8.0
-    binned_cutoff: float = 6.5
-    bin_fraction: float = 0.25          # binned source cell side = bandwidth * bin_fraction
+    # spatial density: grid cells of side kde_cell bandwidths; what radius and order leave out of a kernel sum
+    kde_cell: float = 0.5
+    kde_tolerance: float = 1e-9
     broadcast_max_rows: int = 2_000_000
     broadcast_max_bytes: int = 128 << 20     # with the row limit: a side is broadcast only under both
 

@@ -61,7 +61,7 @@ def score_test(models: RiskModels, frame: DataFrame, model_name: str | None = No
 
 def score_new(df: DataFrame, prep_model: PrepModel, models: RiskModels, keys: list[str],
               lat: str | None = None, lon: str | None = None, ts: str | None = None,
-              model_name: str | None = None, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
+              model_name: str | None = None, p: Params = Params(), bounds: dict | None = None, field=None) -> DataFrame:
     """New rows -> prepared features -> model probability + anomaly score/flag -> composite
     risk and level, attached to the source columns (carried through the pipeline: no join, no positional
     zip). `keys` identify rows for the caller; the scoring itself needs no join on them."""
@@ -77,7 +77,7 @@ def score_new(df: DataFrame, prep_model: PrepModel, models: RiskModels, keys: li
         # the rows feed the density points, the min/max and the result, and a Python scan (the forest)
         # stops column pruning: materialise them once so the models run once per row, not per consumer
         rows = cut_lineage(rows)
-    out = composite_risk(rows, "__prob", anomaly, lat, lon, ts, p, bounds=bounds)
+    out = composite_risk(rows, "__prob", anomaly, lat, lon, ts, p, bounds=bounds, field=field)
     if "anomaly_flag" not in out.columns:
         out = out.withColumn("anomaly_flag", F.lit(False))
     return out.drop("__prob", "__anom")

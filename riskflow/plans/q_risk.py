@@ -14,7 +14,6 @@ P = Params()
 _W = P.norm_weights()
 WM, WA, WS, WT = (repr(_W[k]) for k in ("model_score", "anomaly_score", "spatial_density", "temporal_weight"))
 H2 = repr(2.0 * P.kde_bandwidth * P.kde_bandwidth)
-R2 = repr((P.kde_cutoff * P.kde_bandwidth) ** 2)
 
 
 def _scored(spark, sf_dir):
@@ -26,16 +25,14 @@ def r9(c):
     return F.round(c, DIGITS)
 
 
-# DuckDB text of the exact density (distinct points, cut at kde_cutoff bandwidths) and of the composite.
+# DuckDB text of the exact density (all pairs of distinct points) and of the composite.
 _DENS = f"""
 pts as (select latitude, longitude, count(*) as w from scored_events
         where latitude is not null and longitude is not null group by latitude, longitude),
 dens as (select a.latitude, a.longitude,
            ln(sum(b.w * exp(-((a.latitude-b.latitude)*(a.latitude-b.latitude)
                               + (a.longitude-b.longitude)*(a.longitude-b.longitude)) / {H2}))) as ld
-         from pts a join pts b
-           on (a.latitude-b.latitude)*(a.latitude-b.latitude)
-            + (a.longitude-b.longitude)*(a.longitude-b.longitude) <= {R2}
+         from pts a, pts b
          group by a.latitude, a.longitude)"""
 
 _PARTS = _DENS + """,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -86,20 +86,21 @@ def ship_package(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: the cluster's `spark.checkpoint.dir` when set.
+    """The reliable checkpoint folder: the cluster's `spark.checkpoint.dir`.
 
-    Only when nothing is set (local runs and tests) a fresh folder under the system temp dir is used.
+    A local run without the setting gets a fresh folder under the system temp dir. On a cluster executors could not read
+    each other's files there, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="riskflow-ckpt-")
-    sc.setCheckpointDir(local)
+    if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="riskflow-ckpt-")
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
@@ -129,24 +130,34 @@ def clear_scratch(spark: SparkSession) -> int:
     return n
 
 
+def _fits_parquet(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return bool(dtype.fields) and all(_fits_parquet(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _fits_parquet(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _fits_parquet(dtype.keyType) and _fits_parquet(dtype.valueType)
+    return not isinstance(dtype, (T.NullType, T.CalendarIntervalType, T.VariantType))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` once as a Parquet table in the shared checkpoint folder and read it back.
 
     Reliable (survives executor loss, unlike localCheckpoint), computed once (`Dataset.checkpoint` runs the
-    plan twice unless it is persisted first), and later scans prune columns and push filters. Types Parquet
-    cannot hold fall back to a reliable `checkpoint()` of the persisted frame.
+    plan twice unless it is persisted first), and later scans prune columns and push filters. Only a schema Parquet
+    cannot hold, known before anything runs, takes a reliable `checkpoint()` of the persisted frame instead; errors of
+    the job itself are raised.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "cut")
-    try:
+    if all(_fits_parquet(f.dataType) for f in df.schema.fields):
+        path = scratch_path(spark, "cut")
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - e.g. a NullType or interval column
-        ensure_checkpoint_dir(spark)
-        kept = df.persist()
-        out = kept.checkpoint(eager=True)
-        kept.unpersist()
-        return out
+        return spark.read.schema(df.schema).parquet(path)
+    ensure_checkpoint_dir(spark)
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def _count():

@@ -7,6 +7,7 @@ line forms (`.jsonl`, GeoJSON text sequences `.geojsonl` / `.geojsons`, one Feat
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,13 +16,18 @@ from riskflow.operators.prep import coerce_types
 from riskflow.operators.profile import nan_to_null
 from riskflow.params import NA_TOKENS
 
+_HEAD_BYTES = 1 << 20
 SUPPORTED = (".csv", ".json", ".jsonl", ".geojson", ".geojsonl", ".geojsons", ".parquet")
 
 
-def read_csv(spark: SparkSession, path: str, coerce: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, coerce: bool = True, multi_line: bool = False) -> DataFrame:
     """Header, every column read as text; the NA tokens become NULL, then numeric columns are typed
-    (bigint when every value is an integer, else double) by the coercion pass."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    (bigint when every value is an integer, else double) by the coercion pass.
+
+    Quotes inside a quoted field are doubled. Files are split and read in parallel; `multi_line` allows line breaks in
+    quoted fields, at the price of one task a file."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+    df = reader.option("multiLine", multi_line).csv(path)
     lowered = [c.lower() for c in df.columns]
     if len(set(lowered)) != len(lowered):
         raise ValueError("column names that differ only in case are not supported")
@@ -31,12 +37,64 @@ def read_csv(spark: SparkSession, path: str, coerce: bool = True) -> DataFrame:
     return coerce_types(df) if coerce else df
 
 
+def first_record_names(spark: SparkSession, path: str) -> list[str]:
+    """Member names of the first record in file order (schema inference sorts them). At most `_HEAD_BYTES` of one file
+    are read; a longer first record gives no order."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in (fs.globStatus(target) or []) if f.isFile())
+    if not files and fs.exists(target):
+        files = sorted(str(f.getPath()) for f in fs.listStatus(target) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    for name in files:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            head = bytes(stream.readNBytes(_HEAD_BYTES)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        start = head.find("{")
+        if start >= 0:
+            try:
+                return list(json.JSONDecoder().raw_decode(head, start)[0])
+            except ValueError:
+                return []
+    return []
+
+
+def date_like(name: str) -> bool:
+    """Names whose columns hold times by convention: `..._at`, `..._time`, `timestamp...`, `modified`, `date`."""
+    low = name.lower()
+    return low.endswith(("_at", "_time")) or low.startswith("timestamp") or low in ("modified", "date")
+
+
+def json_conversions(df: DataFrame) -> DataFrame:
+    """Text columns that hold only numbers become numbers; date-like columns become timestamps if every value is a time
+    text, or a number of seconds or milliseconds since 1970 (milliseconds from 10^11 on)."""
+    texts = {f.name: f.dataType for f in df.schema.fields}
+    named = [c for c, t in texts.items() if date_like(c) and isinstance(t, (T.StringType, T.NumericType))]
+    times = {}
+    for c in named:
+        x = F.col(f"`{c}`")
+        if isinstance(texts[c], T.StringType):
+            times[c] = F.try_to_timestamp(x)
+        else:
+            n = x.cast("double")
+            times[c] = F.timestamp_millis(F.when(F.abs(n) < 1e11, n * 1000).otherwise(n).cast("long"))
+    if times:
+        bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & t.isNull()).alias(f"b{i}") for i, (c, t) in enumerate(times.items())]).first()
+        df = df.withColumns({c: t for i, (c, t) in enumerate(times.items()) if bad[f"b{i}"] == 0})
+    return coerce_types(df)
+
+
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
-    """An array of records (one document per file) or JSON Lines (splittable)."""
+    """An array of records (one document per file) or JSON Lines (splittable), columns in file order."""
     if lines is None:
         lines = path.lower().endswith(".jsonl")
     reader = spark.read if lines else spark.read.option("multiLine", True)
-    return nan_to_null(reader.json(path))
+    df = nan_to_null(reader.json(path))
+    first = [c for c in first_record_names(spark, path) if c in df.columns]
+    df = df.select(*[F.col(f"`{c}`") for c in [*first, *(c for c in df.columns if c not in first)]])
+    return json_conversions(df)
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
@@ -66,7 +124,6 @@ def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> D
                                T.StructField("features", T.ArrayType(with_geom(feat_type)))])
         df = reader.schema(schema).json(path)
         feats = df.select(F.explode("features").alias("f"))
-    prop_cols = []
     props_type = None
     for f in (feats.schema["f"].dataType.fields):
         if f.name == "properties":
@@ -75,11 +132,14 @@ def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> D
         prop_cols = [F.col(f"f.properties.`{n}`").alias(n) for n in props_type.fieldNames()]
     coords = F.from_json(F.col("f.geometry.coordinates"), "array<double>")
     is_point = F.col("f.geometry.type") == "Point"
-    out = feats.select(*prop_cols,
-                       F.when(is_point, coords.getItem(0)).alias("longitude"),
-                       F.when(is_point, coords.getItem(1)).alias("latitude"))
-    names = [c for c in out.columns if c not in ("longitude", "latitude")]
-    return nan_to_null(out.select(*[F.col(f"`{c}`") for c in names], "longitude", "latitude"))
+    names = props_type.fieldNames() if isinstance(props_type, T.StructType) else []
+    places = {}
+    for axis, i in (("longitude", 0), ("latitude", 1)):
+        # a property of that name gives way to a Point's coordinate and stays for other geometries
+        own = F.col(f"f.properties.`{axis}`").cast("double") if axis in names else F.lit(None).cast("double")
+        places[axis] = F.when(is_point, coords.getItem(i)).otherwise(own).alias(axis)
+    columns = [places.pop(n) if n in places else F.col(f"f.properties.`{n}`").alias(n) for n in names]
+    return nan_to_null(feats.select(*columns, *places.values()))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -95,7 +155,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         return read_geojson(spark, path, lines=kind != ".geojson")
     if kind == ".parquet":
         return nan_to_null(spark.read.parquet(path))
-    raise ValueError(f"Unsupported file format: {kind}. Supported: {list(SUPPORTED)}")
+    raise ValueError(f"no reader for {kind!r}; known suffixes are {', '.join(SUPPORTED)}")
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:

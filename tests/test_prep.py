@@ -92,37 +92,35 @@ def test_scalers_constant_and_population_std(spark):
         pp.scaler_stats(df, ["x"], "fancy")
 
 
-def _f1_frame(spark, n=200, seed=42):
+def _sites_frame(spark, n=200, seed=11):
     rng = np.random.default_rng(seed)
-    temp = rng.normal(28, 5, n)
-    temp[rng.choice(n, 10, replace=False)] = np.nan
     rows = []
     for i in range(n):
-        rows.append((i, float(rng.uniform(-5, 5)), float(rng.uniform(30, 42)),
-                     None if np.isnan(temp[i]) else float(temp[i]), float(rng.uniform(40, 90)),
-                     int(rng.integers(500, 100000)), int(rng.random() < 0.3), True, 7, None))
-    return spark.createDataFrame(rows, "id long, latitude double, longitude double, temperature double, "
-                                       "humidity double, population long, label int, flag boolean, "
+        depth = None if i % 23 == 5 else float(rng.gamma(3.0, 4.0))
+        rows.append((i, float(rng.normal(48.0, 2.5)), float(rng.normal(11.0, 4.0)), depth, float(rng.beta(2, 5)),
+                     int(rng.integers(1, 5000)), int(i % 3 == 0), True, 7, None))
+    return spark.createDataFrame(rows, "id long, latitude double, longitude double, depth double, "
+                                       "porosity double, wells long, label int, flag boolean, "
                                        "const int, empty double")
 
 
 def test_chain_g7_g12_and_transform(spark, tmp_path):
-    df = _f1_frame(spark)
+    df = _sites_frame(spark)
     model = pp.Prep(Params()).fit(df, "label", ["id"])
     s = model.state
     assert set(s["constant"]) == {"const", "empty", "flag"}                  # G7 (flag is constant here too)
     feats = model.feature_names
-    assert feats[:5] == ["latitude", "longitude", "temperature", "humidity", "population"]
+    assert feats[:5] == ["latitude", "longitude", "depth", "porosity", "wells"]
     assert feats[5:] == ["geo_lat_rad", "geo_lon_rad", "geo_distance_eq", "geo_quadrant"]
     fr = model.fitted_frame(df)
     assert fr.count() == 200 and set(fr.columns) >= {"id", "label", "split", *feats}
     means = fr.agg(*[F.avg(c).alias(c) for c in feats]).first()
     assert all(abs(means[c]) < 1e-9 for c in feats)                          # standard-scaled
     # A training column missing at transform comes back NULL -> imputed -> scaled, no job is started
-    new = df.drop("temperature", "label")
+    new = df.drop("depth", "label")
     out = model.transform(new)
     assert out.columns == ["id", *feats]
-    vals = {r["temperature"] for r in out.select("temperature").collect()}
+    vals = {r["depth"] for r in out.select("depth").collect()}
     assert len(vals) == 1
     # S6 / S7 round trip
     path = str(tmp_path / "prep")
@@ -221,3 +219,50 @@ def test_large_map_broadcast_needs_byte_bound(spark, monkeypatch):
         plans[name] = out._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plans["small"].lower()
     assert "broadcast" not in plans["tight"].lower()
+
+
+NAN = float("nan")
+
+
+def test_nan_is_missing_in_every_fitting_operator(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (NAN,), (None,)], "x double")
+    clipped = sorted((r["x"] for r in pp.clip_iqr(df, ["x"]).collect()), key=lambda v: (v is None, v))
+    assert clipped == [1.0, 2.0, 3.0, 4.0, None, None]
+    for how, fill in (("median", 2.5), ("mean", 2.5), ("most_frequent", 1.0)):
+        assert sorted(r["x"] for r in pp.impute(df, ["x"], how).collect()) == sorted([1.0, 2.0, 3.0, 4.0, fill, fill])
+    for how, want in (("standard", 2.5), ("minmax", 1.0), ("robust", 2.5)):
+        center, scale = pp.scaler_stats(df, ["x"], how)["x"]
+        assert center == want and scale > 0
+    assert sum(r["x"] is None for r in pp.scale(df, ["x"]).collect()) == 2
+    assert sorted(r["x"] for r in pp.null_zscore(df, ["x"]).collect() if r["x"] is not None) == [1.0, 2.0, 3.0, 4.0]
+    wide = df.selectExpr("x", "monotonically_increasing_id() as id", "coalesce(nanvl(x, 9e0), 8e0) as y")
+    model = pp.Prep(Params()).fit(wide, None, ["id"])
+    assert all(v == v for r in model.transform(wide).collect() for v in r[1:])
+
+
+def test_infinities_rank_at_the_ends(spark):
+    from riskflow.functions.quantiles import column_quantiles
+    inf = float("inf")
+    df = spark.range(20_000).selectExpr("case when id = 0 then double('Infinity') when id = 1 then double('-Infinity') else id end as x",
+                                        "case when id = 5 then 1.7e308 when id = 6 then -1.7e308 else id end as y")
+    q = column_quantiles(df, ["x", "y"], [0.0, 0.5, 1.0])
+    assert q["x"][0] == -inf and q["x"][2] == inf and q["x"][1] == pytest.approx(10_000.5)
+    assert q["y"][0] == -1.7e308 and q["y"][2] == 1.7e308
+
+
+def test_rows_without_a_label_split_and_fold(spark):
+    from riskflow.operators.evaluate import assign_folds
+    df = spark.range(300).selectExpr("id", "case when id % 10 = 3 then null else int(id % 2) end as label")
+    split = pp.assign_split(df, ["id"], Params(), stratify="label").groupBy("label", "split").count().collect()
+    assert sum(r["count"] for r in split) == 300 and sum(r["count"] for r in split if r["label"] is None) == 30
+    assert {r["split"] for r in split if r["label"] is None} == {"train", "val", "test"}
+    folds = assign_folds(df, ["id"], 5, 42, label="label").groupBy("label", "fold").count().collect()
+    assert {r["count"] for r in folds if r["label"] is None} == {6}
+
+
+def test_integers_beyond_64_bits_stay_numbers(spark):
+    df = spark.createDataFrame([("123456789012345678901", "9223372036854775807"), ("5", "-1"), (None, " 12 ")], "a string, b string")
+    out = pp.coerce_types(df)
+    assert dict(out.dtypes) == {"a": "double", "b": "bigint"}
+    assert sorted(r["a"] for r in out.collect() if r["a"] is not None) == [5.0, 1.2345678901234568e20]
+    assert sorted(r["b"] for r in out.collect()) == [-1, 12, 9223372036854775807]

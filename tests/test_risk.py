@@ -7,18 +7,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow.functions.levels import map_band, risk_level
-from riskflow.operators.density import log_density_points
+from riskflow.operators.density import DensityField, log_density_points
 from riskflow.operators.risk import composite_risk, minmax, risk_summary
 from riskflow.params import Params
 
 
-def test_f7_probability_only(spark):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.1, 0.4, 0.8, 0.9, 0.2])], "k int, p double")
+def test_probability_only(spark):
+    # model, anomaly and density weights (0.50 + 0.25 + 0.15) all fall to the probability
+    probs = [0.05, 0.35, 0.37, 0.72, 0.74, 1.0]
+    df = spark.createDataFrame(list(enumerate(probs)), "k int, p double")
     out = {r["k"]: r for r in composite_risk(df, "p").collect()}
-    want = [0.09, 0.36, 0.72, 0.81, 0.18]
-    for k, w in enumerate(want):
-        assert out[k]["risk_score"] == pytest.approx(w, abs=1e-12)
-    assert [out[k]["risk_level"] for k in range(5)] == ["low", "medium", "high", "high", "low"]
+    for k, prob in enumerate(probs):
+        assert out[k]["risk_score"] == pytest.approx(0.9 * prob, abs=1e-12)
+    assert [out[k]["risk_level"] for k in range(6)] == ["low", "low", "medium", "medium", "high", "high"]
 
 
 def test_g9_band_edges(spark):
@@ -70,29 +71,47 @@ def _fixture_points(n=400, seed=7):
     return pts
 
 
-@pytest.mark.parametrize("mode,tol", [("exact", 1e-9), ("binned", 1e-4)])
-def test_density_against_brute_force(spark, mode, tol):
+def test_density_against_brute_force(spark):
     pts = _fixture_points()
     df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "lat double, lon double")
-    dens, _ = log_density_points(df, "lat", "lon", Params(), mode)
+    dens, _ = log_density_points(df, "lat", "lon", Params())
     got = {(r["lat"], r["lon"]): r["log_density"] for r in dens.collect()}
-    ref = _brute_log_density(pts)
-    lo, hi = ref.min(), ref.max()
     g = np.array([got[(float(a), float(b))] for a, b in pts])
-    g_lo, g_hi = g.min(), g.max()
-    norm_ref = (ref - lo) / (hi - lo)
-    norm_got = (g - g_lo) / (g_hi - g_lo)
-    assert np.max(np.abs(norm_ref - norm_got)) < tol
+    assert np.max(np.abs(_brute_log_density(pts) - g)) < 1e-8
 
 
-def test_density_plan_has_no_cartesian_product(spark):
+def test_density_of_a_heavy_point_far_away(spark):
+    # 4,000,000 rows on one coordinate, one row 6.6 bandwidths off: ln(1 + 4e6 exp(-6.6^2 / 2))
+    pts = spark.createDataFrame([(0.0, 0.0, 4_000_000), (0.0, 3.3, 1)], "plat double, plon double, w long")
+    field = DensityField.fit(pts, Params())
+    got = {r["plon"]: r["log_density"] for r in field.log_density(pts).collect()}
+    assert got[3.3] == pytest.approx(math.log(1 + 4e6 * math.exp(-6.6 ** 2 / 2)), rel=1e-5)
+    assert got[0.0] == pytest.approx(math.log(4e6 + math.exp(-6.6 ** 2 / 2)), abs=1e-9)
+
+
+def test_density_plan_has_no_pairs_of_points(spark):
     pts = _fixture_points(100)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "lat double, lon double")
-    dens, _ = log_density_points(df, "lat", "lon", Params(), "exact")
+    dens, _ = log_density_points(df, "lat", "lon", Params())
     plan = dens._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_frozen_field_scores_new_rows_like_the_fitted_table(spark):
+    from riskflow.operators.risk import fitted_bounds
+    pts = _fixture_points(200)
+    df = spark.createDataFrame([(i, float(a), float(b), i / len(pts), -float(i)) for i, (a, b) in enumerate(pts)],
+                               "k int, lat double, lon double, p double, a double")
+    want = {r["k"]: r["risk_score"] for r in composite_risk(df, "p", "a", "lat", "lon").collect()}
+    bounds, field = fitted_bounds(df, "a", "lat", "lon")
+    some = df.where("k % 7 = 0")
+    got = {r["k"]: r["risk_score"] for r in composite_risk(some, "p", "a", "lat", "lon", bounds=bounds, field=field).collect()}
+    assert len(got) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    far = spark.createDataFrame([(1, 80.0, 170.0, 0.5, 0.0), (2, None, 1.0, 0.5, None)], "k int, lat double, lon double, p double, a double")
+    rows = {r["k"]: r for r in composite_risk(far, "p", "a", "lat", "lon", bounds=bounds, field=field, keep_parts=True).collect()}
+    assert rows[1]["spatial_density"] == 0.0 and rows[2]["spatial_density"] == 0.5 and rows[2]["anomaly_part"] == 0.5
+
+
 def test_composite_plan_has_no_single_partition_exchange(spark):
     df = spark.createDataFrame([(i, i / 10.0, -float(i), float(i % 7), float(i % 5)) for i in range(50)],
                                "k int, p double, a double, la double, lo double")

@@ -20,14 +20,14 @@ def test_csv_na_tokens_and_types(spark, tmp_path):
 
 
 def test_json_array_and_lines(spark, tmp_path):
-    recs = [{"lat": 1.0, "lon": 36.0, "val": i, "label": i % 2} for i in range(50)]
+    recs = [{"lat": 7.5, "lon": -3.25, "val": i * i, "label": i % 2} for i in range(60)]
     p = tmp_path / "r.json"
     p.write_text(json.dumps(recs))
     df = rd.read_table(spark, str(p))
-    assert df.count() == 50
+    assert df.count() == 60
     q = tmp_path / "r.jsonl"
     q.write_text("\n".join(json.dumps(r) for r in recs))
-    assert rd.read_table(spark, str(q)).count() == 50
+    assert rd.read_table(spark, str(q)).count() == 60
     # lat / lon constant -> dropped before features, so no geo features appear
     from riskflow.operators.prep import Prep
     from riskflow.params import Params
@@ -49,7 +49,7 @@ def test_geojson_g1(spark, tmp_path):
 
 
 def test_unsupported_suffix(spark, tmp_path):
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader"):
         rd.read_table(spark, str(tmp_path / "data.txt"))
 
 
@@ -88,3 +88,36 @@ def test_profile_and_preview(spark):
     assert pr.preview(df, 5, ["k"]).collect()[0]["x"] == ""
     dist = {r["label"]: r["share"] for r in pr.class_distribution(df.withColumnRenamed("k", "label"), "label").collect()}
     assert dist == {1: 0.5, 2: 0.5}
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a,b,c\n"say ""hi"", you",2,x\n"two\nlines",3,"y,z"\n')
+    rows = rd.read_csv(spark, str(p), multi_line=True).orderBy("b").collect()
+    assert [tuple(r) for r in rows] == [('say "hi", you', 2, "x"), ("two\nlines", 3, "y,z")]
+    q = tmp_path / "s.csv"
+    q.write_text('a,b\n"x ""y"", z",2\n')
+    assert tuple(rd.read_table(spark, str(q)).first()) == ('x "y", z', 2)
+
+
+def test_json_keeps_file_order_and_converts(spark, tmp_path):
+    recs = [{"zeta": "12", "target": 1, "label": 0, "created_at": "2024-03-01 10:00:00", "date": 1_700_000_000, "note": "x1"},
+            {"zeta": "7", "target": 0, "label": 1, "created_at": None, "date": 1_700_000_060, "note": "2", "extra": 1.5}]
+    for name, text in (("r.json", json.dumps(recs)), ("r.jsonl", "\n".join(map(json.dumps, recs)))):
+        (tmp_path / name).write_text(text)
+        df = rd.read_table(spark, str(tmp_path / name))
+        assert df.columns == ["zeta", "target", "label", "created_at", "date", "note", "extra"]
+        types = dict(df.dtypes)
+        assert types["zeta"] == "bigint" and types["created_at"] == types["date"] == "timestamp" and types["note"] == "string"
+        assert pr.infer_target(df.columns) == "target"
+        assert df.selectExpr("unix_timestamp(date) as s").orderBy("s").first()["s"] == 1_700_000_000
+
+
+def test_geojson_property_named_like_a_coordinate(spark, tmp_path):
+    feats = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}, "properties": {"latitude": 9, "k": 1}},
+             {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, "properties": {"latitude": 8, "k": 2}}]
+    (tmp_path / "g.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": feats}))
+    (tmp_path / "g.geojsonl").write_text("\n".join(map(json.dumps, feats)))
+    for name in ("g.geojson", "g.geojsonl"):
+        rows = rd.read_table(spark, str(tmp_path / name)).orderBy("k").collect()
+        assert [(r["latitude"], r["longitude"]) for r in rows] == [(2.5, 1.5), (8.0, None)]
