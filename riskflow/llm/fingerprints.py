@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, subtracted between versions and peeled.
 
-Native: DataFrame functions only. A paragraph is a line or, in it, a sentence (`.!?;|` before a space). The digests of a
-text's distinct paragraphs are put into cells: three sub-tables, in each of which a digest has one cell; a cell holds the
-number, the xor of the digests and the xor of their check hashes. Subtracting the cells of two versions cancels what they
-share. A cell with number +1 or -1 whose check fits gives a differing digest; removing it from its cells uncovers others
-(peeling). If cells stay, the sketch is built again larger, with other hashes: `SIZES` cells a sub-table, in turn.
+Native: DataFrame functions only. A paragraph is a line or, in it, a sentence (`.!?;|` before a space). Its digest is 47
+hash bits and 16 check bits of these, a positive long. The digests of a text's distinct paragraphs are put into cells:
+three sub-tables, in each of which a digest has one cell; a cell holds the xor of its digests, for which subtracting is
+xor too. Subtracting the cells of two versions cancels what they share; a cell that holds a single digest shows it by the
+check bits. Removing that digest from its three cells uncovers others (peeling). If cells stay, also because an xor of
+several passed for a digest by chance, the sketch is built again larger, with other hashes: `SIZES` cells a sub-table.
 
 A long text needs a large sketch, and peeling one sketch costs (cells x digests); so sketches are kept in blocks: the
 leading digest bits choose the block, about `LOAD` digests of both versions each, which are subtracted, peeled and, if
@@ -28,10 +29,11 @@ from pyspark.sql.window import Window
 from riskflow.llm.common import table
 from riskflow.llm.quality import let
 
-LOAD = 8
-SIZES = (8, 32, 256, 2048)
+LOAD = 4
+SIZES = (4, 16, 256, 2048)
 SMALL = 4
-ROUNDS = 12
+ROUNDS = 9                           # peeling rounds, three a sub-table; what then stays is built larger
+MASK_BITS = 62                       # sketches of at most so many cells note a digest's three cells as bits
 QUANTILES, MOST_RANGES, RANGE_ROWS = 64, 1 << 14, 512
 NULL_RANGES = 64
 
@@ -86,97 +88,126 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 # ---------------------------------------------------------------- sketches
 
+def _check(head: Column) -> Column:
+    return F.xxhash64(head, F.lit(11)).bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+
+def checked(h: Column) -> Column:
+    """A digest: 47 bits of a hash, then 16 check bits of these."""
+    head = F.shiftrightunsigned(h, 17)
+    return F.shiftleft(head, 16).bitwiseOR(_check(head))
+
+
+def is_digest(v: Column) -> Column:
+    return (v > 0) & (_check(F.shiftrightunsigned(v, 16)) == v.bitwiseAND(F.lit(0xFFFF).cast("long")))
+
+
 def digests(text: Column) -> Column:
-    """Sorted digests of the distinct paragraphs of a text that is not null."""
+    """Digests of the distinct paragraphs of a text that is not null."""
     parts = F.split(text, r"[.!?;|]+[ \t]+|[\n\r]+")
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: checked(F.xxhash64(p))))
 
 
-def check_hash(d: Column) -> Column:
-    return F.xxhash64(d, F.lit(11))
+def _source(d: Column, salt: int) -> Column:
+    return F.shiftrightunsigned(d, 16) if salt == 0 else F.xxhash64(d, F.lit(salt))
 
 
-def place(d: Column, cell: Column, size: int, salt: int) -> Column:
-    """Whether digest d belongs to `cell` (numbered over three sub-tables of `size`, a power of two)."""
-    bits = size.bit_length() - 1
-    source = d if salt == 0 else F.xxhash64(d, F.lit(salt))
-    shift = F.call_function("shiftright", cell, F.lit(bits)) * F.lit(16)
-    at = F.call_function("shiftrightunsigned", source, shift).bitwiseAND(F.lit(size - 1).cast("long"))
-    return at == cell.bitwiseAND(F.lit(size - 1))
+def mask_of(d: Column, size: int, salt: int) -> Column:
+    """The digest's three cells, one in each sub-table of `size` (a power of two), as bits of a long."""
+    def bit(table: int) -> Column:
+        at = F.shiftrightunsigned(_source(d, salt), 12 * table).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at + F.lit(table * size))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
 
-def _zero() -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(zero.alias("n"), zero.alias("k"), zero.alias("c"))
+def entry(d: Column, size: int, salt: int) -> Column:
+    """A digest v with `b`: the mask of its cells, or for large sketches the hash that places it."""
+    b = mask_of(d, size, salt) if 3 * size <= MASK_BITS else _source(d, salt)
+    return F.struct(d.alias("v"), b.alias("b"))
 
 
-def _added(cell: Column, entries: Column, sign: int) -> Column:
-    """The cell with entries (n, k, c) added (sign 1) or taken away (-1)."""
-    return F.aggregate(entries, cell, lambda a, e: F.struct(
-        (a["n"] + e["n"] * F.lit(sign)).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["c"].bitwiseXOR(e["c"]).alias("c")))
+def in_cell(b: Column, cell: Column, size: int) -> Column:
+    """Whether an entry placed by `b` belongs to `cell` (numbered over the three sub-tables)."""
+    if 3 * size <= MASK_BITS:
+        return F.getbit(b, cell) == 1
+    bits = size.bit_length() - 1
+    shift = F.call_function("shiftright", cell, F.lit(bits)) * F.lit(12)
+    at = F.call_function("shiftrightunsigned", b, shift).bitwiseAND(F.lit(size - 1).cast("long"))
+    return at == cell.bitwiseAND(F.lit(size - 1))
+
+
+def _xor_in(entries: Column, cell: Column, size: int, start: Column) -> Column:
+    return F.aggregate(F.filter(entries, lambda e: in_cell(e["b"], cell, size)), start, lambda a, e: a.bitwiseXOR(e["v"]))
 
 
-def sketch(entries: Column, size: int, salt: int = 0) -> Column:
-    """3 * size cells of entries (n = +1 or -1, k = digest, c = check)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)),
-                       lambda x: _added(_zero(), F.filter(entries, lambda e: place(e["k"], x, size, salt)), 1))
+def sketch(ds: Column, size: int, salt: int = 0) -> Column:
+    """3 * size cells of digests. The digests of two versions together give the subtracted sketch of the two."""
+    entries = F.transform(ds, lambda d: entry(d, size, salt))
+    return let(entries, lambda es: F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)),
+                                               lambda x: _xor_in(es, x, size, F.lit(0).cast("long"))))
 
 
 def is_empty(cells: Column) -> Column:
-    return F.forall(cells, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
+    return F.forall(cells, lambda c: c == 0)
 
 
 def peel(cells: Column, size: int, salt: int) -> Column:
-    """Number of digests recovered from a subtracted sketch, null if cells stay."""
-    def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == check_hash(c["k"]))))
+    """Number of digests recovered from a subtracted sketch, null if cells stay. A round takes the single digests of one
+    sub-table, which differ, and removes them from all three."""
+    def round_(state: Column, r: Column) -> Column:
+        single = F.filter(F.slice(state["cells"], (r % 3) * size + 1, F.lit(size)), is_digest)
         def remove(p: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, x: _added(c, F.filter(p, lambda e: place(e["k"], x, size, salt)), -1))
+            left = F.transform(state["cells"], lambda c, x: _xor_in(p, x, size, c))
             return F.struct(left.alias("cells"), (state["found"] + F.size(p)).alias("found"))
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(remove(p)))
+        return let(F.transform(single, lambda v: entry(v, size, salt)), lambda p: F.when(F.size(p) == 0, state).otherwise(remove(p)))
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_,
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_,
                        lambda s: F.when(is_empty(s["cells"]), s["found"]))
 
 
-def recovered(entries: Column, attempt: int = 0) -> Column:
-    """Digests that peeling recovers from the block's subtracted sketch, retrying larger on failure."""
+def recovered(ds: Column, attempt: int) -> Column:
+    """Number of digests that peeling recovers from the subtracted sketch of a block; null if cells stay."""
     size = SIZES[attempt]
-    once = let(sketch(entries, size, attempt), lambda cells: F.when(is_empty(cells), F.lit(0)).otherwise(peel(cells, size, attempt)))
-    if attempt + 1 == len(SIZES):
-        return once
-    return let(once, lambda n: F.when(n.isNotNull(), n).otherwise(recovered(entries, attempt + 1)))
+    return let(sketch(ds, size, attempt), lambda cells: F.when(is_empty(cells), F.lit(0)).otherwise(peel(cells, size, attempt)))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Number of digests in one of two digest arrays only, by blocks of sketches; null only if every size failed."""
-    def side(xs: Column, n: int) -> Column:
-        return F.transform(xs, lambda d: F.struct(d.alias("k"), F.lit(n).cast("long").alias("n"), check_hash(d).alias("c")))
-
-    def by_block(z: Column) -> Column:
+def blocks_of(a: Column, b: Column) -> Column:
+    """Blocks of the digests of two arrays; the leading digest bits choose the block."""
+    def cut_up(z: Column) -> Column:
         bits = F.greatest(F.lit(0), F.ceil(F.log2(F.size(z) / F.lit(float(LOAD)))).cast("int"))
-        def block(i: Column, b: Column) -> Column:
-            return F.call_function("shiftrightunsigned", F.shiftrightunsigned(F.get(z, i)["k"], 1), F.lit(63) - b)
-        def blocks(b: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: (i == 0) | (block(i, b) != block(i - 1, b)))
-            return let(starts, lambda s: F.transform(s, lambda at, j: F.slice(z, at + 1, F.coalesce(F.get(s, j + 1), F.size(z)) - at)))
-        counts = let(bits, lambda b: F.transform(blocks(b), lambda e: recovered(e)))
-        return F.when(F.size(z) == 0, F.lit(0)).otherwise(F.aggregate(counts, F.lit(0), lambda s, n: s + n))
-
-    return let(F.sort_array(F.concat(side(a, 1), side(b, -1))), by_block)
-
-
-def likeness(a: Column, b: Column) -> Column:
+        def starts(shift: Column) -> Column:
+            def block(i: Column) -> Column:
+                return F.call_function("shiftrightunsigned", F.get(z, i), shift)
+            return F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: (i == 0) | (block(i) != block(i - 1)))
+        return let(let(F.lit(63) - bits, starts),
+                   lambda s: F.transform(s, lambda at, j: F.slice(z, at + 1, F.coalesce(F.get(s, j + 1), F.size(z)) - at)))
+
+    whole = F.sort_array(F.concat(a, b))
+    return let(whole, lambda z: F.when(F.size(z) == 0, F.array().cast("array<array<bigint>>")).otherwise(cut_up(z)))
+
+
+def with_difference(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """`rows` plus `out`, the number of digests in only one of the arrays `a` and `b`: every block's sketches subtract and
+    are peeled, the blocks that fail are tried again larger (null only if the largest size failed as well)."""
+    rest, tried, found = f"{out}_rest", f"{out}_tried", out
+    rows = rows.withColumn(rest, blocks_of(F.col(a), F.col(b))).withColumn(found, F.lit(0))
+    for attempt in range(len(SIZES)):
+        rows = rows.withColumn(tried, F.transform(rest, lambda e: F.struct(recovered(e, attempt).alias("d"), e.alias("e"))))
+        rows = rows.withColumns({
+            found: F.aggregate(tried, F.col(found), lambda s, x: s + F.coalesce(x["d"], F.lit(0))),
+            rest: F.transform(F.filter(tried, lambda x: x["d"].isNull()), lambda x: x["e"])})
+    return rows.withColumn(found, F.when(F.size(rest) == 0, F.col(found))).drop(rest, tried)
+
+
+def likeness(a: str, b: str, difference: str) -> Column:
     """Jaccard similarity of two paragraph sets from their sizes and the recovered difference."""
-    both = F.size(a) + F.size(b)
-    return let(difference(a, b), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)))
+    both, d = F.size(a) + F.size(b), F.col(difference)
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
 
 def fingerprint(ds: Column) -> Column:
     """Number of paragraphs and the cells of the small sketch, as text."""
-    entries = F.transform(ds, lambda d: F.struct(F.lit(1).cast("long").alias("n"), d.alias("k"), check_hash(d).alias("c")))
-    cells = let(entries, lambda e: sketch(e, SMALL))
-    shown = F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit("."), F.lower(F.hex(c["k"]))))
+    shown = F.transform(sketch(ds, SMALL), lambda c: F.lower(F.hex(c)))
     return F.concat(F.size(ds).cast("string"), F.lit(":"), F.array_join(shown, "-"))
 
 
@@ -188,9 +219,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("edited", edited)
     rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
+    rows = with_difference(with_difference(rows, "a", "b", "d_edited"), "a", "c", "d_next")
     return rows.select("id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
                        fingerprint(F.col("b")).alias("edited_fingerprint"),
-                       likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+                       likeness("a", "b", "d_edited").alias("near_edited"), likeness("a", "c", "d_next").alias("near_next"))
 
 
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -57,11 +57,15 @@ def test_peeling_retries_larger(spark):
     sets = [(sorted(rng.sample(range(10**15), rng.randrange(0, 60))), sorted(rng.sample(range(10**15), rng.randrange(0, 60)))) for _ in range(150)]
     sets += [(a, a) for a, _ in sets[:5]] + [(a, a[:-1]) for a, _ in sets[5:10] if a]
     table = spark.createDataFrame(sets, "a array<long>, b array<long>")
-    hashed = table.select("a", "b", F.transform("a", lambda x: F.xxhash64(x)).alias("x"), F.transform("b", lambda x: F.xxhash64(x)).alias("y"))
-    for r in hashed.select("a", "b", fp.difference(F.col("x"), F.col("y")).alias("d")).collect():
+    hashed = table.select("a", "b", F.transform("a", lambda x: fp.checked(F.xxhash64(x))).alias("x"), F.transform("b", lambda x: fp.checked(F.xxhash64(x))).alias("y"))
+    for r in fp.with_difference(hashed, "x", "y", "d").collect():
         assert r["d"] == len(set(r["a"]) ^ set(r["b"]))
     # far more digests than the small sizes hold, in one sketch: the first size fails, a later one recovers them
-    entries = F.transform("x", lambda d: F.struct(F.lit(1).cast("long").alias("n"), d.alias("k"), fp.check_hash(d).alias("c")))
-    row = hashed.where(F.size("x") > 40).select(F.size("x").alias("n"), fp.recovered(entries).alias("all"),
-                                                fp.peel(fp.sketch(entries, 8), 8, 0).alias("small")).first()
+    row = hashed.where(F.size("x") > 40).select(F.size("x").alias("n"), fp.recovered(F.col("x"), 2).alias("all"),
+                                                fp.recovered(F.col("x"), 0).alias("small")).first()
     assert row["small"] is None and row["all"] == row["n"]
+
+
+def test_blocks_that_fail_are_retried(spark, monkeypatch):
+    monkeypatch.setattr(fp, "LOAD", 24)                              # the first size fails for most blocks
+    test_peeling_retries_larger(spark)
