@@ -10,7 +10,7 @@ Tasks tokenise, cut and number their pieces by class; a table (task, length, cou
 first number in each class. The last, partly filled bin of each class (at most 2 * TAIL classes, so a constant number of
 pieces whatever the input) is packed together with the others by first fit, decreasing.
 
-A word (ASCII space ends it) is tokenised once a worker and looked up afterwards; the tokenizer never joins across space.
+A pre-token (letters, a digit, other marks) is tokenised once and looked up afterwards: the tokenizer never joins two.
 
 Defined results: null text is empty, its only token is the end id; repeated rows are packed each; empty tables give no
 rows; only the two named columns are read.
@@ -18,8 +18,10 @@ rows; only the two named columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,22 @@ from riskflow.llm.common import chunks, cut, flat, table
 
 CAPACITY, TAIL, END_ID = 4096, 64, 2
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+
+
+# The pre-tokens of the tokenizer's own pattern, for lower-cased Latin-1 text: contractions, letters, one digit, the rest.
+_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPACES = " \\t\\n\\x0b\\x0c\\r"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+# Text for which those pieces are certain: printable Latin-1 and ASCII space. Other texts go through the tokenizer by word.
+_PLAIN = re.compile(f"[{_SPACES}!-~\u00a1-\u00ff]*")
+_END_OF_WORD = "</w>"
 
 
 class WordIds:
-    """Token ids by word, from a bounded cache over the tokenizer."""
+    """Token ids by pre-token, from a bounded cache over the tokenizer; a worker keeps it for all its tasks.
+
+    New pre-tokens are tokenised together, separated by spaces: each ends with its only end-of-word token."""
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
@@ -43,53 +56,77 @@ class WordIds:
             import public_tokenizers
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith(_END_OF_WORD)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.pieces: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.pool, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            ids, i = e.ids, len(self.index)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if i >= len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.at[i], self.size[i] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[w] = i
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Adds entries with the given numbers of ids; returns the first entry's number."""
+        first, n = self.n, self.n + len(sizes)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.at[first:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:n] = sizes
+        self.used, self.n = self.used + len(ids), n
+        return first
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for i in range(0, len(new), 5000):
+            part = new[i:i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each pre-token with one end-of-word token")
+            first = self._store(ids, np.diff(ends, prepend=0))
+            self.pieces.update(zip(part, range(first, first + len(part))))
+
+    def _learn_words(self, new: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        first = self._store(np.array([x for ids in found for x in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
+        self.words.update(zip(new, range(first, first + len(new))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each followed by END_ID."""
-        if len(self.index) > CACHED_WORDS:
+        if self.n > CACHED_WORDS:
             self.clear()
-        split = [t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        get = self.index.get
-        at = list(map(get, words))
-        if None in at:
-            missing = list(dict.fromkeys(w for w, i in zip(words, at) if i is None))
-            for i in range(0, len(missing), 2000):
-                self._add(missing[i:i + 2000])
-            at = list(map(get, words))
-        at = np.array(at, np.int64)
+        entries: list[np.ndarray] = []
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                keys, index, learn = _PIECES.findall(text.lower()), self.pieces, self._learn_pieces
+            else:
+                keys, index, learn = raw.split(), self.words, self._learn_words
+            at = list(map(index.get, keys))
+            if None in at:
+                learn(list(dict.fromkeys(k for k, i in zip(keys, at) if i is None)))
+                at = list(map(index.get, keys))
+            entries.append(np.array(at, np.int64))
+        at = np.concatenate(entries) if entries else np.zeros(0, np.int64)
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
-        word_end = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
         total = int(ends[-1])
         ids = self.pool[np.repeat(self.at[at] - ends[:-1], size) + np.arange(total)]
-        doc_end = ends[word_end]                       # ids before each text's end
+        doc_end = ends[np.concatenate([[0], np.cumsum([len(e) for e in entries])])]   # ids before each text's end
         out = np.full(total + len(texts), END_ID, np.uint32)
-        doc_of = np.repeat(np.arange(len(texts)), np.diff(doc_end))
-        out[np.arange(total) + doc_of] = ids
+        out[np.arange(total) + np.repeat(np.arange(len(texts)), np.diff(doc_end))] = ids
         return out, doc_end + np.arange(len(texts) + 1)
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str | None) -> WordIds:
+    return WordIds(path)
+
+
 def pieces_of(n: int) -> list[int]:
     """Lengths of the pieces of a document of n tokens."""
     out, rest = [CAPACITY] * (n // CAPACITY), n % CAPACITY
@@ -103,7 +140,7 @@ def pieces_of(n: int) -> list[int]:
 def cutter(id_type: pa.DataType, path: str | None):
     """Task function: (id, text) batches -> pieces with their number in the task's class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, seen = WordIds(path), TaskContext.get().partitionId(), {}
+        ids, part, seen = word_ids(path), TaskContext.get().partitionId(), {}
         cuts: dict[int, list[int]] = {}
         for batch in batches:
             data, offs = flat(batch.column(1))

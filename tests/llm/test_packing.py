@@ -62,7 +62,8 @@ def test_pieces_of_any_length():
 
 
 def test_words_equal_whole_texts():
-    texts = ["It's  \t odd spaces here don't 12a é́ <|endoftext|> x", "漢字 🙂 ÄÖ\x1cß\x85z", "", " "]
+    texts = ["It's  \t odd spaces here don't 12a é́ <|endoftext|> x", "漢字 🙂 ÄÖ\x1cß\x85z", "", " ", "plain It's don't they'll x's 'S ÉÀ¼²ª1a2b.,;!?--#\x0b\x0ctabs¿Qué?’s",
+             "a'sb 'll'd ''s won't've «x» 10,000.50 <b>|c| <|d µ×÷ ", "x" * 5000 + " " + "é!" * 300]
     got, ends = packing.WordIds(None).encode([t.encode() for t in texts])
     for t, ids, a, b in zip(texts, tokens(texts), ends, ends[1:]):
         assert got[a:b].tolist() == ids
