@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskflow.functions.hashing import row_hash
 from riskflow.functions.quantiles import order_statistics
+from riskflow.session import cut_lineage
 
 _RANGE_ROWS = 200_000
 
@@ -27,11 +28,12 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """E5 long form: (actual, predicted, n) over the sorted union of true and predicted labels, zeros filled."""
-    counts = confusion_counts(df, label, prediction)
+    # at most K x K rows, written once: the table itself is scanned once, whatever is derived from the counts
+    counts = cut_lineage(confusion_counts(df, label, prediction))
     labels = (counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c")))
                     .where(F.col("c").isNotNull()).distinct())
-    # labels are the classes (a handful of rows): the grid is a broadcast nested loop, K x K rows
-    grid = labels.select(F.col("c").alias("actual")).crossJoin(F.broadcast(labels.select(F.col("c").alias("predicted"))))
+    # every class against every class is the result's own shape (K x K rows)
+    grid = labels.select(F.col("c").alias("actual")).crossJoin(labels.select(F.col("c").alias("predicted")))
     return (grid.join(counts, ["actual", "predicted"], "left")
                 .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -81,6 +83,7 @@ def score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     d = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg")))
+    d = cut_lineage(d)      # read for the count, the ranges, the offsets and the sums; the source is scanned once
     n_d = d.count()
     # at least one range per core (never one task for all distinct scores), more when they are many
     n_ranges = min(max(d.sparkSession.sparkContext.defaultParallelism, math.ceil(n_d / _RANGE_ROWS)), max(n_d, 1))
@@ -127,7 +130,7 @@ def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction"
     m = weighted_metrics(df, label, prediction)
     cols = ["accuracy", "precision", "recall", "f1"]
     if score is not None:
-        m = m.crossJoin(roc_auc(df, label, score, positive)).crossJoin(average_precision(df, label, score, positive))
+        m = m.crossJoin(ranking_metrics(df, label, score, positive))
         cols += ["roc_auc", "average_precision"]
     stack = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
     return m.selectExpr(f"stack({len(cols)}, {stack}) as (metric, value)")
@@ -159,7 +162,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(F.col("label").alias("__l"), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), F.col(label) == F.col("__l"), "left").drop("__l")
+    return df.join(w, F.col(label) == F.col("__l"), "left").drop("__l")
 
 
 def assign_folds(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42, label: str | None = None,

@@ -31,8 +31,8 @@ from riskflow.session import cut_lineage
 # Number text accepted by the numeric coercion (Spark's cast also takes '1d' / '1f', pandas does not).
 NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?\s*$"
 INTEGER_RE = r"^\s*[+-]?\d+\s*$"
-# Maps up to this many entries become a literal map expression; larger ones a join.
-LITERAL_MAP_MAX = 10_000
+# Maps up to this many entries become a literal map expression (a linear search per row); larger ones a join.
+LITERAL_MAP_MAX = 64
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -218,6 +218,14 @@ class CategoryEncoder:
         self.table = table
         self.broadcast_max_rows = broadcast_max_rows
         self.broadcast_max_bytes = broadcast_max_bytes
+        self._measured: dict[str, tuple[int, int]] | None = None
+
+    def _sizes(self) -> dict[str, tuple[int, int]]:
+        """Rows and value bytes of each column's map, measured once (one row a column)."""
+        if self._measured is None:
+            rows = self.table.groupBy("column").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("b")).collect()
+            self._measured = {r["column"]: (r["n"], r["b"] or 0) for r in rows}
+        return self._measured
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str], p: Params = Params()) -> "CategoryEncoder":
@@ -239,7 +247,7 @@ class CategoryEncoder:
     def columns(self) -> list[str]:
         if self.mapping is not None:
             return list(self.mapping)
-        return [r["column"] for r in self.table.select("column").distinct().collect()]
+        return list(self._sizes())
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.mapping is not None:
@@ -254,10 +262,8 @@ class CategoryEncoder:
                     exprs[c] = F.lit(-1)
             return df.withColumns(exprs) if exprs else df
         out = df
-        # rows and value bytes per column in one aggregate (one row per column): a map side is broadcast
-        # only when both are under the limits (text values have no fixed width, so rows alone bound nothing)
-        sizes = {r["column"]: (r["n"], r["b"] or 0) for r in self.table.groupBy("column").agg(
-            F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("b")).collect()}
+        # a map side is broadcast only when rows and bytes are both under the limits (text has no fixed width)
+        sizes = self._sizes()
         for c, (n, nbytes) in sizes.items():
             if c not in out.columns:
                 continue

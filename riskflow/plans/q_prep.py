@@ -59,6 +59,17 @@ def q_temporal_features(spark, sf_dir):
     return pp.add_temporal_features(df, plan)
 
 
+@query("temporal_text", """
+select o_orderkey, year(o_orderdate)::int as day_text_year, month(o_orderdate)::int as day_text_month,
+  (isodow(o_orderdate) - 1)::int as day_text_dayofweek, 0::int as day_text_hour, quarter(o_orderdate)::int as day_text_quarter
+from orders""")
+def q_temporal_text(spark, sf_dir):
+    """C8 on text: the one format that parses every value is found, then split into calendar parts."""
+    configure(spark)
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') as day_text")
+    return pp.add_temporal_features(df, pp.detect_temporal(df, ["day_text"]))
+
+
 @query("encode_categories", """
 select o_orderkey,
   (dense_rank() over (order by o_orderstatus) - 1)::int as o_orderstatus,

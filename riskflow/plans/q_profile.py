@@ -80,3 +80,33 @@ def q_class_distribution(spark, sf_dir):
 @query("drop_duplicates", with_frames(["geo_events_dirty"], "select distinct * from geo_events_dirty"))
 def q_drop_duplicates(spark, sf_dir):
     return _geo(spark, sf_dir, "geo_events_dirty").dropDuplicates()
+
+
+@query("validate_small", with_frames(["geo_events"], """
+select 'few' as part, 'too_few_rows' as issue, 7::bigint as n, null::varchar as columns from (select 1)
+union all select 'few', 'high_missing', 1::bigint, 'temperature' from (select 1)
+union all select 'few', 'constant', count(*), string_agg(c, ',' order by i) from (
+  select 1 as i, 'temperature' as c where (select count(distinct temperature) from geo_events where event_id % 20 = 7 and event_id < 140) <= 1
+  union all select 2, 'const_col') t
+union all select 'none', 'empty', 0::bigint, null::varchar from (select 1)"""))
+def q_validate_small(spark, sf_dir):
+    """A handful of rows whose temperature is missing, and no rows at all."""
+    geo = _geo(spark, sf_dir).select("event_id", "latitude", "temperature", "const_col")
+    few = pr.validate(geo.where("event_id % 20 = 7 and event_id < 140")).withColumn("part", F.lit("few"))
+    none = pr.validate(geo.where("event_id < 0")).withColumn("part", F.lit("none"))
+    return few.unionByName(none).select("part", "issue", "n", "columns")
+
+
+@query("infer_roles", with_frames(["geo_events"], """
+select 'geo_events' as source, 'label' as target, 'latitude' as lat, 'longitude' as lon, count(*) as n_rows from geo_events
+union all select 'labels', null, null, null, count(*) from labels"""))
+def q_infer_roles(spark, sf_dir):
+    """Target and coordinate columns inferred from the names of a table."""
+    out = None
+    for name, df in (("geo_events", _geo(spark, sf_dir)), ("labels", spark.read.parquet(f"{sf_dir}/labels.parquet"))):
+        target = pr.infer_target(df)
+        lat, lon = pr.infer_coords(df.columns, target)
+        row = df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("source"), *[F.lit(v).cast("string").alias(c) for c, v in (("target", target), ("lat", lat), ("lon", lon))], "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out

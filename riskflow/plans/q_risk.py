@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskflow.operators.risk import composite_risk, minmax, risk_summary
+from riskflow.operators.risk import composite_risk, fitted_bounds, minmax, recency, risk_summary, score_frame
 from riskflow.params import Params
 from riskflow.plans.fixtures import frame, with_frames
 from riskflow.plans.registry import DIGITS, query
@@ -75,7 +75,30 @@ def q_spatial_density(spark, sf_dir):
 @query("recency", with_frames(["scored_events"], "with " + _PARTS.strip() + """
 select event_id, round(rec, 6) as recency from y""").replace("\nwith ", ",\n", 1))
 def q_recency(spark, sf_dir):
-    return _composite(spark, sf_dir).select("event_id", r9(F.col("recency")).alias("recency"))
+    return recency(_scored(spark, sf_dir), "ts").select("event_id", r9(F.col("recency")).alias("recency"))
+
+
+@query("score_frame", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
+select event_id, round(m, 6) as model_prob, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level,
+       prediction = 1 as anomaly_flag
+from z""").replace("\nwith ", ",\n", 1))
+def q_score_frame(spark, sf_dir):
+    """The scored table with its flag."""
+    out = score_frame(_scored(spark, sf_dir), "model_prob", "anomaly_score", "prediction", "latitude", "longitude", "ts", P)
+    return out.select("event_id", r9(F.col("model_prob")).alias("model_prob"), r9(F.col("risk_score")).alias("risk_score"),
+                      "risk_level", "anomaly_flag")
+
+
+@query("frozen_scoring", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
+select event_id, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level from z
+where category = 'click'""").replace("\nwith ", ",\n", 1))
+def q_frozen_scoring(spark, sf_dir):
+    """One event type scored alone against bounds and density field of the whole table, as a stream's batch is."""
+    rows = _scored(spark, sf_dir)
+    bounds, field = fitted_bounds(rows, "anomaly_score", "latitude", "longitude", "ts", P)
+    out = composite_risk(rows.where("category = 'click'"), "model_prob", "anomaly_score", "latitude", "longitude", "ts", P,
+                         bounds=bounds, field=field)
+    return out.select("event_id", r9(F.col("risk_score")).alias("risk_score"), "risk_level")
 
 
 @query("composite_risk", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
