@@ -14,11 +14,12 @@ the whole sets. Members within r form the pivot's ball and are linked.
 Recursion. A region is settled when its other members are in one component. Else it is joined again without its pivot.
 Ball members stay in it only inside the window: if some member x outside has d(x, p) <= d(y, p) + r, since by the triangle
 inequality no closer y can link to x. A node whose open regions hold less than a quarter of its sketch (three quarters of a
-whole set) has met each of its partners in a settled one and leaves. Regions that stay open have twice as many pivots each
-round, so the recursion ends after logarithmically many rounds; there is no cap on members, candidates or rounds.
+whole set) has met each of its partners in a settled one and leaves. Regions that stay open have more pivots each
+round (`LANES`), so the recursion ends after logarithmically many rounds; there is no cap on members, candidates or rounds.
 
-Scale. Regions are (hash, node) rows, aggregated with map-side combine; sets are shipped only for nodes with a candidate
-(a bitmap of fixed size picks them in the scan, an exact join follows), to their pivot, whose members are salted into
+Scale. Regions are (hash, node) rows, aggregated with map-side combine; sets are taken from the texts once for the first
+round's candidates and once for the open nodes of all further rounds (a bitmap of fixed size picks them in the scan, an
+exact join follows), and shipped to their pivot, whose members are salted into
 groups of `SALT_ROWS`; a task streams its members past the pivot's set. No group is collected anywhere.
 
 Defined results: null text is empty, has no shingle and is its own component; equal texts and repeated rows share a
@@ -41,7 +42,7 @@ LEAST_PERCENT = 75
 R = 1 - LEAST_PERCENT / 100
 BITMAP_WORDS = 1 << 19               # 64-bit words of the scan's bitmap: 4 MB, whatever the input
 SALT_ROWS = 2000
-MOST_PIVOTS = 64
+LANES = 8                            # each round a region has so many times the pivots of the round before
 
 
 def sets_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,21 +129,21 @@ def bitmap_of(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(words.tobytes())
 
 
-def distances(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, p, common) of the pairs (x, p), from the whole sets."""
-    spark = texts.sparkSession
-    need = pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct()
-    bitmap = bitmap_of(need)
-    sets = texts.mapInArrow(_sets(bitmap), "node long, items binary")
+def sets_of_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, items): whole sets of the texts whose node is in `nodes` (and of a few others with the same bit)."""
+    return texts.mapInArrow(_sets(bitmap_of(nodes)), "node long, items binary")
+
+
+def distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, p, common) of the pairs (x, p), from whole sets."""
+    spark = pairs.sparkSession
     salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(salts, "p").select("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("x").alias("node"))
     pivots = salts.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("p").alias("node"))
     shipped = sets.join(members.union(pivots), "node").select("p", "salt", "member", "node", "items")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = shipped.repartition(n, "p", "salt").sortWithinPartitions("p", "salt", "member")
-    out = cut(ordered.mapInArrow(_measure, "x long, p long, common long").distinct())
-    bitmap.unpersist()
-    return out
+    return ordered.mapInArrow(_measure, "x long, p long, common long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,16 +203,19 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = cut(base.mapInArrow(_sketches, schema))
     nodes = cut(every.where("size(sketch) > 0").select("node", "n", "sketch").dropDuplicates(["node"]))
     members = members_of(nodes.select(F.col("node").alias("x"), "n", F.explode("sketch").alias("t")))
-    lanes, known = 1, None
+    lanes, known, sets = 1, None, None
     while True:
         pairs = candidates(members, nodes, lanes)
         if known is not None:
             pairs = pairs.join(known.select("x", "p"), ["x", "p"], "left_anti")
         pairs = cut(pairs)
         if known is None or not pairs.isEmpty():
-            measured = distances(base.select("text"), pairs.select("x", "p")).join(pairs, ["x", "p"])
+            if known is None:
+                sets = sets_of_nodes(base.select("text"), pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
+            measured = distances(sets, pairs.select("x", "p")).join(pairs, ["x", "p"])
             measured = cut(measured.withColumn("d", 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).withColumn("link", linked()))
-            known = measured if known is None else known.unionByName(measured)
+            first_round = known is None
+            known = measured if first_round else known.unionByName(measured)
             comps = components(known.where("link").select("x", "p"))
         left = open_rows(members, comps, known, lanes)
         drop_cut(members)
@@ -219,7 +223,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         members = members_of(left)
         drop_cut(left)
-        lanes = min(2 * lanes, MOST_PIVOTS)
+        if first_round:  # the open nodes' sets serve all further rounds
+            still = members.select(F.col("x").alias("node")).distinct()
+            sets, first_round = cut(sets_of_nodes(base.select("text"), still).join(still, "node", "left_semi")), False
+        lanes *= LANES
     first = every.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
