@@ -114,16 +114,18 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _delta(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps: their low 32 bits, and (place, high bits) of the few gaps that need more."""
     gaps = np.diff(keys, prepend=U(0))
-    if len(gaps) > 1 and gaps[1:].max() < 1 << 32:
-        return b"4" + int(gaps[0]).to_bytes(8, "little") + gaps[1:].astype("<u4").tobytes()
-    return b"8" + gaps.astype("<u8").tobytes()
+    wide = np.flatnonzero(gaps >> U(32))
+    return b"".join([len(wide).to_bytes(4, "little"), wide.astype("<u4").tobytes(), (gaps[wide] >> U(32)).astype("<u4").tobytes(),
+                     (gaps & U(0xFFFFFFFF)).astype("<u4").tobytes()])
 
 
 def _undelta(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"4":
-        return np.cumsum(np.concatenate([np.frombuffer(blob[1:9], "<u8"), np.frombuffer(blob[9:], "<u4").astype(U)]), dtype=U)
-    return np.cumsum(np.frombuffer(blob[1:], "<u8"), dtype=U)
+    n, ints = int.from_bytes(blob[:4], "little"), np.frombuffer(blob, "<u4", offset=4)
+    gaps = ints[2 * n:].astype(U)
+    gaps[ints[:n]] += ints[n:2 * n].astype(U) << U(32)
+    return np.cumsum(gaps, dtype=U)
 
 
 def _small_ints(x: np.ndarray, pack) -> bytes:
