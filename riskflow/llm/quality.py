@@ -27,7 +27,7 @@ COMMON_WORDS = (
 CHAR_CLASSES = ("[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", "[#*$%&|<>]", r"[^\x00-\x7F]")
 MIN_WORDS, LEAST_WORDS = 100, 50
 MOST_REPEAT_PERCENT = 50
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.45
+MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.25
 
 
 def let(value: Column, body) -> Column:
