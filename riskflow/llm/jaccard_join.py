@@ -166,14 +166,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def members_of(rows: DataFrame) -> DataFrame:
-    """Rows (t, x, n) of hashes with two members or more, with the region's size k and smallest member p."""
+    """Rows (t, x, n, main) of hashes with two members or more, with the region's size k and smallest member p."""
     regions = rows.groupBy("t").agg(F.min("x").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return cut(rows.join(regions, "t").select("t", "x", "n", "p", "k"))
+    return cut(rows.join(regions, "t").select("t", "x", "n", "main", "p", "k"))
 
 
 def pivots_of(members: DataFrame, lanes: int) -> DataFrame:
-    """(t, pivot): the smallest member of each lane of a region."""
-    return members.groupBy("t", F.pmod("x", F.lit(lanes)).alias("lane")).agg(F.min("x").alias("pivot")).select("t", "pivot")
+    """(t, pivot): in each lane of a region the smallest member outside its main component. Members of the main component
+    need not meet each other, so a large family with a few strangers is settled by the strangers."""
+    outside = members.where("not main").groupBy("t", F.pmod("x", F.lit(lanes)).alias("lane"))
+    return outside.agg(F.min("x").alias("pivot")).select("t", "pivot")
 
 
 def candidates(members: DataFrame, nodes: DataFrame, lanes: int) -> DataFrame:
@@ -202,7 +204,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     every = cut(base.mapInArrow(_sketches, schema))
     nodes = cut(every.where("size(sketch) > 0").select("node", "n", "sketch").dropDuplicates(["node"]))
-    members = members_of(nodes.select(F.col("node").alias("x"), "n", F.explode("sketch").alias("t")))
+    members = members_of(nodes.select(F.col("node").alias("x"), "n", F.explode("sketch").alias("t"), F.lit(False).alias("main")))
     lanes, known, sets = 1, None, None
     while True:
         pairs = candidates(members, nodes, lanes)
@@ -237,7 +239,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def open_rows(members: DataFrame, comps: DataFrame, known: DataFrame, lanes: int) -> DataFrame:
-    """Rows (t, x, n) that the next round joins: open regions without their pivots, inside the windows, of open nodes."""
+    """Rows (t, x, n, main) that the next round joins: open regions without their pivots, inside the windows, of open nodes.
+    `main` marks the members of the region's largest component (of equal ones the one with the largest key)."""
     if lanes == 1:
         left = members.where("x != p and k > 2")
     else:
@@ -246,12 +249,13 @@ def open_rows(members: DataFrame, comps: DataFrame, known: DataFrame, lanes: int
     # distance to the region's first pivot; one that was not computed is above r
     left = left.join(known.select("x", "p", "d", "link"), ["x", "p"], "left")
     left = cut(left.withColumn("ball", F.coalesce("link", F.lit(False))).select("t", "x", "n", "comp", "d", "ball"))
-    regions = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                    F.min(F.when(~F.col("ball"), F.coalesce("d", F.lit(R)))).alias("nearest"))
-    kept = left.join(regions.where("lo != hi").select("t", "nearest"), "t")
+    families = left.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.when(~F.col("ball"), F.coalesce("d", F.lit(R)))).alias("nearest"))
+    regions = families.groupBy("t").agg(F.count(F.lit(1)).alias("families"), F.max(F.struct("k", "comp")).alias("largest"), F.min("nearest").alias("nearest"))
+    regions = regions.where("families > 1").select("t", "nearest", F.col("largest.comp").alias("main_comp"))
+    kept = left.join(regions, "t").withColumn("main", F.col("comp") == F.col("main_comp"))
     # the ball is one component: its member is needed only if some member outside may be within its reach
     beyond = F.coalesce(F.col("ball") & (F.col("d") + R < F.col("nearest")), F.lit(False))
-    kept = kept.where(~beyond).select("t", "x", "n")
+    kept = kept.where(~beyond).select("t", "x", "n", "main")
     per = kept.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k"))
     whole = F.when(F.col("n") <= SKETCH, 100 * F.col("k") >= LEAST_PERCENT * F.col("n")).otherwise(4 * F.col("k") >= SKETCH)
     out = cut(kept.join(per.where(whole).select("x"), "x", "left_semi"))
