@@ -7,8 +7,8 @@ chosen grams ("anchors", about one in 177 bytes) can show a repeat. What can rep
 
 1. Scan: anchors (text key, position, gram hash, context hash). Anchors with a context that occurs twice are repeated over
    the whole of it; a gram hash that occurs in one context only needs nothing more.
-2. Second scan: bytes of the other contexts whose gram occurs in several (a bitmap of fixed size chooses them in the scan,
-   an exact join follows), one row a distinct context and task, moved to its gram.
+2. Second scan: bytes of the other contexts whose gram occurs in several (a bitmap of fixed size chooses them in the scan;
+   the few it lets through by chance find no partner), one row a distinct context and task, moved once, to its gram.
 3. A group of contexts with the same gram is ordered twice by deep-shallow sorting, by what follows the anchor and by what
    precedes it (reversed): multikey quicksort over 8-byte words to a shallow depth, then blind tries order what is still
    equal. The two arrays of longest common prefixes tell for each offset l of the anchor in a 400-byte string which
@@ -39,8 +39,8 @@ from riskflow.llm.common import _BYTE, U, chunks, cut, drop_cut, flat, mix64, po
 LENGTH, GRAM = 400, 48
 SPAN = LENGTH - GRAM + 1             # grams in a string, offsets l = 0 .. SPAN - 1
 SCAN_BYTES = 1 << 20
-BITMAP_WORDS = 1 << 19
-GROUP = 2000
+BITMAP_WORDS = 1 << 21               # 16 MB, whatever the input
+GROUP = 1 << 15                      # contexts that a task orders at once, about 25 MB
 SHALLOW, WORD = 64, 8
 
 
@@ -323,8 +323,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     large = grams.where(F.col("kinds") > GROUP)
     problem = ["gram", "lo", "hi", "core", "context", "left", "right"]
     if large.isEmpty():
-        contexts = bytes_of.join(grams.select("gram"), "gram", "left_semi")
-        ready = contexts.select("gram", F.lit(0).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"), F.lit(0).cast("long").alias("core"),
+        # a context that only shares its bit with a wanted gram makes a group of its own kind, which yields nothing
+        ready = bytes_of.select("gram", F.lit(0).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"), F.lit(0).cast("long").alias("core"),
                                 "context", "left", "right")
         found = None
     else:
