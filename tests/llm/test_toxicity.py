@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from riskflow.llm import toxicity as tx
@@ -66,3 +68,35 @@ def test_features():
     assert of("you idiot")["near_second"] == 1 and of("you" + " x" * 60 + " idiot")["near_second"] == 0
     assert of("id1ot m0ron")["obfuscated_count"] == 2 and of("i.d.i.o.t now")["obfuscated_count"] == 1
     assert of("idiotical cloning")["lexicon_count"] == 0 and of("IDIOT")["shouted_share"] == 1
+
+
+def test_lexicon_is_learnt_in_any_language(spark):
+    """Toxic texts without any English insult: a stem with many endings, in ASCII and not, never twice the same word."""
+    rng = random.Random(8)
+    extra, data, labels = rows()[0][5:], [], []
+    for i in range(1200):
+        ws, toxic = prose(rng, rng.randrange(20, 150)).split(" "), rng.random() < 0.2
+        if toxic:
+            for k in range(rng.randrange(2, 6)):
+                ws.insert(rng.randrange(len(ws)), rng.choice(["zorglu", "Réêtu", "ЖАБОМ"]) + "".join(rng.choice("abcdefgh") for _ in range(5)))
+        data.append((i, " ".join(ws), [None, "fr", "de"][i % 3], "s", 1) + extra)
+        labels.append((i, int(toxic), 0))
+    truth = {a: b for a, b, _ in labels}
+    out = [r for r in tx.score(frame(spark, data), label_frame(spark, labels)).collect() if r["held_out"]]
+    toxic = [r for r in out if truth[r["id"]]]
+    assert len(toxic) > 30 and all(r["lexicon_count"] == 0 for r in toxic)
+    assert sum(r["score"] >= tx.CUT_OFF for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["score"] >= tx.CUT_OFF for r in out if not truth[r["id"]]) <= 0.05 * len(out)
+
+
+def test_terms_are_counted_by_fold_and_label(spark):
+    texts = [("Zorgla zorgle!", 0, 1.0), ("zorgli abc", 1, 1.0), ("zorglo", 2, 1.0), ("x zorglu", 3, 1.0), *[("abc def ghi", f % 5, 0.0) for f in range(20)]]
+    lexicons = tx.learn_lexicon(spark.createDataFrame(texts, "text string, fold int, label double").repartition(3))
+    assert len(lexicons) == tx.FOLDS + 1
+    stem = tx._hashes_of(("zorgl",)).view("int64")[0]
+    odds = dict(zip(*lexicons[-1]))
+    n1, all1, all0 = 5, 7, 60
+    want = math.log((n1 + 0.5) / (all1 + 0.5 - n1)) - math.log(0.5 / (all0 + 0.5))
+    assert abs(odds[stem] - want) < 1e-9
+    assert stem in lexicons[0][0] and tx._hashes_of(("abc",)).view("int64")[0] not in odds
+    assert tx.learnt_features(pa.array(["ZORGLXYZ you", None, "", "abc"]), lexicons[-1])[:, [1, 4]].tolist() == [[1, 1], [0, 0], [0, 0], [0, 0]]
