@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
 Base kinds are three patterns (leftmost, non-overlapping per kind): `assign`, `access`, `hex`. The method adds `novel`
-spans: after a sensitive word (password, credential, private key, ...) on the same line, a string of 16 or more key
-characters with a letter and a digit is compressed with zstandard, primed with a dictionary of common identifiers, once
-with and once without it behind its surrounding text; if it costs at least `NOVEL_SHARE` of its length in additional
-bytes, neither the surrounding code nor the dictionary explain it, and it is reported.
+spans: in the block (lines up to a blank one; an armour from BEGIN to its END as a whole) of a sensitive word (password,
+credential, private key, ...), before and after it, every string of printable ASCII is compressed with zstandard, primed
+with a dictionary of common identifiers that also holds their letter statistics, once with and once without it behind its
+surrounding text; if it costs at least `NOVEL_SHARE` of its length and `LEAST_NOVEL` bytes more, neither the surrounding
+code nor the dictionary explain it, and it is reported. Of a string with separators (key=value) the novel parts are
+reported, and all of it if only the whole is novel. A string inside a base span is not reported again.
 
 Whole texts are scanned by a task function over Arrow batches; a row needs no other row, so there is no shuffle.
 
@@ -30,13 +32,18 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
-# Words that make the rest of their line a sensitive context.
+# Words that make their block a sensitive context.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "private_key", "private key",
              "credential", "authorization", "bearer", "signature", "client_id", "connection_string")
 CONTEXT = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
-REACH, AROUND = 120, 2048            # characters behind the sensitive word; surrounding text on either side
-NOVEL_SHARE, LEVEL = 0.6, 3
+BLOCK = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
+ARMOUR = re.compile(r"-----BEGIN ([^\n-]+)-----.*?-----END \1-----", re.DOTALL)
+# A quoted string without spaces, or a run up to a space, quote, bracket or list separator; where either falls into parts.
+CANDIDATE = re.compile(r"""(?<=")[!#-~]+(?=")|(?<=')[!-&(-~]+(?=')|(?:(?![\s"'`<>(){}\[\],;|])[!-~])+""")
+PARTS = re.compile(r"[^:=<>(){}\[\],;|\"'`]+")
+AROUND = 2048                        # surrounding text on either side
+NOVEL_SHARE, LEAST_NOVEL, LEVEL = 0.66, 8, 3
+SHORTEST = 6                         # fewer characters never cost LEAST_NOVEL bytes
 # Common identifiers of source code, the priming dictionary.
 IDENTIFIERS = ("self this null none true false return import from class public private static final void const let var function "
                "def async await export default require module package string integer boolean float double char byte array list map "
@@ -53,7 +60,11 @@ IDENTIFIERS = ("self this null none true false return import from class public p
 @lru_cache(maxsize=1)
 def _compressor():
     import zstandard as z
-    primed = z.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+    names = IDENTIFIERS.split()
+    # fixed samples; training adds the code lengths of letters, so that short texts need not spell out rare characters
+    samples = [" ".join(names[(i * k) % len(names)] for k in range(1, 13)).encode() for i in range(1, 401)]
+    trained = z.train_dictionary(2048, samples, k=64, d=6)
+    primed = z.ZstdCompressionDict(trained.as_bytes())
     return z.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
@@ -75,25 +86,44 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def sensitive_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the blocks that hold a sensitive word, in order and disjoint."""
+    armours = [m.span() for m in ARMOUR.finditer(text)] if "-----BEGIN " in text else []
+    at = k = 0
+    while m := BLOCK.search(text, at):
+        start, end = m.span()
+        while k < len(armours) and armours[k][0] < end:
+            if armours[k][1] > end:
+                line = text.find("\n", armours[k][1])
+                end = BLOCK.match(text, armours[k][1]).end() if text[armours[k][1]:line if line >= 0 else len(text)].strip() else armours[k][1]
+            k += 1
+        if CONTEXT.search(text, start, end):
+            yield start, end
+        at = end
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(w in low for w in SENSITIVE):
         return []
-    found = {}
-    for m in CONTEXT.finditer(text):
-        line = text.find("\n", m.end())
-        stop = min(m.end() + REACH, line if line >= 0 else len(text))
-        for c in CANDIDATE.finditer(text, m.end(), len(text)):
-            if c.start() >= stop:
-                break
-            s, e = c.span()
-            word = c[0]
-            if s in found or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
-                continue
-            if any(s < b[2] and b[0] < e for b in base):
-                continue
-            if marginal_bytes(text, s, e) >= NOVEL_SHARE * (e - s):
-                found[s] = (s, 3, e)
-    return list(found.values())
+    covered = bytearray(len(text))
+    for s, _, e in base:
+        covered[s:e] = b"\1" * (e - s)
+
+    def novel(s: int, e: int) -> bool:
+        if e - s < SHORTEST or covered.find(0, s, e) < 0:
+            return False
+        return marginal_bytes(text, s, e) >= max(LEAST_NOVEL, NOVEL_SHARE * (e - s))
+
+    found = []
+    for start, end in sensitive_blocks(text):
+        for c in CANDIDATE.finditer(text, start, end):
+            s, e = c.start(), c.start() + len(c[0].rstrip(".,:"))
+            parts = [m.span() for m in PARTS.finditer(text, s, e)]
+            hits = [p for p in parts if novel(*p)]
+            if not hits and parts != [(s, e)] and novel(s, e):
+                hits = [(s, e)]
+            found += [(a, 3, b) for a, b in hits]
+    return found
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

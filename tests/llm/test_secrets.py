@@ -66,3 +66,26 @@ def test_mask_takes_effect(spark):
 
 def test_empty_table(spark):
     assert s.find(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_novel_strings_anywhere_in_the_block():
+    rng = random.Random(11)
+    def of(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+    base64 = string.ascii_letters + string.digits + "+/"
+    body = [of(base64, 64) for _ in range(6)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join(body) + "\n-----END RSA PRIVATE KEY-----\n"
+    mixed, digits, letters, marks = of(base64, 24), of(string.digits, 20), of(string.ascii_letters, 24), "P@ss!w0rd#42%zQ"
+    far = " ".join(["the list of all items and their names"] * 40)
+    cases = [("see below\n" + pem + "\nthe end", body), (f"credential:\n    {mixed}\nname: x", [mixed]), (f'{{"credential":\n "{mixed}"}}', [mixed]),
+             (f"credential {far} {mixed}", [mixed]), (f"{mixed} is the credential", [mixed]), (f"| {digits} | credential |", [digits]),
+             (f"credential {letters}", [letters]), (f"credential {marks} of the user", [marks]), (f"credential Tr0ub4dor&3 x", ["Tr0ub4dor&3"]),
+             (f'{{"a":1,"credential":"{mixed}","b":[2,3]}}', [mixed]), (f"password=abcdefgh!{marks}", [marks]), ("credential=" + marks, [marks])]
+    for text, secrets in cases:
+        for secret in secrets:
+            assert secret not in s.masked(text), (text, secret)
+    plain = "The token of the server is described in the documentation, and understanding every credential takes regular reading."
+    assert s.scan(plain)[1] == []
+    assert s.scan(f"credential of nobody\n\n{mixed} in another block")[1] == []
+    many = "credential " + " ".join(of(base64, 20) for _ in range(2000))
+    assert len(s.scan(many)[1]) > 1900                               # other secrets around explain the letters of a few
