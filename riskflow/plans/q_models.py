@@ -1,8 +1,7 @@
 """Model, forest, scoring and source queries. Models are random (seeded) or iterative, so these have no SQL
 oracle (rows-only check); the tests check their properties instead.
 
-The prepared geo_events frame (J2) feeds the models; query hyper-parameters are smaller than the service
-defaults (which stay in `Params()`) so a query stays within seconds at the test scales.
+The prepared geo_events frame (J2) feeds the models, with the service defaults of `Params()`.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from riskflow.plans.registry import query
 from riskflow.session import configure, scratch_path
 from riskflow.sources.readers import read_geojson
 
-QP = Params(rf_trees=20, rf_depth=8, gbt_rounds=10, gbt_depth=4, lr_max_iter=100, if_trees=50, cv_folds=3)
+QP = Params()
 KEYS = ["event_id"]
 _CACHE: dict = {}
 
