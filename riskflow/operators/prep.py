@@ -524,14 +524,15 @@ class PrepModel:
 
         Without `df` the de-duplicated rows checkpointed by `fit` are reused (no second dedup shuffle).
         """
+        if with_split and self.p.fit_on == "train" and (stratify or exact):
+            raise ValueError("fit_on='train' learns from the plain split; stratify and exact would mix its rows")
         base = getattr(self, "_base", None)
         x = base if (df is None and base is not None) else drop_duplicates(nan_to_null(df))
         if self.state["target"] and self.state["target"] in x.columns:
             x = x.withColumnRenamed(self.state["target"], self.state["label_out"])
         keys = [k for k in self.state["keys"] if k in x.columns]
         if with_split and not keys:
-            # no id: rows are distinct after the dedup, so their content is a key
-            x = x.withColumn("__row_key", F.md5(F.to_json(F.struct(*[_q(c) for c in x.columns]))))
+            x = _with_row_key(x)
         out = self._features_frame(x, outliers=True, extra=[] if keys else ["__row_key"])
         if with_split:
             label = self.state["label_out"] if (stratify and self.state["target"]) else None
@@ -580,6 +581,21 @@ def _json_default(o):
     raise TypeError(type(o))
 
 
+def _with_row_key(x: DataFrame) -> DataFrame:
+    """No id: rows are distinct after the dedup, so their content is a key."""
+    return x.withColumn("__row_key", F.md5(F.to_json(F.struct(*[_q(c) for c in x.columns]))))
+
+
+def _split_rows(base: DataFrame, target: str | None, label_out: str, keys: list[str], p: Params) -> DataFrame:
+    """The rows with the plain split of `fitted_frame` as `__split`."""
+    keys = [k for k in keys if k in base.columns]
+    if keys:
+        return assign_split(base, keys, p, out="__split")
+    x = _with_row_key(base.withColumnRenamed(target, label_out) if target else base)
+    x = assign_split(x, ["__row_key"], p, out="__split")
+    return x.withColumnRenamed(label_out, target) if target else x
+
+
 class Prep:
     """Fit the whole chain."""
 
@@ -590,6 +606,8 @@ class Prep:
             raise ValueError(f"unknown scaling {p.scaling!r}; use standard, minmax or robust")
         if p.imputation not in ("median", "mean", "most_frequent"):
             raise ValueError(f"unknown imputation {p.imputation!r}")
+        if p.fit_on not in ("all", "train"):
+            raise ValueError(f"unknown fit_on {p.fit_on!r}; use all or train")
         self.p = p
 
     def fit(self, df: DataFrame, target: str | None = None, keys: list[str] | tuple = (),
@@ -607,7 +625,11 @@ class Prep:
         if target and isinstance(base.schema[target].dataType, T.StringType):
             values = _class_values(base, target)
             label_map = {v: i for i, v in enumerate(values)}        # bounded by the class count
-        x = base.drop(target) if target else base
+        rows = base
+        if p.fit_on == "train":       # D8: everything below is learnt from the rows that fitted_frame() calls train
+            rows = _split_rows(base, target, label_out, keys, p)
+            rows = cut_lineage(rows.where(F.col("__split") == "train").select(*[_q(c) for c in base.columns]))
+        x = rows.drop(target) if target else rows
         cand = [c for c in x.columns if c not in keys]
         # pass 1: constants + numeric coercion + time formats, one aggregate
         fields = {f.name: f.dataType for f in x.schema.fields}
@@ -693,7 +715,7 @@ class Prep:
         sc = scaler_stats(imputed, features, p.scaling, p)
         stats = {"n_rows": n_rows, "n_features": len(features), "missing_pct": missing_pct}
         if target:
-            dist = base.groupBy(target).count().collect()
+            dist = rows.groupBy(target).count().collect()
             stats["class_distribution"] = {str(rr[0]): rr[1] / n_rows for rr in dist}
         state = {
             "keys": keys, "target": target, "label_out": label_out, "constant": constant, "coerce": coerce,

@@ -266,3 +266,19 @@ def test_integers_beyond_64_bits_stay_numbers(spark):
     assert dict(out.dtypes) == {"a": "double", "b": "bigint"}
     assert sorted(r["a"] for r in out.collect() if r["a"] is not None) == [5.0, 1.2345678901234568e20]
     assert sorted(r["b"] for r in out.collect()) == [-1, 12, 9223372036854775807]
+
+
+def test_fit_on_train_ignores_other_rows(spark):
+    from riskflow.operators.prep import Prep
+    from riskflow.params import Params
+    data = [(i, float(i % 50), "abc"[i % 3], i % 2) for i in range(400)]
+    p = Params(fit_on="train")
+    for keys in (["id"], []):
+        df = spark.createDataFrame(data, "id long, v double, c string, y int")
+        split = Prep(p).fit(df, target="y", keys=keys)
+        n_train = split.fitted_frame().where("split = 'train'").count()
+        assert split.stats["n_rows"] == n_train < 400
+    ids = {r["id"] for r in Prep(p).fit(df, target="y", keys=["id"]).fitted_frame().where("split <> 'train'").collect()}
+    other = spark.createDataFrame([(i, 1e6 + i, "zzz", y) if i in ids else (i, v, c, y) for i, v, c, y in data], df.schema)
+    a, b = (Prep(p).fit(x, target="y", keys=["id"]).state for x in (df, other))
+    assert a == b and Prep(Params()).fit(other, target="y", keys=["id"]).state["fill"] != a["fill"]
