@@ -5,16 +5,15 @@ if their similarity is at least 0.75, that is their distance at most r = 0.25. T
 
 Regions. In a space where almost all distances are 1, a random pivot sees nobody; so regions grow around shared hashes.
 Each node keeps its `SKETCH` smallest shingle hashes. The smallest hashes of the union of two linked nodes are shared with
-chance >= 0.75 each, so linked nodes have less than a quarter of them in common with chance below 1e-15 (sets of up to
-`SKETCH` shingles are kept whole, where three quarters are certain). All nodes with hash t in their sketch are region t;
+chance >= 0.75 each, so linked nodes have less than a quarter of them in common with chance below 1e-15 (of two sets of up
+to `SKETCH` shingles, kept whole, three quarters are certain; of one such set and a larger one only the quarter is safe). All nodes with hash t in their sketch are region t;
 its pivot is the member with the smallest key, hence the same for most of the hashes that a group of copies shares. Every
 member measures its distance to the pivots of its regions: sizes and sketches rule out most, the others are computed from
 the whole sets. Members within r form the pivot's ball and are linked.
 
 Recursion. A region is settled when its other members are in one component. Else it is joined again without its pivot.
 Ball members stay in it only inside the window: if some member x outside has d(x, p) <= d(y, p) + r, since by the triangle
-inequality no closer y can link to x. A node whose open regions hold less than a quarter of its sketch (three quarters of a
-whole set) has met each of its partners in a settled one and leaves. Regions that stay open have more pivots each
+inequality no closer y can link to x. A node whose open regions hold less than a quarter of its sketch has met each of its partners in a settled one and leaves. Regions that stay open have more pivots each
 round (`LANES`), so the recursion ends after logarithmically many rounds; there is no cap on members, candidates or rounds.
 
 Scale. Regions are (hash, node) rows, aggregated with map-side combine; sets are taken from the texts once for the first
@@ -257,8 +256,9 @@ def open_rows(members: DataFrame, comps: DataFrame, known: DataFrame, lanes: int
     beyond = F.coalesce(F.col("ball") & (F.col("d") + R < F.col("nearest")), F.lit(False))
     kept = kept.where(~beyond).select("t", "x", "n", "main")
     per = kept.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k"))
-    whole = F.when(F.col("n") <= SKETCH, 100 * F.col("k") >= LEAST_PERCENT * F.col("n")).otherwise(4 * F.col("k") >= SKETCH)
-    out = cut(kept.join(per.where(whole).select("x"), "x", "left_semi"))
+    # also for a set kept whole: its partner may be larger and keep only its smallest hashes
+    enough = 4 * F.col("k") >= F.least(F.col("n"), F.lit(SKETCH))
+    out = cut(kept.join(per.where(enough).select("x"), "x", "left_semi"))
     drop_cut(left)
     return out
 

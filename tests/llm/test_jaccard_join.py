@@ -105,3 +105,37 @@ def test_empty_table(spark):
     assert jj.join_documents(empty).collect() == [] and jj.keep_one(empty).collect() == []
     blank = frame(spark, [r for r in rows() if not words(r[1])])
     assert all(r["component_id"] == r["id"] and r["n_shingles"] == 0 for r in jj.join_documents(blank).collect())
+
+
+def test_whole_set_stays_for_a_larger_partner(spark):
+    """64 shingles, all in a set of 85: they meet in 48 regions on average, so fewer than 48 open ones must not end it."""
+    def run(open_regions):
+        members = spark.createDataFrame([(t, x, n, 9, 3) for t in range(open_regions) for x, n in ((1, 64), (2, 85), (9, 64))],
+                                        "t long, x long, n long, p long, k long")
+        comps = spark.createDataFrame([(1, 1), (2, 2)], "node long, comp long")
+        known = spark.createDataFrame([], "x long, p long, d double, link boolean")
+        return {r["x"] for r in jj.open_rows(members, comps, known, 1).collect()}
+    assert run(40) == {1, 2} and run(16) == {1, 2} and run(15) == set()
+
+
+def test_templates_around_the_sketch_match_brute_force(spark):
+    rng = random.Random(21)
+    extra, texts = rows()[0][5:], []
+    for _ in range(3):
+        base = [f"v{rng.randrange(9000)}" for _ in range(94)]
+        for _ in range(16):
+            a, n = rng.randrange(5), rng.randrange(64, 90)
+            ws = base[a:a + n]
+            for _ in range(rng.randrange(3)):
+                ws[rng.randrange(len(ws))] = f"u{rng.randrange(9000)}"
+            texts.append(" ".join(ws))
+    all_sets = [sets(t) for t in texts]
+    assert min(map(len, all_sets)) <= 64 < max(map(len, all_sets))
+    comp = list(range(len(texts)))
+    for i, a in enumerate(all_sets):
+        for j, b in enumerate(all_sets[:i]):
+            if 4 * len(a & b) >= 3 * len(a | b) and comp[i] != comp[j]:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    out = jj.join_documents(frame(spark, [(i, t, "en", "s", 1) + extra for i, t in enumerate(texts)])).collect()
+    assert {r["id"]: r["component_id"] for r in out} == dict(enumerate(comp))
