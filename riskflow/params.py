@@ -55,11 +55,14 @@ class Params:
     gbt_rate: float = 0.05
     gbt_subsample: float = 0.8
     gbt_colsample: float = 0.8
+    gbt_bins: int = 64                  # bins a feature (up to 256)
+    gbt_bin_rows: int = 200_000         # rows from which the bins' edges are taken
     lr_max_iter: int = 1000
     lr_c: float = 1.0
     models: tuple = ("random_forest", "gradient_boosting", "logistic_regression")
     anomaly: bool = True
     cv_folds: int = 5
+    parallel_fits: int = 3              # fits of models or folds that run at the same time
     # isolation forest
     if_trees: int = 200
     if_sample: int = 256

@@ -22,13 +22,13 @@ KEYS = ["event_id"]
 _CACHE: dict = {}
 
 
-def fitted(spark, sf_dir, p: Params = QP, cv: bool = True):
+def fitted(spark, sf_dir, p: Params = QP):
     """(prep model, prepared frame, trained models) for geo_events, once per session and scale."""
     configure(spark)
-    k = (id(spark.sparkContext), sf_dir, repr(p), cv)
+    k = (id(spark.sparkContext), sf_dir, repr(p))
     if k not in _CACHE:
         prep_model, fr = prepared(spark, sf_dir, p)
-        models = mo.train(fr, prep_model.feature_names, KEYS, p, cv=cv)
+        models = mo.train(fr, prep_model.feature_names, KEYS, p, cv=False)
         _CACHE[k] = (prep_model, fr, models)
     return _CACHE[k]
 
@@ -43,7 +43,7 @@ def prepared(spark, sf_dir, p: Params = QP):
 
 
 def _test_predictions(spark, sf_dir, name):
-    prep_model, fr, models = fitted(spark, sf_dir, cv=False)
+    prep_model, fr, models = fitted(spark, sf_dir)
     test = fr.where(F.col("split") == "test")
     pred = mo.predict(models.models[name], test)
     return pred.select("event_id", F.col("label").cast("int").alias("label"),
@@ -65,17 +65,25 @@ def q_logistic_regression(spark, sf_dir):
     return _test_predictions(spark, sf_dir, "logistic_regression")
 
 
+def _folds(spark, sf_dir, p: Params = QP) -> dict[str, dict]:
+    """The cross-validation metrics of every model, once per session and scale; the models themselves are not fitted."""
+    configure(spark)
+    k = (id(spark.sparkContext), sf_dir, repr(p), "folds")
+    if k not in _CACHE:
+        prep_model, fr = prepared(spark, sf_dir, p)
+        _CACHE[k] = mo.cross_validate_models(fr, prep_model.feature_names, KEYS, p)
+    return _CACHE[k]
+
+
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    _, _, models = fitted(spark, sf_dir, cv=True)
-    rows = [(n, k, float(v)) for n in models.order for k, v in models.results[n].get("cross_val", {}).items()
-            if isinstance(v, (int, float))]
+    rows = [(n, k, float(v)) for n, m in _folds(spark, sf_dir).items() for k, v in m.items() if isinstance(v, (int, float))]
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    _, _, models = fitted(spark, sf_dir, cv=False)
+    _, _, models = fitted(spark, sf_dir)
     name = models.best
     return mo.importance_frame(spark, models.results[name]["feature_importance"]) \
              .withColumn("model", F.lit(name))
@@ -108,7 +116,7 @@ def q_isolation_forest_flag(spark, sf_dir):
 @query("score_new")
 def q_score_new(spark, sf_dir):
     """The whole geo_events table scored as new rows by the fitted chain and the best model."""
-    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    prep_model, _, models = fitted(spark, sf_dir)
     df = frame(spark, sf_dir, "geo_events")
     out = jobs.score_new(df, prep_model, models, KEYS, "latitude", "longitude", None, p=QP)
     return out.select("event_id", "model_prob", "risk_score", "risk_level", "anomaly_flag")
@@ -117,7 +125,7 @@ def q_score_new(spark, sf_dir):
 @query("score_test")
 def q_score_test(spark, sf_dir):
     """Predictions on the held-out test split with the model-probability summary attached."""
-    _, fr, models = fitted(spark, sf_dir, cv=False)
+    _, fr, models = fitted(spark, sf_dir)
     pred, summary = jobs.score_test(models, fr, p=QP)
     return pred.select("event_id", F.col("prediction").cast("int").alias("prediction"), "risk_prob",
                        "anomaly_flag").crossJoin(F.broadcast(summary.select("n_samples", "mean_risk")))
@@ -145,7 +153,7 @@ def q_score_stream(spark, sf_dir):
     the fitted chain and model into a Parquet sink in the shared scratch folder; returns the sink."""
     from riskflow.plans.fixtures import frame_over, table
     from riskflow.streaming.score_stream import file_stream, score_stream
-    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    prep_model, _, models = fitted(spark, sf_dir)
     schema = table(spark, sf_dir, "events").schema
     stream = file_stream(spark, sf_dir, schema, pattern="events.parquet")
     view = f"events_stream_{abs(hash(sf_dir)) % 10**8}"
@@ -189,7 +197,7 @@ def q_json_source(spark, sf_dir):
 def q_map_scores(spark, sf_dir):
     """The whole table scored by the fitted chain and best model, as map points (V5)."""
     from riskflow.operators import chartdata as cd
-    prep_model, _, models = fitted(spark, sf_dir, cv=False)
+    prep_model, _, models = fitted(spark, sf_dir)
     scored = jobs.score_new(frame(spark, sf_dir, "geo_events"), prep_model, models, KEYS, "latitude", "longitude",
                             None, p=QP)
     return cd.chart_map_points(scored, "latitude", "longitude", "risk_score", KEYS, QP)
@@ -199,7 +207,7 @@ def q_map_scores(spark, sf_dir):
 def q_chart_importance(spark, sf_dir):
     """V3: top 15 features of the best model."""
     from riskflow.operators import chartdata as cd
-    _, _, models = fitted(spark, sf_dir, cv=False)
+    _, _, models = fitted(spark, sf_dir)
     imp = mo.importance_frame(spark, models.results[models.best]["feature_importance"])
     return cd.chart_importance(imp, 15)
 
@@ -208,5 +216,4 @@ def q_chart_importance(spark, sf_dir):
 def q_chart_cv(spark, sf_dir):
     """V7: cross-validation F1 mean and std per model."""
     from riskflow.operators import chartdata as cd
-    _, _, models = fitted(spark, sf_dir, cv=True)
-    return cd.chart_cv(models.cv_frame(spark))
+    return cd.chart_cv(mo.cv_frame(spark, _folds(spark, sf_dir)))

@@ -24,6 +24,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # short jobs of Python workers wait about 40 ms for TCP acknowledgements; these sockets do not
+          .config("spark.python.unix.domain.socket.enabled", "true")
           .config("spark.driver.memory", os.environ.get("RISKFLOW_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
