@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 def geo_feature_columns(lat: str, lon: str) -> dict[str, Column]:
     """geo_lat_rad, geo_lon_rad, geo_distance_eq (sqrt(lat^2 + lon^2) in degrees) and geo_quadrant
     (2*[lat >= 0] + [lon >= 0], a missing coordinate counting as false)."""
-    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
+    la, lo = F.col(f"`{lat}`").cast("double"), F.col(f"`{lon}`").cast("double")
     return {
         "geo_lat_rad": F.radians(la),
         "geo_lon_rad": F.radians(lo),

@@ -32,10 +32,15 @@ class _Target:
     value: float | None = None
 
 
-def _long_form(df: DataFrame, cols: list[str], group_cols: list[str]) -> DataFrame:
-    items = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
-    return (df.select(*[F.col(g) for g in group_cols], F.explode(F.array(*items)).alias("cv"))
-              .select(*group_cols, F.col("cv.c").alias("c"), F.col("cv.v").alias("v"))
+def _q(c: str):
+    return F.col(f"`{c}`")
+
+
+def _long_form(df: DataFrame, cols: list[str], group_cols: list[str], only=None) -> DataFrame:
+    """(groups, c, v): the finite values of the columns, or of those whose numbers are in `only`."""
+    items = [F.struct(F.lit(i).alias("c"), _q(c).cast("double").alias("v")) for i, c in enumerate(cols) if only is None or i in only]
+    return (df.select(*[_q(g) for g in group_cols], F.explode(F.array(*items)).alias("cv"))
+              .select(*[_q(g) for g in group_cols], F.col("cv.c").alias("c"), F.col("cv.v").alias("v"))
               .where(F.abs("v") < F.lit(math.inf)))
 
 
@@ -49,8 +54,6 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
     Returns ({(gkey, col): n}, {(gkey, col, rank): value}).
     """
     group_cols = list(group_cols)
-    long = _long_form(df, cols, group_cols)
-    spark = df.sparkSession
     # first pass: count, min, max per column in one wide aggregate (no explode)
     aggs = []
     for i, c in enumerate(cols):
@@ -59,7 +62,7 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
         inside = F.when(F.abs(v) < F.lit(math.inf), v)
         aggs += [F.count(v).alias(f"n{i}"), F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}"),
                  F.count_if(v == F.lit(-math.inf)).alias(f"low{i}"), F.count_if(v == F.lit(math.inf)).alias(f"top{i}")]
-    base = df.groupBy(*group_cols).agg(*aggs).collect()
+    base = df.groupBy(*[_q(g) for g in group_cols]).agg(*aggs).collect()
     counts, targets = {}, []
     for r in base:
         g = _gkey(r, group_cols)
@@ -79,7 +82,7 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
                 targets.append(t)
     small = [t for t in targets if t.value is None and counts[(t.gkey, cols[t.cidx])] <= _FETCH_LIMIT]
     if small:
-        _fetch_exact_targets(long, group_cols, df, small)
+        _fetch_exact_targets(df, cols, group_cols, small)
     while any(t.value is None for t in targets):
         open_t = [t for t in targets if t.value is None]
         # targets with the same bracket share one histogram (at the first pass all ranks of a column do)
@@ -87,7 +90,7 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
         for t in open_t:
             shared.setdefault((t.gkey, t.cidx, t.lo, t.hi), []).append(t)
         reps = [ts[0] for ts in shared.values()]
-        joined = _bracketed(long, group_cols, df, reps)
+        joined = _bracketed(df, cols, group_cols, reps)
         # halves keep the width finite for the largest doubles
         width = F.col("hi") / 2 - F.col("lo") / 2
         bucket = F.least(F.lit(buckets - 1),
@@ -113,16 +116,17 @@ def order_statistics(df: DataFrame, cols: list[str], ranks_fn, group_cols=(), bu
                         break
                     cum += m
         if small:
-            _fetch_exact_targets(long, group_cols, df, small)
+            _fetch_exact_targets(df, cols, group_cols, small)
     return counts, {(t.gkey, cols[t.cidx], t.rank): t.value for t in targets}
 
 
-def _bracketed(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target]) -> DataFrame:
-    """Values inside each open target's bracket, tagged with the target index `t`.
+def _bracketed(df: DataFrame, cols: list[str], group_cols, targets: list[_Target]) -> DataFrame:
+    """Values inside each open target's bracket, tagged with the target index `t`; settled columns are not read.
 
     The bracket table has one row per open target (bounded by groups x columns x ranks): broadcast.
     """
     spark = df.sparkSession
+    long = _long_form(df, cols, group_cols, {t.cidx for t in targets})
     types = dict(df.dtypes)
     schema = ", ".join([f"`{g}` {types[g]}" for g in group_cols] + ["c int", "t int", "lo double", "hi double"])
     rows = [(*t.gkey, t.cidx, i, float(t.lo), float(t.hi)) for i, t in enumerate(targets)]
@@ -136,14 +140,14 @@ def _bracketed(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target
         (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop(*names, "__c")
 
 
-def _fetch_exact_targets(long: DataFrame, group_cols, df: DataFrame, targets: list[_Target]) -> None:
+def _fetch_exact_targets(df: DataFrame, cols: list[str], group_cols, targets: list[_Target]) -> None:
     """Fetch the values of each distinct bracket once (<= _FETCH_LIMIT values each) and rank exactly."""
     shared: dict[tuple, list] = {}
     for t in targets:
         shared.setdefault((t.gkey, t.cidx, t.lo, t.hi), []).append(t)
     reps = [ts[0] for ts in shared.values()]
     vals: dict[int, list] = {}
-    for r in _bracketed(long, group_cols, df, reps).select("t", "v").collect():
+    for r in _bracketed(df, cols, group_cols, reps).select("t", "v").collect():
         vals.setdefault(r["t"], []).append(r["v"])
     for i, ts in enumerate(shared.values()):
         vs = sorted(vals.get(i, []))
@@ -171,7 +175,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols=(),
         return ({}, {}) if with_counts else {}
     if mode == "approx":
         long = _long_form(df, cols, group_cols)
-        rows = long.groupBy(*group_cols, "c").agg(
+        rows = long.groupBy(*[_q(g) for g in group_cols], "c").agg(
             F.percentile_approx("v", list(probs), accuracy).alias("q"), F.count("*").alias("n")).collect()
         out = {(_gkey(r, group_cols), cols[r["c"]]): list(r["q"]) for r in rows}
         cnt = {(_gkey(r, group_cols), cols[r["c"]]): r["n"] for r in rows}

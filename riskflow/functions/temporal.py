@@ -36,8 +36,8 @@ def parse_text_time(c: Column, fmt: str) -> Column:
 def parse_time(c: str, fmt: str | None) -> Column:
     """A column as a timestamp: native time columns as they are, text with the fitted format."""
     if fmt is None:
-        return F.col(c)
-    return parse_text_time(F.col(c), fmt)
+        return F.col(f"`{c}`")
+    return parse_text_time(F.col(f"`{c}`"), fmt)
 
 
 def calendar_parts(ts: Column, prefix: str) -> dict[str, Column]:

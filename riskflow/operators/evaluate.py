@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskflow.functions.hashing import row_hash
-from riskflow.functions.quantiles import order_statistics
+from riskflow.functions.group_cuts import with_cuts
 from riskflow.session import cut_lineage
 
 _RANGE_ROWS = 200_000
@@ -80,8 +80,9 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 def score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """Per distinct score: pos, neg, and pos_below / neg_below (strictly smaller scores), plus totals P, N."""
-    d = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-           .groupBy(F.col(score).cast("double").alias("s"))
+    s = F.col(score).cast("double")
+    d = (df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull())      # a NaN score is missing
+           .groupBy(s.alias("s"))
            .agg(F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg")))
     d = cut_lineage(d)      # read for the count, the ranges, the offsets and the sums; the source is scanned once
     n_d = d.count()
@@ -169,23 +170,16 @@ def assign_folds(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42,
                  out: str = "fold") -> DataFrame:
     """K folds from the key hash. Stratified (with `label`): per class the rows, ordered by hash, are
     cut into k blocks of sizes differing by at most one, with cuts that are exact order statistics."""
-    x = df.withColumn("__h", row_hash(key_cols, seed))
-    if label is None:
-        return x.withColumn(out, F.pmod(F.col("__h"), F.lit(k)).cast("int")).drop("__h")
-
-    def ranks(n):
-        return [max(math.ceil(i * n / k) - 1, 0) for i in range(1, k)]
-
-    counts, stats = order_statistics(x, ["__h"], ranks, [label])
-    fold = F.lit(0)
-    for i in range(1, k):
-        cut_i = F.lit(None).cast("double")
-        for (g, _), n in counts.items():
-            r = math.ceil(i * n / k) - 1
-            v = float(stats[(g, "__h", max(r, 0))]) if r >= 0 else -1.0
-            cut_i = F.when(F.col(label).eqNullSafe(F.lit(g[0])), F.lit(v)).otherwise(cut_i)
-        fold = fold + (F.col("__h").cast("double") > cut_i).cast("int")
-    return x.withColumn(out, fold).drop("__h")
+    h = row_hash(key_cols, seed)
+    if label is None or k < 2:
+        return df.withColumn(out, F.pmod(h, F.lit(max(k, 1))).cast("int"))
+
+    def ranks(n: Column) -> list[Column]:
+        return [F.ceil(F.lit(i) * n / F.lit(k)) - 1 for i in range(1, k)]
+
+    x = with_cuts(df, F.col(f"`{label}`"), h, ranks, "__h", "__cuts")
+    above = [(F.col("__h") > F.col("__cuts")[i]).cast("int") for i in range(k - 1)]
+    return x.withColumn(out, sum(above[1:], above[0])).drop("__h", "__cuts")
 
 
 def select_best(metrics: DataFrame, metric: str = "f1", order_col: str = "position") -> DataFrame:

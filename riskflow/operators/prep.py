@@ -15,14 +15,14 @@ Fit passes over the de-duplicated rows (checkpointed once, since several jobs re
 from __future__ import annotations
 
 import json
-import math
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskflow.functions.geo import geo_feature_columns
 from riskflow.functions.hashing import bucket, row_hash
-from riskflow.functions.quantiles import column_quantiles, order_statistics
+from riskflow.functions.group_cuts import with_cuts
+from riskflow.functions.quantiles import column_quantiles
 from riskflow.functions.temporal import TIME_FORMATS, calendar_parts, parse_text_time, parse_time
 from riskflow.operators.profile import infer_coords, nan_to_null
 from riskflow.params import Params
@@ -62,7 +62,7 @@ MAX_CLASSES = 10_000
 
 def _class_values(df: DataFrame, col: str) -> list:
     """Sorted distinct non-NULL values of a text target (at most MAX_CLASSES reach the driver)."""
-    got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
+    got = [r[0] for r in df.select(_q(col)).where(_q(col).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
     if len(got) > MAX_CLASSES:
         raise ValueError(f"target {col!r} has more than {MAX_CLASSES} distinct values; it is not a class label")
     return sorted(got)
@@ -79,7 +79,7 @@ def with_label(df: DataFrame, target: str, out: str = "label") -> tuple[DataFram
     values = _class_values(x, out)
     mapping = {v: i for i, v in enumerate(values)}
     lm = F.create_map(*[z for k, v in mapping.items() for z in (F.lit(k), F.lit(v))])
-    return x.withColumn(out, F.try_element_at(lm, F.col(out))), mapping
+    return x.withColumn(out, F.try_element_at(lm, _q(out))), mapping
 
 
 def drop_constant(df: DataFrame, keep: list[str] | tuple = ()) -> tuple[DataFrame, list[str]]:
@@ -420,8 +420,8 @@ def assign_split(df: DataFrame, key_cols: list[str], p: Params = Params(), strat
     Plain: bucket = hash % 1000; < 1000*test_size -> test, then the next validation_size share -> val
     (val is validation_size / (1 - test_size) of the rest, as in the original). Stable under
     repartitioning and needs no sort.
-    Stratified (`stratify` = label column): per class the cut is an exact order statistic of the hash, so
-    each class holds exactly ceil(test_size*n_c) test rows and ceil(val_ratio*rest) val rows. `exact`
+    Stratified (`stratify` = label column): per class the cut is an exact order statistic of the hash (any number of
+    classes, none on the driver), so each class holds exactly ceil(test_size*n_c) test rows and ceil(val_ratio*rest) val rows. `exact`
     does the same over the whole table (sizes ceil(test_size*n), ceil(val_ratio*rest) as the original).
     """
     test_cut = int(round(1000 * p.test_size))
@@ -433,26 +433,15 @@ def assign_split(df: DataFrame, key_cols: list[str], p: Params = Params(), strat
         b = bucket(key_cols, p.seed)
         val_cut = test_cut + int(round(1000 * (1 - p.test_size) * val_ratio))
         return df.withColumn(out, F.when(b < test_cut, "test").when(b < val_cut, "val").otherwise("train"))
-    x = df.withColumn("__h", row_hash(key_cols, p.seed))
 
-    def sizes(n):
-        n_test = math.ceil(p.test_size * n)
-        return n_test, n_test + math.ceil(val_ratio * (n - n_test))
+    def ranks(n: Column) -> list[Column]:
+        n_test = F.ceil(F.lit(float(p.test_size)) * n)
+        return [n_test - 1, n_test + F.ceil(F.lit(float(val_ratio)) * (n - n_test)) - 1]
 
-    def ranks(n):
-        return [max(k - 1, 0) for k in sizes(n)]
-
-    counts, stats = order_statistics(x, ["__h"], ranks, [stratify])
-    expr_t, expr_v = F.lit(-1.0), F.lit(-1.0)
-    for (g, _), n in counts.items():
-        n_t, n_tv = sizes(n)
-        ct = float(stats[(g, "__h", max(n_t - 1, 0))]) if n_t > 0 else -1.0
-        cv = float(stats[(g, "__h", max(n_tv - 1, 0))]) if n_tv > 0 else -1.0
-        cond = F.col(stratify).eqNullSafe(F.lit(g[0]))
-        expr_t = F.when(cond, F.lit(ct)).otherwise(expr_t)
-        expr_v = F.when(cond, F.lit(cv)).otherwise(expr_v)
-    hd = F.col("__h").cast("double")
-    return x.withColumn(out, F.when(hd <= expr_t, "test").when(hd <= expr_v, "val").otherwise("train")).drop("__h")
+    x = with_cuts(df, _q(stratify), row_hash(key_cols, p.seed), ranks, "__h", "__cuts")
+    test, val = (F.coalesce(F.col("__cuts")[i], F.lit(-1)) for i in range(2))
+    place = F.when(F.col("__h") <= test, "test").when(F.col("__h") <= val, "val").otherwise("train")
+    return x.withColumn(out, place).drop("__h", "__cuts")
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -497,7 +486,7 @@ class PrepModel:
         keep = [k for k in s["keys"] if k in x.columns] + [e for e in extra if e in x.columns]
         label = []
         if s["target"] and s["label_out"] in x.columns:
-            lab = F.col(s["label_out"])
+            lab = _q(s["label_out"])
             if s.get("label_map"):
                 # Text labels -> sorted codes (unknown -> NULL)
                 lm = F.create_map(*[z for k, v in sorted(s["label_map"].items()) for z in (F.lit(k), F.lit(v))])
@@ -715,8 +704,10 @@ class Prep:
         sc = scaler_stats(imputed, features, p.scaling, p)
         stats = {"n_rows": n_rows, "n_features": len(features), "missing_pct": missing_pct}
         if target:
-            dist = rows.groupBy(target).count().collect()
-            stats["class_distribution"] = {str(rr[0]): rr[1] / n_rows for rr in dist}
+            # a share a class is for class labels; a target with more values than those has none
+            dist = rows.groupBy(_q(target)).count().limit(MAX_CLASSES + 1).collect()
+            if len(dist) <= MAX_CLASSES:
+                stats["class_distribution"] = {str(rr[0]): rr[1] / n_rows for rr in dist}
         state = {
             "keys": keys, "target": target, "label_out": label_out, "constant": constant, "coerce": coerce,
             "geo": geo, "temporal": temporal, "categorical": categorical, "features": features,

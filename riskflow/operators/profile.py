@@ -13,7 +13,7 @@ _ORDERABLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.Timestam
 
 def missing(c: str, dtype: T.DataType) -> Column:
     """Missing = NULL, or NaN for floating columns (one concept, as in pandas)."""
-    x = F.col(c)
+    x = F.col(f"`{c}`")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return x.isNull() | F.isnan(x)
     return x.isNull()
@@ -24,7 +24,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name))
+            cols.append(F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -50,7 +50,7 @@ def profile_missing(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """The first n rows by a key, values as text with NULL shown as ''."""
-    ordered = df.orderBy(*(order_by or [df.columns[0]])).limit(n)
+    ordered = df.orderBy(*[F.col(f"`{c}`") for c in order_by or df.columns[:1]]).limit(n)
     return ordered.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
@@ -62,9 +62,9 @@ def constant_flags(df: DataFrame) -> DataFrame:
     fields = [f for f in df.schema.fields if isinstance(f.dataType, _ORDERABLE)]
     aggs = []
     for i, f in enumerate(fields):
-        aggs.append(F.min(f.name).eqNullSafe(F.max(f.name)).alias(f"k{i}"))
+        aggs.append(F.min(F.col(f"`{f.name}`")).eqNullSafe(F.max(F.col(f"`{f.name}`"))).alias(f"k{i}"))
     wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{f.name}', k{i}" for i, f in enumerate(fields))
+    pairs = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', k{i}" for i, f in enumerate(fields))
     return wide.selectExpr(f"stack({len(fields)}, {pairs}) as (column_name, is_constant)")
 
 
@@ -88,7 +88,7 @@ def validate(df: DataFrame, min_rows: int = 10) -> DataFrame:
     for i, f in enumerate(fields):
         aggs.append(F.avg(missing(f.name, f.dataType).cast("double")).alias(f"__m{i}"))
         if isinstance(f.dataType, _ORDERABLE):
-            aggs.append(F.min(f.name).eqNullSafe(F.max(f.name)).alias(f"__k{i}"))
+            aggs.append(F.min(F.col(f"`{f.name}`")).eqNullSafe(F.max(F.col(f"`{f.name}`"))).alias(f"__k{i}"))
     wide = df.agg(*aggs).crossJoin(F.broadcast(duplicate_count(df).select("n_duplicates")))
     n = F.col("__n")
     high = [F.when(F.col(f"__m{i}") > 0.5, F.lit(f.name)) for i, f in enumerate(fields)]
@@ -130,7 +130,7 @@ def infer_coords(columns, target: str | None = None) -> tuple[str | None, str |
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """P10: (label, n, share) per label value; NULL labels are a class of their own, as counted rows."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("__total"))
     return (counts.crossJoin(F.broadcast(total))
                   .select("label", "n", (F.col("n") / F.col("__total")).alias("share")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskflow.functions.levels import clip01, risk_level
+from riskflow.functions.levels import clip01, known, risk_level
 from riskflow.functions.quantiles import column_quantiles
 from riskflow.operators.density import DensityField, attach_log_density, distinct_points, log_density_points
 from riskflow.params import Params
@@ -16,16 +16,16 @@ from riskflow.session import cut_lineage
 
 
 def _norm(x: Column, lo: Column, hi: Column) -> Column:
-    """R2 rule: (x - min) / (max - min); all equal -> 0."""
-    return F.when(hi == lo, F.lit(0.0)).otherwise((x - lo) / (hi - lo))
+    """R2 rule: (x - min) / (max - min); all equal -> 0; a missing x stays NULL."""
+    return F.when(x.isNull(), x).when(hi == lo, F.lit(0.0)).otherwise((x - lo) / (hi - lo))
 
 
 def minmax(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """R2 on one column."""
+    """R2 on one column; NULL and NaN are missing: they count for no bound and have no value."""
     out = out or f"{col}_norm"
-    stats = df.agg(F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"))
+    stats = df.agg(F.min(known(col)).alias("__lo"), F.max(known(col)).alias("__hi"))
     return (df.crossJoin(F.broadcast(stats))
-              .withColumn(out, _norm(F.col(col).cast("double"), F.col("__lo"), F.col("__hi")))
+              .withColumn(out, _norm(known(col), F.col("__lo"), F.col("__hi")))
               .drop("__lo", "__hi"))
 
 
@@ -76,17 +76,18 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
     T = (t - t_min) / (t_max - t_min + 1e-9) in nanoseconds; finally clip to [0, 1].
     `bounds` freezes the min/max and `field` the density's sources (both from `fitted_bounds`), for scoring new rows or a
     stream against the fitted table: such parts are clipped to [0, 1]. A row without coordinates, or without an anomaly
-    score, moves that part's weight to the model, as a table without them does.
+    score (NULL or NaN), moves that part's weight to the model, as a table without them does; a row without a model
+    probability has no risk and no level.
     """
     if bounds and lat and lon and field is None:
         raise ValueError("frozen bounds need the fitted density field as well")
     w = p.norm_weights()
     types = dict(df.dtypes)
-    x = df.withColumn("model_prob", clip01(F.col(prob).cast("double")))
+    x = df.withColumn("model_prob", clip01(prob))
     m = F.col("model_prob")
     row_aggs, stat_cols = [], []
     if anomaly:
-        x = x.withColumn("__a", -F.col(anomaly).cast("double"))
+        x = x.withColumn("__a", -known(anomaly))
         row_aggs += [F.min("__a").alias("__a_lo"), F.max("__a").alias("__a_hi")]
     if ts:
         x = x.withColumn("__t", time_ns(ts, types[ts]))
@@ -111,7 +112,7 @@ def composite_risk(df: DataFrame, prob: str, anomaly: str | None = None, lat: st
             # min/max over the source rows only: the density join is not evaluated twice
             cols = []
             if anomaly:
-                cols.append((-F.col(anomaly).cast("double")).alias("__a"))
+                cols.append((-known(anomaly)).alias("__a"))
             if ts:
                 cols += [time_ns(ts, types[ts]).alias("__t"), F.col(ts)]
             stats = df.select(*cols).agg(*row_aggs)
@@ -147,7 +148,7 @@ def fitted_bounds(df: DataFrame, anomaly: str | None = None, lat: str | None = N
     types = dict(df.dtypes)
     aggs = []
     if anomaly:
-        aggs += [F.min(-F.col(anomaly)).alias("__a_lo"), F.max(-F.col(anomaly)).alias("__a_hi")]
+        aggs += [F.min(-known(anomaly)).alias("__a_lo"), F.max(-known(anomaly)).alias("__a_hi")]
     if ts:
         t = time_ns(ts, types[ts])
         aggs += [F.min(t).alias("__t_lo"), F.max(t).alias("__t_hi")]
@@ -166,7 +167,7 @@ def risk_summary(df: DataFrame, score: str = "risk_score", p: Params = Params())
     levels only, else NULL), count and % of scores >= medium_max."""
     lv = risk_level(score, p.level_low_max, p.level_medium_max)
     # the scores feed several jobs (quantile passes + the summary): cut the lineage once
-    df = cut_lineage(df.select(score))
+    df = cut_lineage(df.select(known(score).alias(score)))
     med = column_quantiles(df, [score], [0.5], p.quantiles, p.approx_accuracy)[score][0]
     n = F.count(F.col(score))
     aggs = [n.alias("n_samples"), F.avg(score).alias("mean_risk"), F.lit(med).cast("double").alias("median_risk"),
@@ -175,9 +176,9 @@ def risk_summary(df: DataFrame, score: str = "risk_score", p: Params = Params())
     for level in ("low", "medium", "high"):
         c = F.count_if(lv == level)
         aggs.append(F.when(c > 0, c).alias(f"n_{level}"))
-        aggs.append(F.when(c > 0, F.round(c / n * 100.0, 1)).alias(f"pct_{level}"))
+        aggs.append(F.when(c > 0, F.round(F.try_divide(c, n) * 100.0, 1)).alias(f"pct_{level}"))
     hi = F.count_if(F.col(score) >= p.level_medium_max)
-    aggs += [hi.alias("high_risk_count"), (hi / n * 100.0).alias("high_risk_pct")]
+    aggs += [hi.alias("high_risk_count"), (F.try_divide(hi, n) * 100.0).alias("high_risk_pct")]
     return df.agg(*aggs)
 
 

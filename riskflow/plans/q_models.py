@@ -1,5 +1,5 @@
-"""Model, forest, scoring and source queries. Models are random (seeded) or iterative, so these have no SQL
-oracle (rows-only check); the tests check their properties instead.
+"""Model, forest, scoring and source queries. The forest's draws are hashes, so its score and flag have a SQL oracle; the
+classifiers are iterative and have none (rows-only check): the tests check them by brute force or their properties.
 
 The prepared geo_events frame (J2) feeds the models, with the service defaults of `Params()`.
 """
@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskflow.operators import models as mo
-from riskflow.operators.iforest import IsolationForest
+from riskflow.operators.iforest import IsolationForest, forest_sql
 from riskflow.params import Params
 from riskflow.plans import jobs
 from riskflow.plans.fixtures import frame, with_frames
-from riskflow.plans.registry import query
+from riskflow.plans.q_prep import CHAIN_FEATURES, _chain_ctes, _hash_sql
+from riskflow.plans.registry import DIGITS, query
 from riskflow.session import configure, scratch_path
 from riskflow.sources.readers import read_geojson
 
@@ -101,16 +102,29 @@ def _forest(spark, sf_dir):
     return _CACHE[k]
 
 
-@query("isolation_forest_score")
+def _forest_oracle(select: str) -> str:
+    """DuckDB text: the prepared rows, then the forest as unrolled levels over them."""
+    scaled = ", ".join(f"(({c} - m_{c}) / case when s_{c} = 0 then 1e0 else s_{c} end) as {c}" for c in CHAIN_FEATURES)
+    bucket = f"{_hash_sql('event_id')} % 1000"
+    rows = f"""prepared as (
+  select event_id, {scaled}, case when {bucket} < 200 then 'test' when {bucket} < 300 then 'val' else 'train' end as split from filled, st)"""
+    body = f"{_chain_ctes().strip()},\n{rows},\n{forest_sql('prepared', CHAIN_FEATURES, 'event_id', QP)}\n{select}"
+    return with_frames(["geo_events"], "with " + body).replace("\nwith ", ",\n", 1)
+
+
+@query("isolation_forest_score", _forest_oracle("select key as event_id, round(score, 6) as anomaly_score from forest_scores"))
 def q_isolation_forest_score(spark, sf_dir):
     _, fr, forest = _forest(spark, sf_dir)
-    return forest.score(fr.select("event_id", *forest.features)).select("event_id", "anomaly_score")
+    scored = forest.score(fr.select("event_id", *forest.features))
+    return scored.select("event_id", F.round("anomaly_score", DIGITS).alias("anomaly_score"))
 
 
-@query("isolation_forest_flag")
+@query("isolation_forest_flag", _forest_oracle("""select key as event_id, round(score, 6) as anomaly_score, score < cut as anomaly_flag
+from forest_scores, forest_offset"""))
 def q_isolation_forest_flag(spark, sf_dir):
     _, fr, forest = _forest(spark, sf_dir)
-    return forest.flag(fr.select("event_id", *forest.features)).select("event_id", "anomaly_score", "anomaly_flag")
+    flagged = forest.flag(fr.select("event_id", *forest.features))
+    return flagged.select("event_id", F.round("anomaly_score", DIGITS).alias("anomaly_score"), "anomaly_flag")
 
 
 @query("score_new")
@@ -180,6 +194,22 @@ def q_csv_source(spark, sf_dir):
     return read_table(spark, path)
 
 
+@query("csv_quoted_source", """
+select doc_id, case when text not in ('', 'NA', 'NULL', 'NaN', 'None', 'null', 'nan', 'n/a', 'N/A') then text end as text, lang, n_chars > 500 as is_long
+from documents""")
+def q_csv_quoted_source(spark, sf_dir):
+    """Whole texts with quotes, commas and line breaks written as CSV and read back on the default path; a truth column
+    comes back as boolean."""
+    from riskflow.plans.fixtures import table
+    from riskflow.sources.readers import read_table
+    configure(spark)
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "lang", "n_chars > 500 as is_long")
+    path = scratch_path(spark, "csv-quoted") + ".csv"
+    writer = df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_table(spark, path)
+
+
 @query("json_source", with_frames(["geo_events"], """
 select event_id, latitude, longitude, temperature, category, label::bigint as label from geo_events"""))
 def q_json_source(spark, sf_dir):

@@ -183,6 +183,22 @@ def q_split_stratified(spark, sf_dir):
     return pp.assign_split(df, ["event_id"], P, stratify="label")
 
 
+@query("split_many_classes", with_frames(["line_risk"], f"""
+select l_orderkey, l_linenumber,
+  case when rn <= n_test then 'test' when rn <= n_test + n_val then 'val' else 'train' end as split
+from (
+  select *, ceil(0.125e0 * (n - n_test)) as n_val from (
+    select l_orderkey, l_linenumber, count(*) over (partition by l_orderkey) as n,
+      row_number() over (partition by l_orderkey order by {_hash_sql("l_orderkey, l_linenumber, l_partkey, l_suppkey")}) as rn,
+      ceil(0.2e0 * count(*) over (partition by l_orderkey)) as n_test
+    from line_risk))"""))
+def q_split_many_classes(spark, sf_dir):
+    """C22 with a class an order: 150,000 classes for each unit of scale and more."""
+    df = _f(spark, sf_dir, "line_risk").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = pp.assign_split(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], P, stratify="l_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "split")
+
+
 # ---- the whole chain on geo_events (key event_id, target label) ----------------------------------------
 # Feature order of the fitted chain: numeric columns in table order (const_col dropped, k_text coerced,
 # category coded in place), then the geo features, then the calendar parts of ts.

@@ -118,6 +118,42 @@ def q_composite_missing_parts(spark, sf_dir):
     return out.select("event_id", r9(F.col("risk_score")).alias("risk_score"), "risk_level")
 
 
+# Parts that are missing: NULL and NaN probabilities, anomaly scores and coordinates, by fixed rules on the event id.
+_GAPS = """
+gaps as (
+  select event_id, ts, case when event_id % 11 = 3 then null when event_id % 13 = 5 then 'nan'::double else model_prob end as model_prob,
+    case when event_id % 7 = 2 then null when event_id % 17 = 4 then 'nan'::double else anomaly_score end as anomaly_score,
+    case when event_id % 19 = 6 then null when event_id % 23 = 8 then 'nan'::double else latitude end as latitude,
+    case when event_id % 29 = 9 then null else longitude end as longitude
+  from scored_events),
+known as (
+  select event_id, ts, case when not isnan(model_prob) then least(greatest(model_prob, 0e0), 1e0) end as m,
+    case when not isnan(anomaly_score) then -anomaly_score end as a, case when not isnan(latitude) then latitude end as la, longitude as lo
+  from gaps)"""
+_GAPS_SQL = f"""with {_GAPS.strip()},
+pts as (select la, lo, count(*) as w from known where la is not null and lo is not null group by la, lo),
+dens as (select x.la, x.lo, ln(sum(y.w * exp(-((x.la-y.la)*(x.la-y.la) + (x.lo-y.lo)*(x.lo-y.lo)) / {H2}))) as ld
+         from pts x, pts y group by x.la, x.lo),
+x as (select k.*, d.ld, (epoch_us(ts) * 1000)::double as t from known k left join dens d using (la, lo)),
+st as (select min(a) as a_lo, max(a) as a_hi, min(ld) as d_lo, max(ld) as d_hi, min(t) as t_lo, max(t) as t_hi from x),
+y as (select event_id, m, coalesce((a - a_lo) / (a_hi - a_lo), m) as an, coalesce((ld - d_lo) / (d_hi - d_lo), m) as dn,
+        coalesce((t - t_lo) / (t_hi - t_lo + 1e-9), 0e0) as rec from x, st),
+z as (select *, case when m is not null then least(greatest(({WM}*m + {WA}*an + {WS}*dn) * (1e0 + {WT}*rec), 0e0), 1e0) end as risk from y)
+select event_id, round(m, 6) as model_prob, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level from z"""
+
+
+@query("composite_gaps", with_frames(["scored_events"], _GAPS_SQL).replace("\nwith ", ",\n", 1))
+def q_composite_gaps(spark, sf_dir):
+    """R2-R8 over rows with NULL and NaN in probability, anomaly score and coordinates."""
+    def gap(c, null, nan=None):
+        x = F.when(F.col("event_id") % null[0] == null[1], F.lit(None).cast("double"))
+        return (x.when(F.col("event_id") % nan[0] == nan[1], F.lit(float("nan"))) if nan else x).otherwise(F.col(c)).alias(c)
+    df = _scored(spark, sf_dir).select("event_id", "ts", gap("model_prob", (11, 3), (13, 5)), gap("anomaly_score", (7, 2), (17, 4)),
+                                       gap("latitude", (19, 6), (23, 8)), gap("longitude", (29, 9)))
+    out = composite_risk(df, "model_prob", "anomaly_score", "latitude", "longitude", "ts", P)
+    return out.select("event_id", r9(F.col("model_prob")).alias("model_prob"), r9(F.col("risk_score")).alias("risk_score"), "risk_level")
+
+
 @query("risk_levels", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
 select {_LEVEL.format(s='risk')} as risk_level, count(*) as n, round(avg(risk), 6) as mean_risk
 from z group by 1""").replace("\nwith ", ",\n", 1))

@@ -17,15 +17,36 @@ from riskflow.operators.profile import nan_to_null
 from riskflow.params import NA_TOKENS
 
 _HEAD_BYTES = 1 << 20
+# The words that a CSV reader takes as truth values.
+TRUE_WORDS, FALSE_WORDS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 SUPPORTED = (".csv", ".json", ".jsonl", ".geojson", ".geojsonl", ".geojsons", ".parquet")
 
 
-def read_csv(spark: SparkSession, path: str, coerce: bool = True, multi_line: bool = False) -> DataFrame:
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the file has an odd number of quotes, as every field with a line break in it leaves behind (one pass)."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def with_booleans(df: DataFrame) -> DataFrame:
+    """Text columns without a missing value in which every value is a truth word become boolean (one pass)."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    words = [*TRUE_WORDS, *FALSE_WORDS]
+    aggs = [F.count_if(F.col(f"`{c}`").isNull() | ~F.col(f"`{c}`").isin(words)).alias(f"o{i}") for i, c in enumerate(texts)]
+    r = df.agg(F.count("*").alias("n"), *aggs).first()
+    return df.withColumns({c: F.col(f"`{c}`").isin(list(TRUE_WORDS)) for i, c in enumerate(texts) if r["n"] and r[f"o{i}"] == 0})
+
+
+def read_csv(spark: SparkSession, path: str, coerce: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Header, every column read as text; the NA tokens become NULL, then numeric columns are typed
-    (bigint when every value is an integer, else double) by the coercion pass.
+    (bigint when every value is an integer, else double) by the coercion pass, and truth words without gaps as boolean.
 
-    Quotes inside a quoted field are doubled. Files are split and read in parallel; `multi_line` allows line breaks in
-    quoted fields, at the price of one task a file."""
+    Quotes inside a quoted field are doubled. Files are split and read in parallel; line breaks in quoted fields cost one task
+    a file, so that form (`multi_line`) is taken only for files that have them: found by a first pass, or told."""
+    if multi_line is None:
+        multi_line = open_quotes(spark, path)
     reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
     df = reader.option("multiLine", multi_line).csv(path)
     lowered = [c.lower() for c in df.columns]
@@ -34,12 +55,12 @@ def read_csv(spark: SparkSession, path: str, coerce: bool = True, multi_line: bo
     tokens = list(NA_TOKENS)
     df = df.select(*[F.when(F.col(f"`{c}`").isin(tokens) | F.col(f"`{c}`").isNull(), F.lit(None))
                       .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return coerce_types(df) if coerce else df
+    return with_booleans(coerce_types(df)) if coerce else df
 
 
 def first_record_names(spark: SparkSession, path: str) -> list[str]:
-    """Member names of the first record in file order (schema inference sorts them). At most `_HEAD_BYTES` of one file
-    are read; a longer first record gives no order."""
+    """Member names of the first record in file order (schema inference sorts them). The head of one file is read, twice as
+    much again until the record is whole (a record is one row, so it fits in memory)."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,17 +68,23 @@ def first_record_names(spark: SparkSession, path: str) -> list[str]:
     if not files and fs.exists(target):
         files = sorted(str(f.getPath()) for f in fs.listStatus(target) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
     for name in files:
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-        try:
-            head = bytes(stream.readNBytes(_HEAD_BYTES)).decode("utf-8", "replace")
-        finally:
-            stream.close()
-        start = head.find("{")
-        if start >= 0:
+        most = _HEAD_BYTES
+        while True:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                raw = bytes(stream.readNBytes(most))
+            finally:
+                stream.close()
+            head = raw.decode("utf-8", "replace")
+            start = head.find("{")
             try:
-                return list(json.JSONDecoder().raw_decode(head, start)[0])
+                if start >= 0:
+                    return list(json.JSONDecoder().raw_decode(head, start)[0])
             except ValueError:
-                return []
+                pass
+            if len(raw) < most:                      # the whole file has been seen
+                break
+            most *= 2
     return []
 
 
@@ -178,4 +205,4 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 
 def preview_records(df: DataFrame, n: int = 500, order_by: list[str] | None = None) -> DataFrame:
     """The first n scored records by key (the original's response cap)."""
-    return df.orderBy(*(order_by or [df.columns[0]])).limit(n)
+    return df.orderBy(*[F.col(f"`{c}`") for c in order_by or df.columns[:1]]).limit(n)
