@@ -4,40 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed list of text formats tried, in order, when a string column may hold times.
-TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-    "yyyyMMdd",
-)
+from riskflow.functions.time_formats import parse
 
 PARTS = ("year", "month", "dayofweek", "hour", "quarter")
 
-# Every format above starts with a numeric field of at least two digits (only a year may carry a sign), so
-# text that does not start like this cannot parse with any of them: the cheap check skips the parse (a
-# failing parse costs far more than the pattern test).
-_TIME_PREFIX = r"^[+-]?[0-9][0-9]"
-
-
-def parse_text_time(c: Column, fmt: str) -> Column:
-    """`try_to_timestamp(c, fmt)` for one of TIME_FORMATS; NULL without a parse for text that cannot match."""
-    return F.when(c.rlike(_TIME_PREFIX), F.try_to_timestamp(c, F.lit(fmt)))
-
-
 def parse_time(c: str, fmt: str | None) -> Column:
-    """A column as a timestamp: native time columns as they are, text with the fitted format."""
+    """A column as a timestamp: native time columns as they are, text with the fitted format (`time_formats`)."""
     if fmt is None:
         return F.col(f"`{c}`")
-    return parse_text_time(F.col(f"`{c}`"), fmt)
+    return parse(F.col(f"`{c}`"), fmt)
 
 
 def calendar_parts(ts: Column, prefix: str) -> dict[str, Column]:

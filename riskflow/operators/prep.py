@@ -5,7 +5,7 @@ columns / categories; every fitted number becomes a literal, so `transform` is a
 only for very large category maps, one join) and runs on a batch or a stream alike.
 
 Fit passes over the de-duplicated rows (checkpointed once, since several jobs read them):
-  1. one aggregate: constant flags, numeric-parse failures and time-format failures per column;
+  1. aggregates: constant flags and numeric-parse failures per column, masks of text columns that may hold times;
   2. category distincts (bounded by the category count);
   3. outlier statistics: exact quartiles (histogram refinement) or mean / population std;
   4. imputation statistics on the outlier-handled values (the median equals the pre-clip one);
@@ -23,7 +23,8 @@ from riskflow.functions.geo import geo_feature_columns
 from riskflow.functions.hashing import bucket, row_hash
 from riskflow.functions.group_cuts import with_cuts
 from riskflow.functions.quantiles import column_quantiles
-from riskflow.functions.temporal import TIME_FORMATS, calendar_parts, parse_text_time, parse_time
+from riskflow.functions.temporal import calendar_parts, parse_time
+from riskflow.functions.time_formats import induce
 from riskflow.operators.profile import infer_coords, nan_to_null
 from riskflow.params import Params
 from riskflow.session import cut_lineage
@@ -135,9 +136,9 @@ def add_geo_features(df: DataFrame, lat: str | None, lon: str | None) -> DataFra
     return df.withColumns(geo_feature_columns(lat, lon))
 
 
-def detect_temporal(df: DataFrame, cols: list[str] | None = None, formats=TIME_FORMATS) -> dict[str, str | None]:
-    """Time columns as they are (format None) and string columns where one format parses every
-    non-null value (the first such format). One aggregate pass."""
+def detect_temporal(df: DataFrame, cols: list[str] | None = None) -> dict[str, str | None]:
+    """Time columns as they are (format None) and string columns with the one format that parses every
+    non-null value (derived from the values' masks). Two aggregate passes."""
     out: dict[str, str | None] = {}
     strings = []
     for f in df.schema.fields:
@@ -147,18 +148,7 @@ def detect_temporal(df: DataFrame, cols: list[str] | None = None, formats=TIME_F
             out[f.name] = None
         elif isinstance(f.dataType, T.StringType):
             strings.append(f.name)
-    if strings:
-        aggs = [F.count_if(_q(c).isNotNull() & parse_text_time(_q(c), fmt).isNull()).alias(f"f{i}_{j}")
-                for i, c in enumerate(strings) for j, fmt in enumerate(formats)]
-        aggs += [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(strings)]
-        r = df.agg(*aggs).first()
-        for i, c in enumerate(strings):
-            if r[f"n{i}"] == 0:
-                continue
-            for j, fmt in enumerate(formats):
-                if r[f"f{i}_{j}"] == 0:
-                    out[c] = fmt
-                    break
+    out.update(induce(df, strings))
     return out
 
 
@@ -620,7 +610,7 @@ class Prep:
             rows = cut_lineage(rows.where(F.col("__split") == "train").select(*[_q(c) for c in base.columns]))
         x = rows.drop(target) if target else rows
         cand = [c for c in x.columns if c not in keys]
-        # pass 1: constants + numeric coercion + time formats, one aggregate
+        # pass 1: constants + numeric coercion, one aggregate; then time formats
         fields = {f.name: f.dataType for f in x.schema.fields}
         strings = [c for c in cand if isinstance(fields[c], T.StringType)]
         orderable = [c for c in cand if not isinstance(fields[c], (T.ArrayType, T.MapType, T.StructType))]
@@ -630,9 +620,6 @@ class Prep:
             aggs += [F.count_if(_q(c).isNotNull() & ~_q(c).rlike(NUMBER_RE)).alias(f"bad{i}"),
                      F.count_if(_q(c).isNotNull() & ~_is_long(_q(c))).alias(f"nonint{i}"),
                      F.count(_q(c)).alias(f"nn{i}")]
-            for j, fmt in enumerate(TIME_FORMATS):
-                aggs.append(F.count_if(_q(c).isNotNull() & parse_text_time(_q(c), fmt).isNull())
-                            .alias(f"t{i}_{j}"))
         r = x.agg(*aggs).first()
         n_rows = r["__rows"]
         constant = [c for i, c in enumerate(orderable) if r[f"k{i}"]]
@@ -645,11 +632,8 @@ class Prep:
             if r[f"bad{i}"] == 0:
                 coerce[c] = "bigint" if r[f"nonint{i}"] == 0 else "double"
                 continue
-            for j, fmt in enumerate(TIME_FORMATS):
-                if p.temporal_features and r[f"t{i}_{j}"] == 0:
-                    temporal[c] = fmt
-                    break
         if p.temporal_features:
+            temporal.update(induce(x, [c for c in strings if c not in constant and c not in coerce]))
             for c in cand:
                 if isinstance(fields[c], _TIME):
                     temporal[c] = None

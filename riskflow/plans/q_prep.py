@@ -70,6 +70,29 @@ def q_temporal_text(spark, sf_dir):
     return pp.add_temporal_features(df, pp.detect_temporal(df, ["day_text"]))
 
 
+@query("temporal_formats", """
+with t as (select event_id, ts, (event_id * 997 % 86400)::int as s, ts::date as d from events),
+u as (select event_id, d, date_trunc('day', ts) + to_seconds(s) as w from t)
+select event_id, case when event_id % 2 = 0 then strftime(d, '%Y-%m-%d') else strftime(d, '%d.%m.%Y') end as mixed,
+  """ + ", ".join(f"year({e})::int as {c}_year, month({e})::int as {c}_month, (isodow({e}) - 1)::int as {c}_dayofweek, "
+                 f"{h}::int as {c}_hour, quarter({e})::int as {c}_quarter" for c, e, h in (
+                     ("named", "d", "0"), ("short_year", "d", "0"), ("clock", "w", "hour(w)"), ("zoned", "w", "hour(w)"), ("letter", "w", "hour(w)"),
+                     ("day_first", "d", "0"), ("fractions", "w", "hour(w)"))) + """
+from u""")
+def q_temporal_formats(spark, sf_dir):
+    """C8 on month names, two-digit years, a 12-hour clock, zones, weekday names, day before month and optional fractions; a
+    column that mixes two forms stays text."""
+    configure(spark)
+    df = table(spark, sf_dir, "events").selectExpr("event_id", "date_trunc('day', ts) + make_dt_interval(0, 0, 0, event_id * 997 % 86400) as w")
+    texts = {"named": "MMMM d, yyyy", "short_year": "dd-MMM-yy", "clock": "M/d/yyyy h:mm:ss a", "zoned": "yyyy-MM-dd'T'HH:mm:ss'+05:30'",
+             "letter": "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "day_first": "dd/MM/yyyy"}
+    cols = {c: F.date_format("w", f) for c, f in texts.items()}
+    cols["fractions"] = F.when(F.col("event_id") % 3 == 0, F.date_format("w", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("w", "yyyy-MM-dd HH:mm:ss.SSS"))
+    cols["mixed"] = F.when(F.col("event_id") % 2 == 0, F.date_format("w", "yyyy-MM-dd")).otherwise(F.date_format("w", "dd.MM.yyyy"))
+    df = df.select("event_id", *[e.alias(c) for c, e in cols.items()])
+    return pp.add_temporal_features(df, pp.detect_temporal(df))
+
+
 @query("encode_categories", """
 select o_orderkey,
   (dense_rank() over (order by o_orderstatus) - 1)::int as o_orderstatus,

@@ -2,7 +2,6 @@
 
 import zipfile
 
-from pyspark.sql import functions as F
 
 
 def test_package_is_shipped_once(spark):
@@ -16,16 +15,3 @@ def test_package_is_shipped_once(spark):
         local = first[len("file:"):] if first.startswith("file:") else first
         names = zipfile.ZipFile(local).namelist()
         assert "riskflow/operators/iforest.py" in names and "riskflow/session.py" in names
-
-
-def test_guarded_time_parse_equals_plain_parse(spark):
-    from riskflow.functions.temporal import TIME_FORMATS, parse_text_time
-    vals = ["2020-01-02 03:04:05.123456", "2020-01-02 03:04:05", "2020-01-02T03:04:05.5", "2020-01-02T03:04:05",
-            "2020-01-02 03:04", "2020-01-02", "2020/01/02 03:04:05", "2020/01/02", "01/02/2020 03:04:05",
-            "01/02/2020", "02.01.2020", "20200102", " 2020-01-02", "+2020-01-02", "-2020-01-02", "1-2-2020",
-            "abc", "", "2020", "12", "99999-01-01", "x2020-01-02", "2020-1-2", "1/2/2020", None]
-    df = spark.createDataFrame([(v,) for v in vals], "s string")
-    for fmt in TIME_FORMATS:
-        rows = df.select(F.unix_micros(F.try_to_timestamp("s", F.lit(fmt))).alias("a"),
-                         F.unix_micros(parse_text_time(F.col("s"), fmt)).alias("b")).collect()
-        assert all(r["a"] == r["b"] for r in rows), fmt
