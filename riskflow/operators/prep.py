@@ -28,6 +28,7 @@ from riskflow.functions.time_formats import induce
 from riskflow.operators.profile import infer_coords, nan_to_null
 from riskflow.params import Params
 from riskflow.session import cut_lineage
+from riskflow.sources.store import Store
 
 # Number text accepted by the numeric coercion (Spark's cast also takes '1d' / '1f', pandas does not).
 NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?\s*$"
@@ -186,7 +187,7 @@ def _ranked_codes(distinct: DataFrame, n_values: int) -> DataFrame:
              .select("column", "value", (F.col("off") + F.row_number().over(inside) - 1).cast("int").alias("code")))
 
 
-def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 1_000_000) -> DataFrame:
+def fit_categories(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, code): distinct non-null values as text, sorted, coded 0..K-1.
 
     The distinct table is bounded by the category count (partial aggregation before the shuffle); codes
@@ -519,7 +520,11 @@ class PrepModel:
         return out.drop("__row_key") if "__row_key" in out.columns else out
 
     # S6 / S7
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> int:
+        """A new committed version under `path` (`sources.store`); returns its number."""
+        return Store(SparkSession.getActiveSession(), path).save(self._write)
+
+    def _write(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         state = dict(self.state)
         state["params"] = {k: v for k, v in self.p.__dict__.items() if k != "weights"}
@@ -532,11 +537,12 @@ class PrepModel:
         table.write.mode("overwrite").parquet(os.path.join(path, "category_map"))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "PrepModel":
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> "PrepModel":
+        path = Store(spark, path).folder(version)
         state = json.loads(spark.read.parquet(os.path.join(path, "state")).first()["state"])
         pd = state.pop("params")
         pd["models"] = tuple(pd.get("models", ()))
-        p = Params(**pd)
+        p = Params(**{k: v for k, v in pd.items() if k in Params.__dataclass_fields__})      # settings of older versions are left out
         for k in ("clip", "zscore", "scale"):
             state[k] = {c: tuple(v) for c, v in state[k].items()}
         if state["geo"]:

@@ -45,7 +45,6 @@ class Params:
     # where the fitted statistics come from: "all" rows (as the original) or the "train" split only
     fit_on: str = "all"
     clip_on_transform: bool = False
-    max_categories: int = 1_000_000
     # models
     rf_trees: int = 200
     rf_depth: int = 15

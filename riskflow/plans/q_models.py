@@ -127,6 +127,42 @@ def q_isolation_forest_flag(spark, sf_dir):
     return flagged.select("event_id", F.round("anomaly_score", DIGITS).alias("anomaly_score"), "anomaly_flag")
 
 
+@query("model_store", _forest_oracle("""select key as event_id, round(score, 6) as anomaly_score, score < cut as anomaly_flag
+from forest_scores, forest_offset"""))
+def q_model_store(spark, sf_dir):
+    """The fitted forest is saved as a version of the model store, loaded again and applied."""
+    prep_model, fr, forest = _forest(spark, sf_dir)
+    path = scratch_path(spark, "model-store")
+    models = mo.RiskModels({}, {}, None, prep_model.feature_names, forest, [])
+    again = mo.RiskModels.load(spark, path, version=models.save(path))
+    out = again.predict(fr.select("event_id", *forest.features))
+    return out.select("event_id", F.round("anomaly_score", DIGITS).alias("anomaly_score"), "anomaly_flag")
+
+
+@query("file_fingerprint", """
+select o_orderpriority, sha256(string_agg(o_orderkey || '|' || o_orderstatus || chr(10), '' order by o_orderkey)) as sha256,
+  sha256(string_agg(o_orderkey || '|' || o_orderstatus || chr(10), '' order by o_orderkey)) as streamed_sha256
+from orders group by o_orderpriority""")
+def q_file_fingerprint(spark, sf_dir):
+    """One file an order priority, digested by tasks and, as files too long for a row are, through the file system's stream."""
+    from riskflow.plans.fixtures import table
+    from riskflow.sources.readers import fingerprint
+    configure(spark)
+    path = scratch_path(spark, "fingerprint")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("value"))
+    files = lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey").drop("o_orderkey")
+    files.write.partitionBy("o_orderpriority").text(path)
+    both = fingerprint(spark, path).join(fingerprint(spark, path, streamed_above=0).withColumnRenamed("sha256", "streamed_sha256"), "path")
+    name = F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]*)/", 1))
+    return both.select(F.url_decode(name).alias("o_orderpriority"), "sha256", "streamed_sha256")
+
+
+@query("training_report")
+def q_training_report(spark, sf_dir):
+    """Every model's measures as a table."""
+    return fitted(spark, sf_dir)[2].report_frame(spark)
+
+
 @query("score_new")
 def q_score_new(spark, sf_dir):
     """The whole geo_events table scored as new rows by the fitted chain and the best model."""
@@ -210,6 +246,23 @@ def q_csv_quoted_source(spark, sf_dir):
     return read_table(spark, path)
 
 
+@query("ingest", with_frames(["geo_events"], "select * from (" + " union all ".join(
+    f"select {i} as position, '{c}' as column_name, '{t}' as dtype, round(avg(({c} is null)::int), 4) as missing_pct, count(*) as n_rows, "
+    f"{'true' if c == 'label' else 'false'} as is_target, {'true' if c in ('latitude', 'longitude') else 'false'} as is_coordinate from geo_events"
+    for i, (c, t) in enumerate([("event_id", "bigint"), ("latitude", "double"), ("longitude", "double"), ("temperature", "double"),
+                                ("category", "string"), ("label", "bigint"), ("k_text", "bigint")])) + ")"))
+def q_ingest(spark, sf_dir):
+    """geo_events as an uploaded CSV file: read, profiled, roles inferred."""
+    configure(spark)
+    df = frame(spark, sf_dir, "geo_events").select("event_id", "latitude", "longitude", "temperature", "category", "label", "k_text")
+    path = scratch_path(spark, "ingest") + ".csv"
+    df.write.option("header", True).csv(path)
+    got = jobs.ingest(spark, path)
+    out = got.schema.join(got.missing, "column_name").select("position", "column_name", "dtype", "missing_pct", "n_rows")
+    return out.withColumns({"is_target": F.col("column_name").eqNullSafe(F.lit(got.target)),
+                            "is_coordinate": F.col("column_name").isin([got.lat, got.lon])})
+
+
 @query("json_source", with_frames(["geo_events"], """
 select event_id, latitude, longitude, temperature, category, label::bigint as label from geo_events"""))
 def q_json_source(spark, sf_dir):

@@ -8,7 +8,7 @@ from riskflow.operators import prep as pp
 from riskflow.params import Params
 from riskflow.plans.fixtures import frame, table, with_frames
 from riskflow.plans.registry import DIGITS, query
-from riskflow.session import configure
+from riskflow.session import configure, scratch_path
 
 P = Params()
 LINE_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -302,6 +302,16 @@ new_filled as (select event_id, {filled} from new_raw, qs)
 select event_id, {_scaled('new_filled')} from new_filled, st""").replace("\nwith ", ",\n", 1)
 
 
+@query("prep_store", _align_sql())
+def q_prep_store(spark, sf_dir):
+    """The fitted chain is saved as a version, loaded again and applied to new rows, as `transform_align` does directly."""
+    df, model = _geo_fit(spark, sf_dir)
+    path = scratch_path(spark, "prep-store")
+    again = pp.PrepModel.load(spark, path, version=model.save(path))
+    out = again.transform(df.drop("temperature", "label"))
+    return out.select("event_id", *[r9(F.col(c)).alias(c) for c in again.feature_names])
+
+
 @query("transform_align", _align_sql())
 def q_transform_align(spark, sf_dir):
     """New rows without a training column (temperature) and without the target: the column comes back as

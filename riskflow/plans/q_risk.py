@@ -109,6 +109,33 @@ def q_composite_risk(spark, sf_dir):
                                             r9(F.col("risk_score")).alias("risk_score"), "risk_level")
 
 
+@query("composite_stream", with_frames(["scored_events"], "with " + _COMPOSITE.strip() + f"""
+select event_id, round(m, 6) as model_prob, round(risk, 6) as risk_score, {_LEVEL.format(s='risk')} as risk_level
+from z""").replace("\nwith ", ",\n", 1))
+def q_composite_stream(spark, sf_dir):
+    """The scored events land as three files, the last one after the stream has stopped; each is a micro-batch scored
+    against the bounds and the density field of the whole table, and the restarted stream goes on where it was."""
+    from riskflow.session import scratch_path
+    from riskflow.streaming.score_stream import composite_stream, file_stream, read_scored
+    rows = _scored(spark, sf_dir)
+    bounds, field = fitted_bounds(rows, "anomaly_score", "latitude", "longitude", "ts", P)
+    landing, sink, checkpoint = (scratch_path(spark, f"composite-{x}") for x in ("landing", "sink", "checkpoint"))
+
+    def land(part: int) -> None:
+        rows.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+
+    def run() -> None:
+        stream = file_stream(spark, landing, rows.schema)
+        composite_stream(stream, sink, "model_prob", "anomaly_score", "latitude", "longitude", "ts", P, bounds, field,
+                         checkpoint=checkpoint).awaitTermination()
+    land(0)
+    land(1)
+    run()
+    land(2)
+    run()
+    return read_scored(spark, sink).select("event_id", r9(F.col("model_prob")).alias("model_prob"), r9(F.col("risk_score")).alias("risk_score"), "risk_level")
+
+
 @query("composite_missing_parts", with_frames(["scored_events"], f"""
 select event_id, round(r, 6) as risk_score, {_LEVEL.format(s='r')} as risk_level from (
   select event_id, least(greatest({WM}*m + {WA}*m + {WS}*m, 0e0), 1e0) as r

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -17,6 +18,7 @@ from riskflow.operators.profile import nan_to_null
 from riskflow.params import NA_TOKENS
 
 _HEAD_BYTES = 1 << 20
+STREAMED_ABOVE, STREAMS = 64 << 20, 4
 # The words that a CSV reader takes as truth values.
 TRUE_WORDS, FALSE_WORDS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 SUPPORTED = (".csv", ".json", ".jsonl", ".geojson", ".geojsonl", ".geojsons", ".parquet")
@@ -185,9 +187,31 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     raise ValueError(f"no reader for {kind!r}; known suffixes are {', '.join(SUPPORTED)}")
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256 of the file bytes) per file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.col("content"), 256).alias("sha256"))
+def fingerprint(spark: SparkSession, path: str, streamed_above: int = STREAMED_ABOVE) -> DataFrame:
+    """(path, sha256 of the file bytes) per file.
+
+    Files up to `streamed_above` bytes are digested by the tasks that read them. A digest is one pass over a file in order, and
+    a longer file does not fit a row, so those run through the file system's own stream in constant memory, a few at a time."""
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.where(F.col("length") <= streamed_above).select("path", F.sha2(F.col("content"), 256).alias("sha256"))
+    # names only: the content is not read for them
+    large = [r["path"] for r in listed.where(F.col("length") > streamed_above).select("path").collect()]
+    if not large:
+        return small
+    with ThreadPoolExecutor(STREAMS) as pool:
+        digests = list(pool.map(lambda name: (name, streamed_digest(spark, name)), large))
+    return small.unionByName(spark.createDataFrame(digests, "path string, sha256 string"))
+
+
+def streamed_digest(spark: SparkSession, name: str) -> str:
+    """sha256 of a file of any length, read in pieces by the file system's stream."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(name)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
