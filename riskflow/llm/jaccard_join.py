@@ -13,11 +13,17 @@ the whole sets. Members within r form the pivot's ball and are linked.
 
 Recursion. A region is settled when its other members are in one component. Else it is joined again without its pivot.
 Ball members stay in it only inside the window: if some member x outside has d(x, p) <= d(y, p) + r, since by the triangle
-inequality no closer y can link to x. A node whose open regions hold less than a quarter of its sketch has met each of its partners in a settled one and leaves. Regions that stay open have more pivots each
-round (`LANES`), so the recursion ends after logarithmically many rounds; there is no cap on members, candidates or rounds.
+inequality no closer y can link to x. A node whose open regions hold less than a quarter of its sketch has met each of its partners in a settled one and leaves.
+So all links not yet met lie among the open nodes, and a shingle that only one open node has is in none of them: counted
+over the whole sets of the open nodes, the shingles that a node shares with any other bound its similarity to every partner by
+the sizes, and nodes that share too little leave as well. Texts that have only a passage in common, and copies edited too much to
+link, go that way without meeting each other. In the second round a region's pivot is the member that shares most, the
+centre of a family of copies, which settles nearly all of it. In the last round all regions of one pivot are a Voronoi cell, a node at
+the border lies in the cells of all its regions, and in each cell all members outside its largest component are compared with
+every other one, exactly. There is no cap on members, candidates or cells.
 
 Scale. Regions are (hash, node) rows, aggregated with map-side combine; sets are taken from the texts once for the first
-round's candidates and once for the open nodes of all further rounds (a bitmap of fixed size picks them in the scan, an
+round's candidates and once for the open nodes of the further rounds (a bitmap of fixed size picks them in the scan, an
 exact join follows), and shipped to their pivot, whose members are salted into
 groups of `SALT_ROWS`; a task streams its members past the pivot's set. No group is collected anywhere.
 
@@ -41,7 +47,8 @@ LEAST_PERCENT = 75
 R = 1 - LEAST_PERCENT / 100
 BITMAP_WORDS = 1 << 19               # 64-bit words of the scan's bitmap: 4 MB, whatever the input
 SALT_ROWS = 2000
-LANES = 8                            # each round a region has so many times the pivots of the round before
+BLOCK_TOKENS = 1 << 18               # shingles of the compared sets that a task of the last round holds
+PRUNES = 2                           # passes a round that drop nodes without a possible partner
 
 
 def sets_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,27 +171,74 @@ def components(edges: DataFrame) -> DataFrame:
             return both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def members_of(rows: DataFrame) -> DataFrame:
-    """Rows (t, x, n, main) of hashes with two members or more, with the region's size k and smallest member p."""
-    regions = rows.groupBy("t").agg(F.min("x").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return cut(rows.join(regions, "t").select("t", "x", "n", "main", "p", "k"))
+def shared_counts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, c): how many shingles of each of the given nodes (x, n) some other of them has too."""
+    chosen = sets.join(nodes.select(F.col("x").alias("node")), "node", "left_semi")
+    alone = chosen.mapInArrow(_tokens, "token long, node long").groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("x"))
+    alone = alone.where("k = 1").groupBy("x").agg(F.count(F.lit(1)).alias("alone"))
+    return nodes.join(alone, "x", "left").select("x", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, items) -> (token, node), in batches of bounded size."""
+    for batch in batches:
+        for node, items in zip(batch.column("node").to_pylist(), batch.column("items")):
+            own = np.frombuffer(items.as_buffer(), np.int64)
+            for i in range(0, len(own), 1 << 16):
+                part = own[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node, np.int64))], names=["token", "node"])
+
+
+def can_link(c, n, other):
+    """Whether sets of n and `other` shingles can link if they share at most c."""
+    return (100 + LEAST_PERCENT) * c >= LEAST_PERCENT * (n + other)
+
+
+def possible_rows(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (t, x, n) whose node can still link to some member of their region, with c and the spread (the share of
+    the node's shingles that no other open node has): all unmet links lie among the open nodes, so a partner holds none of
+    the shingles that only x has, and is no smaller than the region's smallest member."""
+    counts = shared_counts(sets, left.select("x", "n").distinct())
+    rows = left.select("t", "x", "n").join(counts, "x").where(can_link(F.col("c"), F.col("n"), LEAST_PERCENT / 100 * F.col("n")))
+    rows = cut(rows.withColumn("spread", 1 - F.col("c") / F.col("n")))
+    least = rows.groupBy("t").agg(F.min("n").alias("least"))
+    kept = rows.join(least, "t").where(can_link(F.col("c"), F.col("n"), F.col("least"))).drop("least")
+    out = cut(enough_regions(kept))
+    drop_cut(rows)
+    return out
 
 
-def pivots_of(members: DataFrame, lanes: int) -> DataFrame:
-    """(t, pivot): in each lane of a region the smallest member outside its main component. Members of the main component
-    need not meet each other, so a large family with a few strangers is settled by the strangers."""
-    outside = members.where("not main").groupBy("t", F.pmod("x", F.lit(lanes)).alias("lane"))
-    return outside.agg(F.min("x").alias("pivot")).select("t", "pivot")
+def enough_regions(rows: DataFrame) -> DataFrame:
+    """Rows of the nodes whose open regions hold a quarter of their sketch, as those of linked nodes that have not met do."""
+    per = rows.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k"))
+    # also for a set kept whole: its partner may be larger and keep only its smallest hashes
+    enough = 4 * F.col("k") >= F.least(F.col("n"), F.lit(SKETCH))
+    return rows.join(per.where(enough).select("x"), "x", "left_semi")
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """Rows of hashes with two members or more, with the region's size k and its pivot p: of rows (t, x, n) the member with the
+    smallest key, of rows (t, x, n, c, spread) the one with the smallest spread (then also its np and cp)."""
+    size = F.count(F.lit(1)).alias("k")
+    if "spread" not in rows.columns:
+        regions = rows.groupBy("t").agg(F.min("x").alias("p"), size).where("k > 1")
+    else:
+        regions = rows.groupBy("t").agg(F.min(F.struct("spread", "x", "n", "c")).alias("first"), size).where("k > 1")
+        regions = regions.select("t", "k", F.col("first.x").alias("p"), F.col("first.n").alias("np"), F.col("first.c").alias("cp"))
+    return cut(rows.join(regions, "t"))
 
 
-def candidates(members: DataFrame, nodes: DataFrame, lanes: int) -> DataFrame:
-    """(x, p, nx, np): members and the pivots of their regions, not ruled out by sizes or sketches."""
-    pairs = (members.select("x", F.col("p").alias("pivot")) if lanes == 1
-             else members.join(pivots_of(members, lanes), "t").select("x", "pivot"))
-    pairs = pairs.where("x != pivot").select(F.greatest("x", "pivot").alias("x"), F.least("x", "pivot").alias("p")).distinct()
-    sizes = nodes.select(F.col("node").alias("p"), F.col("n").alias("np"))
-    pairs = pairs.join(sizes, "p").join(nodes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
+def candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, p, nx, np): members and the pivots of their regions, not ruled out by what they can share, sizes or sketches."""
+    pairs = members.where("x != p")
+    if "c" in members.columns:
+        pairs = pairs.where(can_link(F.least("c", "cp"), F.col("n"), F.col("np"))).select("x", "p", F.col("n").alias("nx"), "np").distinct()
+    else:
+        pairs = pairs.select("x", "p", F.col("n").alias("nx")).distinct().join(nodes.select(F.col("node").alias("p"), F.col("n").alias("np")), "p")
     pairs = pairs.where(100 * F.least("nx", "np") >= LEAST_PERCENT * F.greatest("nx", "np"))
+    swap = F.col("x") < F.col("p")
+    pairs = pairs.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"),
+                         F.when(swap, F.col("np")).otherwise(F.col("nx")).alias("nx"), F.when(swap, F.col("nx")).otherwise(F.col("np")).alias("np")).distinct()
     pairs = pairs.join(nodes.select(F.col("node").alias("p"), F.col("sketch").alias("sp")), "p")
     pairs = pairs.join(nodes.select(F.col("node").alias("x"), F.col("sketch").alias("sx")), "x")
     union = F.slice(F.sort_array(F.array_union("sx", "sp")), 1, SKETCH)
@@ -203,66 +257,167 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     every = cut(base.mapInArrow(_sketches, schema))
     nodes = cut(every.where("size(sketch) > 0").select("node", "n", "sketch").dropDuplicates(["node"]))
-    members = members_of(nodes.select(F.col("node").alias("x"), "n", F.explode("sketch").alias("t"), F.lit(False).alias("main")))
-    lanes, known, sets = 1, None, None
-    while True:
-        pairs = candidates(members, nodes, lanes)
-        if known is not None:
-            pairs = pairs.join(known.select("x", "p"), ["x", "p"], "left_anti")
-        pairs = cut(pairs)
-        if known is None or not pairs.isEmpty():
-            if known is None:
-                sets = sets_of_nodes(base.select("text"), pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
-            measured = distances(sets, pairs.select("x", "p")).join(pairs, ["x", "p"])
-            measured = cut(measured.withColumn("d", 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).withColumn("link", linked()))
-            first_round = known is None
-            known = measured if first_round else known.unionByName(measured)
-            comps = components(known.where("link").select("x", "p"))
-        left = open_rows(members, comps, known, lanes)
-        drop_cut(members)
-        if left.isEmpty():
-            break
-        members = members_of(left)
-        drop_cut(left)
-        if first_round:  # the open nodes' sets serve all further rounds
-            still = members.select(F.col("x").alias("node")).distinct()
-            sets, first_round = cut(sets_of_nodes(base.select("text"), still).join(still, "node", "left_semi")), False
-        lanes *= LANES
+    rows = nodes.select(F.col("node").alias("x"), "n", F.explode("sketch").alias("t"))
+    members = members_of(rows)
+    # first round: a region's pivot is its smallest key; the sets are taken from the texts in the scan
+    pairs = cut(candidates(members, nodes))
+    sets = sets_of_nodes(base.select("text"), pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
+    known = measure(sets, pairs)
+    comps = components(known.where("link").select("x", "p"))
+    left = open_rows(members, comps, known)
+    scratch = [every, nodes, pairs, known, members]
+    if not left.isEmpty():
+        # second round: the open nodes' sets are kept, nodes without a possible partner leave, the pivot is the member that shares most
+        still = left.select(F.col("x").alias("node")).distinct()
+        sets = cut(sets_of_nodes(base.select("text"), still).join(still, "node", "left_semi"))
+        members = members_of(pruned(left, sets))
+        pairs = cut(candidates(members, nodes).join(known.select("x", "p"), ["x", "p"], "left_anti"))
+        more = measure(sets, pairs)
+        scratch += [left, sets, members, pairs, more, comps]
+        known = known.unionByName(more)
+        comps = components(known.where("link").select("x", "p"))
+        left = open_rows(members, comps, known)
+        scratch.append(left)
+        if not left.isEmpty():
+            # what is still open is settled cell by cell
+            members = members_of(pruned(left, sets))
+            links = cut(cell_links(members, comps, sets))
+            scratch += [members, links, comps]
+            comps = components(known.where("link").select("x", "p").union(links))
     first = every.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
     out = every.select("id", "n", "node").join(named, "node", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), "node",
-                      F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = cut(out.select("id", F.col("n").alias("n_shingles"), "node",
+                         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
+    for table_ in [*scratch, comps]:
+        drop_cut(table_)
+    return out
 
 
-def open_rows(members: DataFrame, comps: DataFrame, known: DataFrame, lanes: int) -> DataFrame:
-    """Rows (t, x, n, main) that the next round joins: open regions without their pivots, inside the windows, of open nodes.
-    `main` marks the members of the region's largest component (of equal ones the one with the largest key)."""
-    if lanes == 1:
-        left = members.where("x != p and k > 2")
-    else:
-        left = members.join(pivots_of(members, lanes).withColumnRenamed("pivot", "x"), ["t", "x"], "left_anti")
+def measure(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, p, d, link) of the pairs (x, p, nx, np), written."""
+    measured = distances(sets, pairs.select("x", "p")).join(pairs, ["x", "p"])
+    d = 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))
+    return cut(measured.withColumn("d", d).withColumn("link", linked()).select("x", "p", "d", "link"))
+
+
+def open_rows(members: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (t, x, n) that the next round joins: open regions without their pivots, inside the windows, of open nodes."""
+    left = members.where("x != p and k > 2")
     left = left.join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    # distance to the region's first pivot; one that was not computed is above r
-    left = left.join(known.select("x", "p", "d", "link"), ["x", "p"], "left")
+    # distance to the region's pivot; one that was not computed is above r
+    met = known.select(F.col("x").alias("hi"), F.col("p").alias("lo"), "d", "link")
+    left = left.withColumn("hi", F.greatest("x", "p")).withColumn("lo", F.least("x", "p")).join(met, ["hi", "lo"], "left")
     left = cut(left.withColumn("ball", F.coalesce("link", F.lit(False))).select("t", "x", "n", "comp", "d", "ball"))
-    families = left.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.when(~F.col("ball"), F.coalesce("d", F.lit(R)))).alias("nearest"))
-    regions = families.groupBy("t").agg(F.count(F.lit(1)).alias("families"), F.max(F.struct("k", "comp")).alias("largest"), F.min("nearest").alias("nearest"))
-    regions = regions.where("families > 1").select("t", "nearest", F.col("largest.comp").alias("main_comp"))
-    kept = left.join(regions, "t").withColumn("main", F.col("comp") == F.col("main_comp"))
+    families = left.groupBy("t", "comp").agg(F.min(F.when(~F.col("ball"), F.coalesce("d", F.lit(R)))).alias("nearest"))
+    regions = families.groupBy("t").agg(F.count(F.lit(1)).alias("families"), F.min("nearest").alias("nearest"))
+    kept = left.join(regions.where("families > 1").select("t", "nearest"), "t")
     # the ball is one component: its member is needed only if some member outside may be within its reach
     beyond = F.coalesce(F.col("ball") & (F.col("d") + R < F.col("nearest")), F.lit(False))
-    kept = kept.where(~beyond).select("t", "x", "n", "main")
-    per = kept.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k"))
-    # also for a set kept whole: its partner may be larger and keep only its smallest hashes
-    enough = 4 * F.col("k") >= F.least(F.col("n"), F.lit(SKETCH))
-    out = cut(kept.join(per.where(enough).select("x"), "x", "left_semi"))
+    out = cut(enough_regions(kept.where(~beyond).select("t", "x", "n")))
     drop_cut(left)
     return out
 
 
+def pruned(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """`possible_rows`, more than once: a node that leaves makes shingles of others unshared."""
+    rows = left
+    for _ in range(PRUNES):
+        rows, before = possible_rows(rows, sets), rows
+        if before is not left:
+            drop_cut(before)
+    return rows
+
+
+def cell_links(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (x, p) between members of different components of a cell: all regions with the same pivot are one cell, a node lies
+    in the cells of all its regions, and every member outside a cell's largest component is compared with all others.
+
+    Unmet linked nodes share a region, so a cell. The compared ones are dealt in blocks of about `BLOCK_TOKENS` shingles, the
+    members in salts of `SALT_ROWS`; a task holds one block and streams members past it."""
+    rows = members.select(F.col("p").alias("cell"), "x", "n").distinct()
+    rows = rows.join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    rows = cut(rows)
+    families = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
+    cells = families.groupBy("cell").agg(F.max(F.struct("k", "comp", "tokens")).alias("main"), F.count(F.lit(1)).alias("families"),
+                                         F.sum("k").alias("k"), F.sum("tokens").alias("tokens")).where("families > 1")
+    cells = cells.select("cell", F.col("main.comp").alias("main"), F.ceil(F.col("k") / SALT_ROWS).cast("int").alias("salts"),
+                         F.ceil((F.col("tokens") - F.col("main.tokens")) / BLOCK_TOKENS).cast("int").alias("blocks"))
+    rows = rows.join(cells, "cell")
+    block, salt = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("x", F.lit(1)), F.col("salts")).cast("int")
+    compared = rows.where("comp != main").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                                                 F.lit(0).alias("member"), F.col("x").alias("node"), "comp")
+    all_ = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), salt.alias("salt"), F.lit(1).alias("member"),
+                       F.col("x").alias("node"), "comp")
+    shipped = sets.join(compared.union(all_), "node").select("cell", "block", "salt", "member", "node", "comp", "items")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shipped.repartition(n, "cell", "block", "salt").sortWithinPartitions("cell", "block", "salt", "member")
+    return ordered.mapInArrow(_cell_links, "x long, p long").distinct()
+
+
+class _Block:
+    """The compared sets of a task's block as an index from shingle to their numbers."""
+
+    def __init__(self):
+        self.nodes, self.comps, self.sets, self.index = [], [], [], None
+
+    def add(self, node: int, comp: int, items: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.comps.append(comp)
+        self.sets.append(items)
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Shared shingles, sets x compared ones."""
+        if self.index is None:
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            tokens = np.concatenate(self.sets)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+            self.index = tokens[first], np.append(first, len(tokens)), owner
+        known, first, owner = self.index
+        out = np.zeros((len(sets), len(self.nodes)), np.int64)
+        for i, own in enumerate(sets):
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            at = at[known[at] == own]
+            size = first[at + 1] - first[at]
+            ends = np.cumsum(size)
+            if len(ends):
+                out[i] = np.bincount(owner[np.arange(ends[-1]) - np.repeat(ends - size - first[at], size)], minlength=len(self.nodes))
+        return out
+
+    def links(self, nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of different components, one a compared set and component."""
+        common = self.common(sets)
+        total = np.array([len(x) for x in sets])[:, None] + np.array([len(x) for x in self.sets])[None, :] - common
+        i, j = np.nonzero((100 * common >= LEAST_PERCENT * total) & (comps[:, None] != np.array(self.comps)[None, :]))
+        _, one = np.unique(np.stack([j, comps[i]]), axis=1, return_index=True)
+        return nodes[i[one]], np.array(self.nodes, np.int64)[j[one]]
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, block, salt, member, node, comp, items) in order, a block's compared sets first -> links (x, p)."""
+    current, block = None, _Block()
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        member, node, comp, items = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+            key = tuple(keys[:, a])
+            if key != current:
+                current, block = key, _Block()
+            sets = [np.frombuffer(items[k].as_buffer(), U) for k in range(a, b)]
+            n_compared = int((member[a:b] == 0).sum())
+            for k in range(n_compared):
+                block.add(int(node[a + k]), int(comp[a + k]), sets[k].copy())
+            if a + n_compared < b and block.nodes:
+                x, p = block.links(node[a + n_compared:b], comp[a + n_compared:b], sets[n_compared:])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(p)], names=["x", "p"])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of `docs`, with all columns: the smallest id (of equal ids the smallest text hash, of
     equal rows one); documents without a word stay."""

@@ -114,7 +114,7 @@ def test_whole_set_stays_for_a_larger_partner(spark):
                                         "t long, x long, n long, p long, k long")
         comps = spark.createDataFrame([(1, 1), (2, 2)], "node long, comp long")
         known = spark.createDataFrame([], "x long, p long, d double, link boolean")
-        return {r["x"] for r in jj.open_rows(members, comps, known, 1).collect()}
+        return {r["x"] for r in jj.open_rows(members, comps, known).collect()}
     assert run(40) == {1, 2} and run(16) == {1, 2} and run(15) == set()
 
 
