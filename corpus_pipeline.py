@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import jaccard_join, mixing, packing, quality, secrets
-from riskflow.llm.common import cut, prepare
+from riskflow.llm.common import cut, drop_cut, prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        done = cut(stage(spark, docs, sf_dir))
+        drop_cut(docs)                # a stage's input goes once its output is written (the given table is left alone)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
