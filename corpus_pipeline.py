@@ -7,34 +7,56 @@ the mixed documents in sequences. All stages but the last return the columns of
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import jaccard_join, mixing, packing, quality, secrets
 from riskflow.llm.common import cut, drop_cut, prepare
+from riskflow.session import drop_scratch, scratch_written
+
+
+_BEHIND: list[str] = []             # intermediate tables of the stage before, needed until its output is written
+
+
+def stage(work):
+    """A stage's function: what the stage before it left behind goes first, since `docs` is that stage's written output (tables
+    that `docs` itself still reads stay)."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        read = {os.path.dirname(name) for name in docs.inputFiles()} if _BEHIND else set()
+        drop_scratch(spark, [path for path in _BEHIND if not any(folder.endswith(path.split(":", 1)[-1].lstrip("/")) for folder in read)])
+        before = set(scratch_written())
+        out = work(spark, docs, sf_dir)
+        _BEHIND[:] = [path for path in scratch_written() if path not in before]
+        return out
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return quality.keep_good(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return jaccard_join.keep_one(docs)
 
 
+@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return secrets.mask(docs)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return mixing.take(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -45,8 +67,8 @@ STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplica
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        done = cut(stage(spark, docs, sf_dir))
+    for _, work in STAGES[:-1]:
+        done = cut(work(spark, docs, sf_dir))
         drop_cut(docs)                # a stage's input goes once its output is written (the given table is left alone)
         docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -117,6 +117,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_written() -> list[str]:
+    """The paths of the intermediate tables this process has written and not dropped, in order."""
+    return list(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these intermediate tables; nothing built on them may be used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote (through the Hadoop FileSystem of the path, so it
     works on any shared store). Only call it when no DataFrame built on them is used any more."""
