@@ -38,3 +38,32 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "packing"]
+
+
+def test_scratch_of_a_stage_goes_with_the_next(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as cp
+    from riskflow import session
+    from tests.llm.helpers import SCHEMA, frame, rows
+
+    def there():
+        return {p for p in session.scratch_written() if os.path.isdir(p.removeprefix("file:"))}
+    docs = frame(spark, rows(), 3).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = there()
+    for i, (_, work) in enumerate(cp.STAGES):
+        before = there() - kept
+        path = str(tmp_path / str(i))
+        work(spark, docs, "").write.parquet(path)
+        assert not before & there()                                   # what the stage before wrote is gone
+        docs = spark.read.parquet(path)
+    lazily = cp.STAGES[0][1](spark, frame(spark, rows(), 3).select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert cp.STAGES[2][1](spark, lazily, "").count() == lazily.count()                   # tables that are still read stay
+    assert docs.count() > 0
+
+
+def test_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).collect() == []
