@@ -123,12 +123,12 @@ def q_fold_assign(spark, sf_dir):
 @query("fold_many_classes", with_frames(["line_risk"], """
 select l_orderkey, l_linenumber, l_partkey, cast(floor((rn - 1) * 5 / n) as int) as fold from (
   select l_orderkey, l_linenumber, l_partkey,
-    row_number() over (partition by l_partkey
+    rank() over (partition by l_partkey
                        order by ('0x' || substr(md5(concat_ws('#', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42')), 1, 13))::BIGINT) as rn,
     count(*) over (partition by l_partkey) as n
   from line_risk)"""))
 def q_fold_many_classes(spark, sf_dir):
-    """M12 with a class a part."""
+    """M12 with a class a part; rows of the same key stay together."""
     configure(spark)
     df = frame(spark, sf_dir, "line_risk").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return ev.assign_folds(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], P.cv_folds, P.seed, label="l_partkey").drop("l_suppkey")
