@@ -31,6 +31,7 @@ def test_against_brute_force(spark):
         assert got["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(got["near_edited"] - jaccard(pieces(text), pieces(edited))) < 1e-12
         assert abs(got["near_next"] - jaccard(pieces(text), pieces(after))) < 1e-12
+        assert (len(got["removed"]), len(got["added"])) == (len(pieces(text) - pieces(edited)), len(pieces(edited) - pieces(text)))
         for t, f in ((text, got["fingerprint"]), (edited, got["edited_fingerprint"])):
             assert seen.setdefault(t, f) == f
 
@@ -52,20 +53,65 @@ def test_neighbours_over_many_ranges(spark):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
 
 
-def test_peeling_retries_larger(spark):
+def test_text_ids(spark):
+    texts = {f"k{i:03d}": f"t{i}. u{i}. v" for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(5)
+    got = {r["id"]: r["next_text"] for r in fp.with_next(docs).collect()}
+    order = sorted(texts, reverse=True)
+    assert got == {a: texts[b] for a, b in zip(order, order[1:] + order[:1])}
+    assert len(fp.fingerprints(docs).collect()) == 300
+
+
+def hashed(spark, sets):
+    table = spark.createDataFrame(sets, "a array<long>, b array<long>")
+    return table.select("a", "b", F.transform("a", lambda x: fp.checked(F.xxhash64(x))).alias("x"), F.transform("b", lambda x: fp.checked(F.xxhash64(x))).alias("y"))
+
+
+def random_sets():
     rng = random.Random(9)
     sets = [(sorted(rng.sample(range(10**15), rng.randrange(0, 60))), sorted(rng.sample(range(10**15), rng.randrange(0, 60)))) for _ in range(150)]
     sets += [(a, a) for a, _ in sets[:5]] + [(a, a[:-1]) for a, _ in sets[5:10] if a]
-    table = spark.createDataFrame(sets, "a array<long>, b array<long>")
-    hashed = table.select("a", "b", F.transform("a", lambda x: fp.checked(F.xxhash64(x))).alias("x"), F.transform("b", lambda x: fp.checked(F.xxhash64(x))).alias("y"))
-    for r in fp.with_difference(hashed, "x", "y", "d").collect():
-        assert r["d"] == len(set(r["a"]) ^ set(r["b"]))
+    return sets + [(a, sorted(a[k:] + b[:k])) for k, (a, b) in enumerate(sets[10:60])]
+
+
+def assert_recovered(table):
+    for r in fp.with_difference(fp.with_sketch(table, "x", "y"), "x", "y", "d").collect():
+        own, other = dict(zip(r["x"], r["a"])), dict(zip(r["y"], r["b"]))
+        assert len(r["d"]) == len(set(r["d"]))
+        assert set(r["d"]) == set(own) ^ set(other)
+        assert {own.get(d, other.get(d)) for d in r["d"]} == set(r["a"]) ^ set(r["b"])
+
+
+def test_peeling_recovers_the_differing_digests(spark):
+    table = hashed(spark, random_sets())
+    assert_recovered(table)
     # far more digests than the small sizes hold, in one sketch: the first size fails, a later one recovers them
-    row = hashed.where(F.size("x") > 40).select(F.size("x").alias("n"), fp.recovered(F.col("x"), 2).alias("all"),
-                                                fp.recovered(F.col("x"), 0).alias("small")).first()
-    assert row["small"] is None and row["all"] == row["n"]
+    none = fp.no_digests()
+    row = table.where(F.size("x") > 40).select(
+        F.size("x").alias("n"),
+        fp.recovered(fp.sketch(F.col("x"), 256, 2), fp.sketch(none, 256, 2), 256, 2).alias("all"),
+        fp.recovered(fp.sketch(F.col("x"), 4, 0), fp.sketch(none, 4, 0), 4, 0).alias("small")).first()
+    assert row["small"] is None and len(row["all"]) == row["n"]
+
+
+def test_published_fingerprints_decide_small_edits(spark):
+    """Two fingerprints as published, read back from their text, tell which paragraphs differ and how alike the texts are."""
+    texts = [(1, ". ".join(f"p{i}" for i in range(500))), (2, ". ".join(f"p{i}" if i != 77 else "new" for i in range(500)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", fp.digests(F.col("text")).alias("a"))
+    one, two = fp.with_sketch(docs, "a").select("doc_id", "a", fp.fingerprint("a").alias("f")).orderBy("doc_id").collect()
+    def cells(f):
+        return [v - (1 << 64) if v >> 63 else v for v in (int(x, 16) for x in f.split(":")[1].split("-"))]
+    read = spark.createDataFrame([(cells(one["f"]), cells(two["f"]))], "x array<long>, y array<long>")
+    found = read.select(fp.recovered(F.col("x"), F.col("y"), fp.SMALL, 0).alias("d")).first()["d"]
+    assert set(found) == set(one["a"]) ^ set(two["a"]) and len(found) == 2
 
 
 def test_blocks_that_fail_are_retried(spark, monkeypatch):
     monkeypatch.setattr(fp, "LOAD", 24)                              # the first size fails for most blocks
-    test_peeling_retries_larger(spark)
+    assert_recovered(hashed(spark, random_sets()))
+
+
+def test_after_the_last_size_digests_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(fp, "LOAD", 60)
+    monkeypatch.setattr(fp, "SIZES", (4,))
+    assert_recovered(hashed(spark, random_sets()))
