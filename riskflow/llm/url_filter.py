@@ -7,8 +7,16 @@ distributed aggregation. A page first probes its one block; only possible hits g
 which removes the false positives. The filter is broadcast while its number of blocks, hence its bytes, is below
 `BROADCAST_BLOCKS`; a larger one is joined by block.
 
+The query's list comes from what pages hold, not from their urls alone (`content_list`): a passage (a line of at least
+`LEAST_PASSAGE` characters) that documents labelled toxic have and documents labelled clean have not is evidence; the
+canonical urls of pages that republish such a passage are listed, so that every page on one of them is blocked, under
+whatever host name. Page passages meet the evidence the same way as urls meet the list: Bloom filter, then exact join (of
+md5 digests), so a passage of very many pages that is no evidence is not shuffled. Urls on hosts with a label of
+`SPAM_LABELS` (`spam_list`, a parameter) are listed as well.
+
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed; repeated pages get
-a row each; only the named columns are read; empty tables give no rows.
+a row each; null pages, texts, labels and ids give no evidence; a document labelled both ways counts as clean; only the
+named columns are read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 # Host labels that mark spam hosts: their canonical urls make the list.
 SPAM_LABELS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+LEAST_PASSAGE = 40
 BITS_IN_BLOCK, PROBES = 64, 5
 KEYS_A_BLOCK = 4                     # 16 bits a key
 BROADCAST_BLOCKS = 1 << 20           # 16 bytes each
@@ -93,14 +102,20 @@ def bloom(listed: DataFrame, url_col: str = "canonical") -> tuple[DataFrame, int
     return rows.groupBy("block").agg(F.bit_or("mask").alias("mask")), blocks
 
 
+def possible_hits(rows: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
+    """`rows` whose `key` passes the Bloom filter of the `key` column of `listed`."""
+    table_, blocks = bloom(listed, key)
+    filter_ = F.broadcast(table_) if blocks <= BROADCAST_BLOCKS else table_
+    h = url_hash(F.col(key))
+    probe = rows.withColumns({"block": block_of(h, blocks), "probe": block_mask(h)})
+    passed = probe.join(filter_, "block").where(F.col("mask").bitwiseAND(F.col("probe")) == F.col("probe"))
+    return passed.select(*rows.columns)
+
+
 def listed_of(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """Distinct `canonical` values of `urls` that are on the list: Bloom filter, then an exact hash join."""
-    table_, blocks = bloom(listed)
-    filter_ = F.broadcast(table_) if blocks <= BROADCAST_BLOCKS else table_
-    h = url_hash(F.col("canonical"))
-    probe = urls.select("canonical").withColumns({"block": block_of(h, blocks), "probe": block_mask(h)})
-    possible = probe.join(filter_, "block").where(F.col("mask").bitwiseAND(F.col("probe")) == F.col("probe"))
-    return possible.select("canonical").distinct().join(listed.select("canonical"), "canonical", "left_semi")
+    possible = possible_hits(urls.select("canonical"), listed)
+    return possible.distinct().join(listed.select("canonical"), "canonical", "left_semi")
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -128,9 +143,37 @@ def spam_list(pages: DataFrame, url_col: str = "url", labels=SPAM_LABELS) -> Dat
     return parts.where(marked).select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()
 
 
+def passages(text: Column) -> Column:
+    """md5 digests of the distinct passages of a text; null for a null text."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.transform(F.array_distinct(F.filter(lines, lambda x: F.char_length(x) >= LEAST_PASSAGE)), lambda x: F.md5(x))
+
+
+def page_text(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]*>", "\n")
+
+
+def evidence(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """`passage` digests that documents labelled toxic have and documents labelled clean have not."""
+    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
+    found = documents.select("doc_id", passages(F.col("text")).alias("p")).where(F.size("p") > 0).join(known, "doc_id")
+    each = found.select("toxic", F.explode("p").alias("passage")).groupBy("passage").agg(F.min("toxic").alias("toxic"))
+    return each.where("toxic = 1").select("passage")
+
+
+def content_list(pages: DataFrame, evidence: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Distinct canonical urls of the pages that hold a passage of `evidence`: Bloom filter, then an exact join."""
+    held = pages.select(F.col(url_col).alias("__url"), passages(page_text(F.col(html_col))).alias("p"))
+    host, path = host_and_path(F.col("__url"))
+    held = held.withColumns({"host": host, "path": path}).where("host <> ''")
+    held = held.select(canonical(F.col("host"), F.col("path")).alias("canonical"), F.explode("p").alias("passage"))
+    return possible_hits(held, evidence, "passage").join(evidence, "passage", "left_semi").select("canonical").distinct()
+
+
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    out = filter_urls(pages, cut(spam_list(pages)))
+    pages, documents, labels = (table(spark, sf_dir, x) for x in ("pages", "documents", "labels"))
+    listed = content_list(pages, cut(evidence(documents, labels))).union(spam_list(pages)).distinct()
+    out = filter_urls(pages, cut(listed))
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
@@ -141,11 +184,11 @@ def _oracle() -> str:
              "then '/' else regexp_replace(path, '(/|/index\\.html?|\\.html?)$', '') end")
     return f"""
 with rest as (
-  select page_id, row_number() over () as rid,
+  select page_id, row_number() over () as rid, html,
          case when url is null or position('://' in url) = 0 then '' else substring(url, position('://' in url) + 3) end as rest
   from pages),
 parts as (
-  select page_id, rid, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  select page_id, rid, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') as path from rest),
 canon as (select *, case when host <> '' then {canon} end as canonical from parts),
 rules(rule_host, rule_path, rule_verdict) as (values {rules}),
@@ -153,7 +196,13 @@ best as (
   select rid, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
          arg_max(rule_verdict, length(rule_host || rule_path)) as rule_verdict
   from canon join rules on ('.' || host) like ('%.' || rule_host) and starts_with(path, rule_path) group by rid),
-listed as (select distinct canonical from canon where list_has_any(string_split(host, '.'), [{labels}]))
+known as (select doc_id, min(toxic) as toxic from labels where toxic is not null group by doc_id),
+doc_lines as (select toxic, trim(unnest(string_split(text, chr(10)))) as line from documents join known using (doc_id)),
+evidence as (select line from doc_lines where length(line) >= {LEAST_PASSAGE} group by line having min(toxic) = 1),
+page_lines as (select canonical, trim(unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)))) as line
+               from canon where canonical is not null),
+listed as (select canonical from canon where list_has_any(string_split(host, '.'), [{labels}])
+           union select canonical from page_lines where line in (select line from evidence))
 select page_id, host, path, rule,
        coalesce(rule_verdict, case when canonical in (select canonical from listed) then 'block' else 'allow' end) as verdict, canonical
 from canon left join best using (rid)"""

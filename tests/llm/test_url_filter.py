@@ -58,6 +58,40 @@ def test_bloom_has_no_false_negative_and_join_removes_false_positives(spark):
     assert 5000 <= possible < 5000 + 0.05 * 15000
 
 
+BAD, FINE, SHARED = ("bad passage that only the toxic documents hold, long enough", "fine passage that only the clean documents hold, long enough",
+                     "passage of both kinds of documents, also long enough to count")
+
+
+def corpus(spark):
+    texts = [(1, f"intro\n {BAD} \n{SHARED}"), (2, f"{FINE}\n{SHARED}"), (3, BAD), (4, None), (5, ""), (6, f"{FINE} two"), (None, FINE), (7, f"{BAD} twice")]
+    documents = spark.createDataFrame([(*r, "p") for r in texts], "doc_id long, text string, passage string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (4, 0, 1), (5, 0, 1), (6, 0, None), (None, 0, 1), (7, 0, 1), (7, 0, 0), (1, 0, 1)],
+                                   "doc_id long, quality int, toxic int")
+    return documents, labels
+
+
+def test_list_from_what_pages_hold(spark):
+    documents, labels = corpus(spark)
+    found = u.evidence(documents, labels)
+    lines = spark.createDataFrame([(x,) for x in (BAD, FINE, SHARED)], "line string").select("line", F.md5("line").alias("passage"))
+    assert [r["line"] for r in lines.join(found, "passage").collect()] == [BAD]
+    html = [("http://www.good.org/a/", f"<p>{BAD}</p>"), ("http://m.good.org/a.html?x=1", "<p>nothing here</p>"), ("http://good.org/b", f"<p>{SHARED}<br>{FINE}</p>"),
+            ("http://other.org/a", f"<p>x {BAD}</p>"), ("http://good.org/c", None), (None, f"<p>{BAD}</p>"), ("http://x.net/es/1", f"<b>{BAD}"),
+            ("http://www.good.org/a/", f"<p>{BAD}</p>"), ("http://far.org", "<p>" + "long " * 20000 + f"</p>{BAD}<p>")]
+    pages = spark.createDataFrame([(i, x, h, "c") for i, (x, h) in enumerate(html)], "page_id long, url string, html string, canonical string")
+    listed = u.content_list(pages, found)
+    assert {r[0] for r in listed.collect()} == {"good.org/a", "x.net/es/1", "far.org/"}
+    got = {r["page_id"]: r["verdict"] for r in u.filter_urls(pages, listed).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "block"}
+
+
+def test_evidence_of_empty_tables(spark):
+    documents, labels = corpus(spark)
+    assert u.evidence(documents.limit(0), labels).collect() == [] and u.evidence(documents, labels.limit(0)).collect() == []
+    some = spark.createDataFrame([(1, "http://good.org/a", f"<p>{BAD}</p>")], "page_id long, url string, html string")
+    assert u.content_list(some, u.evidence(documents, labels.limit(0))).collect() == []
+
+
 def test_empty(spark):
     table = pages(spark, URLS).limit(0)
     assert u.filter_urls(table, u.spam_list(table)).collect() == []
