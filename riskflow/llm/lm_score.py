@@ -1,7 +1,7 @@
 """LM scoring: stupid-backoff scores from n-gram count tables partitioned by hash, joined to the exploded n-grams.
 
-Words are lower-cased; the model is the corpus itself, 1- to 3-grams within documents, higher orders pruned below
-`MIN_COUNT` occurrences. S(w | uv) = c(uvw) / c(uv) if uvw was kept, else 0.4 * S(w | v), S(w | v) = c(vw) / c(v) if vw
+Words are lower-cased; the model is the corpus itself, 1- to 3-grams within documents. No n-gram is pruned unless
+`min_count` is set above 1: then bigrams and trigrams seen fewer times count as unknown, and words back off. S(w | uv) = c(uvw) / c(uv) if uvw was kept, else 0.4 * S(w | v), S(w | v) = c(vw) / c(v) if vw
 was kept, else 0.4 * c(w) / N; the first words of a document have shorter contexts and no factor for that. A document's
 score is the sum of ln S over its words; the mean is per word.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskflow.llm.common import U, cut, drop_cut, flat, mix64, table, word_hashes, word_spans
 
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
+ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 CHUNK = 3 << 20
 PART_BYTES = 8 << 20                 # text bytes a hash part
 HASH_BITS = 48
@@ -157,32 +157,34 @@ def _requests(parts: int):
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in order of (part, n) -> (chunk, n, part, counts): the count table of one part and order at a time."""
-    pack, unpack = _zstd()
-
-    def solve(key, blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _answers(min_count: int):
+    """Task function: blocks in order of (part, n) -> (chunk, n, part, counts), the count table of one part and order at a time."""
+    def solve(pack, key, blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         part, n = key
         keys = np.concatenate([b[1] for b in blocks])
         _, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, np.concatenate([b[2] for b in blocks])).astype(np.int64)[back]
         if n > 1:
-            counts[counts < MIN_COUNT] = 0
+            counts[counts < min_count] = 0
         ends = np.cumsum([len(b[1]) for b in blocks])[:-1]
         return pa.RecordBatch.from_arrays(
             [pa.array([b[0] for b in blocks], pa.int64()), pa.array([n] * len(blocks), pa.int32()), pa.array([part] * len(blocks), pa.int32()),
              pa.array([_small_ints(c, pack) for c in np.split(counts, ends)], pa.binary())], names=["chunk", "n", "part", "counts"])
-    key, blocks = None, []
-    for batch in batches:
-        part, n, chunk, hashes, tf = (c.to_pylist() for c in batch.columns)
-        for k, c, h, f in zip(zip(part, n), chunk, hashes, tf):
-            if k != key:
-                if blocks:
-                    yield solve(key, blocks)
-                key, blocks = k, []
-            blocks.append((c, _undelta(h), _ints(f, unpack)))
-    if blocks:
-        yield solve(key, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = _zstd()
+        key, blocks = None, []
+        for batch in batches:
+            part, n, chunk, hashes, tf = (c.to_pylist() for c in batch.columns)
+            for k, c, h, f in zip(zip(part, n), chunk, hashes, tf):
+                if k != key:
+                    if blocks:
+                        yield solve(pack, key, blocks)
+                    key, blocks = k, []
+                blocks.append((c, _undelta(h), _ints(f, unpack)))
+        if blocks:
+            yield solve(pack, key, blocks)
+    return run
 
 
 def _scores(id_type: pa.DataType, total: int):
@@ -224,7 +226,7 @@ def _scores(id_type: pa.DataType, total: int):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """id, n_words, score (sum of ln S), mean (per word), n_backed_off (words scored with a shorter context)."""
     from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
@@ -239,7 +241,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     asked = chunked.select("chunk", "ends", "blob").mapInArrow(_requests(parts), "part int, n int, chunk long, hashes binary, tf binary")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(parts, 100_000))
     asked = asked.repartition(n, "part", "n").sortWithinPartitions("part", "n")
-    answers = cut(asked.mapInArrow(_answers, "chunk long, n int, part int, counts binary"))
+    answers = cut(asked.mapInArrow(_answers(min_count), "chunk long, n int, part int, counts binary"))
     per = answers.groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "counts")).alias("answers"))
     rows = chunked.select("chunk", "ids", "ends", "blob").join(per, "chunk", "left").select("ids", "ends", "blob", "answers")
     out = T.StructType([T.StructField("id", spark_id), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()),

@@ -5,10 +5,10 @@ from riskflow.llm import lm_score as lm
 from tests.llm.helpers import SCHEMA, frame, rows, words
 
 
-def brute(data):
+def brute(data, min_count):
     docs = [[w.lower() if w.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(r[1])] for r in data]
     counts = Counter(tuple(d[i:i + n]) for d in docs for n in (1, 2, 3) for i in range(len(d) - n + 1))
-    kept = {k: v for k, v in counts.items() if len(k) == 1 or v >= lm.MIN_COUNT}
+    kept = {k: v for k, v in counts.items() if len(k) == 1 or v >= min_count}
     total = sum(map(len, docs))
     out = []
     for d in docs:
@@ -26,13 +26,16 @@ def brute(data):
 
 def test_scores_match_brute_force(spark, monkeypatch):
     data = rows(n=80)
-    want = {}
-    for r, b in zip(data, brute(data)):
-        want.setdefault(r[0], []).append(b)
-    for chunk, part in ((lm.CHUNK, lm.PART_BYTES), (5000, 9000)):    # one block, then many chunks and parts
+    assert lm.MIN_COUNT == 1
+    # one block, then many chunks and parts; nothing pruned, then n-grams seen once or twice
+    for chunk, part, least in ((lm.CHUNK, lm.PART_BYTES, 1), (5000, 9000, 1), (5000, 9000, 3)):
+        want = {}
+        for r, b in zip(data, brute(data, least)):
+            want.setdefault(r[0], []).append(b)
+        assert any(b[2] for own in want.values() for b in own) == (least > 1)
         monkeypatch.setattr(lm, "CHUNK", chunk)
         monkeypatch.setattr(lm, "PART_BYTES", part)
-        out = lm.lm_scores(frame(spark, data)).collect()
+        out = lm.lm_scores(frame(spark, data), min_count=least).collect()
         assert len(out) == len(data)
         got = {}
         for r in out:
