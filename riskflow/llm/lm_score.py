@@ -34,6 +34,7 @@ from riskflow.llm.common import U, cut, drop_cut, flat, mix64, table, word_hashe
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 CHUNK = 3 << 20
 PART_BYTES = 8 << 20                 # text bytes a hash part
+TASK_BYTES = 32 << 20                # text bytes whose chunks a task scores
 HASH_BITS = 48
 
 
@@ -239,11 +240,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     total, size = chunked.agg(F.sum("words"), F.sum(F.element_at("ends", -1))).first()
     parts = max(1, math.ceil((size or 0) / PART_BYTES))
     asked = chunked.select("chunk", "ends", "blob").mapInArrow(_requests(parts), "part int, n int, chunk long, hashes binary, tf binary")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(parts, 100_000))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, min(parts, 100_000))
     asked = asked.repartition(n, "part", "n").sortWithinPartitions("part", "n")
     answers = cut(asked.mapInArrow(_answers(min_count), "chunk long, n int, part int, counts binary"))
-    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "counts")).alias("answers"))
-    rows = chunked.select("chunk", "ids", "ends", "blob").join(per, "chunk", "left").select("ids", "ends", "blob", "answers")
+    tasks = max(least, math.ceil((size or 0) / TASK_BYTES))          # grows with the input, so what a task reads does not
+    per = answers.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "counts")).alias("answers"))
+    rows = chunked.select("chunk", "ids", "ends", "blob").repartition(tasks, "chunk").join(per, "chunk", "left").select("ids", "ends", "blob", "answers")
     out = T.StructType([T.StructField("id", spark_id), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()),
                         T.StructField("n_backed_off", T.LongType())])
     scored = rows.mapInArrow(_scores(id_type, int(total or 0)), out)
