@@ -81,9 +81,9 @@ class WordIds:
         return first
 
     def _learn_pieces(self, new: list[str]) -> None:
-        for i in range(0, len(new), 5000):
-            part = new[i:i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        for i in range(0, len(new), 500):
+            part = new[i:i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)   # no offsets
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer does not end each pre-token with one end-of-word token")
@@ -91,7 +91,7 @@ class WordIds:
             self.pieces.update(zip(part, range(first, first + len(part))))
 
     def _learn_words(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
         first = self._store(np.array([x for ids in found for x in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
         self.words.update(zip(new, range(first, first + len(new))))
 
@@ -99,18 +99,27 @@ class WordIds:
         """(ids, offsets) of the texts, each followed by END_ID."""
         if self.n > CACHED_WORDS:
             self.clear()
-        entries: list[np.ndarray] = []
-        for raw in texts:
+        found, gaps = [], []
+        fresh: tuple[dict, dict] = {}, {}
+        for t, raw in enumerate(texts):
             text = raw.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                keys, index, learn = _PIECES.findall(text.lower()), self.pieces, self._learn_pieces
-            else:
-                keys, index, learn = raw.split(), self.words, self._learn_words
+            plain = bool(_PLAIN.fullmatch(text)) and "<|" not in text
+            keys, index = (_PIECES.findall(text.lower()), self.pieces) if plain else (raw.split(), self.words)
             at = list(map(index.get, keys))
             if None in at:
-                learn(list(dict.fromkeys(k for k, i in zip(keys, at) if i is None)))
-                at = list(map(index.get, keys))
-            entries.append(np.array(at, np.int64))
+                missing = [(j, keys[j]) for j, i in enumerate(at) if i is None]
+                fresh[plain].update((k, None) for _, k in missing)
+                gaps.append((t, index, missing))
+            found.append(at)
+        # what is new in any of the texts is tokenised together
+        if fresh[False]:
+            self._learn_words(list(fresh[False]))
+        if fresh[True]:
+            self._learn_pieces(list(fresh[True]))
+        for t, index, missing in gaps:
+            for j, k in missing:
+                found[t][j] = index[k]
+        entries = [np.array(at, np.int64) for at in found]
         at = np.concatenate(entries) if entries else np.zeros(0, np.int64)
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])

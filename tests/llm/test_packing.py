@@ -71,3 +71,15 @@ def test_words_equal_whole_texts():
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_new_pieces_of_all_texts_are_tokenised_together(monkeypatch):
+    calls = []
+    learn = packing.WordIds._learn_pieces
+    monkeypatch.setattr(packing.WordIds, "_learn_pieces", lambda self, new: (calls.append(len(new)), learn(self, new)))
+    ids, texts = packing.WordIds(None), [b"one two three", b"", b"two four", "café 日本 two".encode()]
+    got, ends = ids.encode(texts)
+    assert calls == [4]
+    for i, raw in enumerate(texts):
+        want = ids.tokenizer.encode(raw.decode(), add_special_tokens=False).ids + [packing.END_ID]
+        assert got[ends[i]:ends[i + 1]].tolist() == want
