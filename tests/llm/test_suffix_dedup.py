@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from riskflow.llm import suffix_dedup as sd
 from riskflow.llm.suffix_dedup import LENGTH
 from tests.llm.helpers import SCHEMA, frame, prose, rows
@@ -72,3 +74,30 @@ def test_deep_shallow_sort_orders_like_sorted():
         for a, b, n in zip(order, order[1:], lcp[1:]):
             x, y = strings[a], strings[b]
             assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
+
+
+def places(data):
+    return sd.anchors_of(data, np.array([0, len(data)]))[1]
+
+
+def test_the_chosen_gram_is_the_same_across_2_to_the_24():
+    rng = np.random.default_rng(11)
+
+    def letters(n):
+        return rng.integers(97, 123, n, dtype=np.uint8)
+    while True:                          # a string whose least gram occurs twice, and what follows never chooses its second place
+        string, tail = letters(LENGTH), letters(600)
+        string[250:298] = string[50:98]
+        if places(string).tolist() == [250] and 199 not in places(np.concatenate([string[51:], tail])):
+            break
+    at = (1 << 24) - 150                 # the boundary lies between the two places
+    assert at + 250 in places(np.concatenate([letters(at), string, tail]))
+
+
+def test_anchors_do_not_depend_on_steps(monkeypatch):
+    texts = [(t or "").encode() for t in corpus(5)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = sd.anchors_of(data, offs)
+    for step in (101, 353, 1000):
+        monkeypatch.setattr(sd, "STEP", step)
+        assert all((a == b).all() for a, b in zip(sd.anchors_of(data, offs), want))
